@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with per-task state: ``make()`` runs once in each task and returns the batch function."""
+#: Bytes of text that a Python function works on at once; a longer text is one slice by itself.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows with about SLICE_BYTES of ``name``, so that memory doesn't follow the batch."""
+    if not batch.num_rows:
+        return
+    column = batch.column(name)
+    measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    sizes = pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False)
+    parts = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        yield batch.slice(low, high - low)
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
+    """``mapInArrow`` with per-task state: ``make()`` runs once in each task and returns the function of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            for part in slices(batch, text) if text else [batch] * bool(batch.num_rows):
+                yield f(part)
 
     return df.mapInArrow(run, schema)
 

@@ -1,10 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, simhash
+from spanloom.llm import bpe, compression, decontaminate, langid, quality, secrets, simhash
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_language": langid.op2_language,
     "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_quality": quality.op7_quality,
+    "op10_compression": compression.op10_compression,
 }
 
 #: DuckDB SQL by query; the others are tested against brute force.
