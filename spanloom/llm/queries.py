@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, compression, decontaminate, langid, quality, secrets, simhash
+from spanloom.llm import bpe, compression, decontaminate, langid, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_substrings": substrings.op6_substrings,
     "op7_quality": quality.op7_quality,
     "op10_compression": compression.op10_compression,
 }
