@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import table, texts
+from spanloom.llm.common import slices, table, texts
 
 #: File of ranks that the registered query uses.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker keeps encoded, and pairs whose compatibility it keeps; both caches start anew when full.
-CACHED_PIECES = 600_000
-CACHED_PAIRS = 1_000_000
+CACHED_PIECES = 300_000
+CACHED_PAIRS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,7 +46,6 @@ class BytePairEncoder:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every single byte")
         self.ranks = ranks
-        self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         #: The two tokens whose merge makes a token; a token that no merge makes stands for itself twice.
         self.parts: dict[int, tuple[int, int]] = {}
@@ -147,8 +146,10 @@ class BytePairEncoder:
                     token = longest[at] - 1
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+
+@lru_cache(maxsize=2)
+def decoding_table(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
 
 
 @lru_cache(maxsize=2)
@@ -203,7 +204,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
     def run(batches):
         coder = text_encoder(path, pattern)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, "__text")):
             packed = [coder.packed(x) for x in texts(batch, "__text")]
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
@@ -221,10 +222,9 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
     schema = T.StructType([*(T.StructField(f"__c{i}", f.dataType, True) for i, f in enumerate(kept)), T.StructField("__out", T.BinaryType())])
 
     def run(batches):
-        decode = encoder(path).decode
-        for batch in batches:
-            column = batch.column("__ids")
-            out = [decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in column]
+        token = decoding_table(path).__getitem__
+        for batch in (x for b in batches for x in slices(b, "__ids")):
+            out = [b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in batch.column("__ids")]
             columns = [batch.column(f"__c{i}") for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=[*(f"__c{i}" for i in range(len(kept))), "__out"])
 
