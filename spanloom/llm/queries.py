@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, compression, decontaminate, langid, quality, secrets, simhash, substrings
+from spanloom.llm import bpe, compression, decontaminate, html, langid, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_substrings": substrings.op6_substrings,
     "op7_quality": quality.op7_quality,
+    "op8_html": html.op8_html,
     "op10_compression": compression.op10_compression,
 }
 
