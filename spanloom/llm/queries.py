@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, compression, decontaminate, html, langid, quality, secrets, simhash, substrings
+from spanloom.llm import bpe, compression, decontaminate, html, langid, licenses, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_substrings": substrings.op6_substrings,
     "op7_quality": quality.op7_quality,
     "op8_html": html.op8_html,
+    "op9_licenses": licenses.op9_licenses,
     "op10_compression": compression.op10_compression,
 }
 
