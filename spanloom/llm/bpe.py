@@ -215,9 +215,9 @@ def encode_texts(df: DataFrame, path: str, pattern: str = public_tokenizers.PATT
     return source.mapInArrow(run, schema).toDF(*[f.name for f in kept], into)
 
 
-def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Replaces ``ids`` by ``into``, the bytes they stand for (null ids: no bytes); other columns pass through."""
-    kept = [f for f in df.schema.fields if f.name not in (ids, into)]
+def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep_ids: bool = False) -> DataFrame:
+    """Adds ``into``, the bytes that ``ids`` stand for (null ids: no bytes); other columns pass through, the ids if kept."""
+    kept = [f for f in df.schema.fields if f.name != into and (keep_ids or f.name != ids)]
     source = df.select(F.col(f"`{ids}`").alias("__ids"), *[F.col(f"`{f.name}`").alias(f"__c{i}") for i, f in enumerate(kept)])
     schema = T.StructType([*(T.StructField(f"__c{i}", f.dataType, True) for i, f in enumerate(kept)), T.StructField("__out", T.BinaryType())])
 

@@ -144,8 +144,8 @@ def kept_spans(found: Column) -> Column:
 def redact_live(documents: DataFrame, owner: Column, repository: Column, mark: str = "<secret>", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """All rows and columns; in ``text`` every span that isn't a widely copied example is replaced by ``mark``.
 
-    Base spans with the verdict weak go too, as the base takes them for secrets. ``n_chars`` follows the new text where
-    the column exists. Values held by many owners stay. The list of those values isn't sent out: each document is
+    Base spans with the verdict weak go too, as the base takes them for secrets. ``n_chars`` follows a changed text where the column
+    exists. Values held by many owners stay. The list of those values isn't sent out: each document is
     joined with its own verdicts only.
     """
     columns = documents.columns
@@ -154,20 +154,25 @@ def redact_live(documents: DataFrame, owner: Column, repository: Column, mark: s
     marks = judged.select(F.col("doc_id.key").alias("__key"), F.filter("found", lambda s: (s["verdict"] != "example") & ((s["kind"] < BASE) | (s["verdict"] == "live"))).alias("__spans")).where(F.size("__spans") > 0)
     marks = marks.select("__key", F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans")).groupBy("__key").agg(F.first("__spans").alias("__spans"))
     joined = documents.withColumn("__key", key).join(marks, "__key", "left").select(*columns, "__spans")
-    position, schema = columns.index("text"), documents.schema
+    place = {c: i for i, c in enumerate(columns)}
 
     def run(batches):
         for batch in (x for b in batches for x in slices(b)):
-            spans, out = batch.column("__spans").to_pylist(), batch.column("text").to_pylist()
-            for i, own in enumerate(spans):
-                if own:
-                    out[i] = redacted(out[i], [(s["start"], s["end"]) for s in own], mark)
             arrays = [batch.column(c) for c in columns]
-            arrays[position] = pa.array(out, arrays[position].type)
+            hit = [i for i, own in enumerate(batch.column("__spans").to_pylist()) if own]
+            if hit:
+                out = batch.column("text").to_pylist()
+                sizes = batch.column("n_chars").to_pylist() if "n_chars" in place else []
+                for i in hit:
+                    out[i] = redacted(out[i], [(s["start"], s["end"]) for s in batch.column("__spans")[i].as_py()], mark)
+                    if sizes:
+                        sizes[i] = len(out[i])
+                for name, values in (("text", out), ("n_chars", sizes)):
+                    if values:
+                        arrays[place[name]] = pa.array(values, arrays[place[name]].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    out = joined.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
+    return joined.mapInArrow(run, documents.schema)
 
 
 def redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:

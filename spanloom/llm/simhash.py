@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import map_rows, table, texts
+from spanloom.llm.common import map_rows, row_key, table, texts
 from spanloom.plans.components import components
 from spanloom.plans.scratch import materialise
 
@@ -53,17 +53,18 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit number, for every row."""
+    """All columns but text, and ``fp``, the fingerprint as a signed 64-bit number, for every row."""
+    names = [c for c in documents.columns if c != "text"]
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = np.array([fingerprint(x, shingle, seed) for x in texts(batch)], dtype=np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps)], names=[*names, "fp"])
 
         return f
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_rows(documents.select("doc_id", "text"), make, f"doc_id {kind}, fp long")
+    kinds = "".join(f"{c} {documents.schema[c].dataType.simpleString()}, " for c in names)
+    return map_rows(documents.select(*names, "text"), make, f"{kinds}fp long")
 
 
 def _count(fp: Column, segment: int) -> Column:
@@ -126,16 +127,30 @@ def near_pairs(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def near_duplicate_groups(documents: DataFrame, radius: int = 2, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id of the row's group, for every row."""
-    prints = materialise(fingerprints(documents, shingle, seed), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def _least_of_groups(prints: DataFrame, name: Column, radius: int) -> DataFrame:
+    """``fp`` and ``least``, the least name among the rows of its group, for every distinct fingerprint."""
+    distinct = prints.groupBy("fp").agg(F.min(name).alias("first"))
     roots = components(near_pairs(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     linked = roots.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     merged = linked.join(least, "root").select("fp", "least")
-    named = distinct.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return distinct.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+
+
+def near_duplicate_groups(documents: DataFrame, radius: int = 2, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id of the row's group, for every row."""
+    prints = materialise(fingerprints(documents.select("doc_id", "text"), shingle, seed), "fingerprints")
+    named = _least_of_groups(prints, F.col("doc_id"), radius)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def one_of_each_group(documents: DataFrame, radius: int = 2, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each group with all its columns: that of the least doc_id; of rows with the same id and text, any one."""
+    keyed = documents.withColumn("__row", row_key("doc_id", "text"))
+    prints = materialise(fingerprints(keyed.select("doc_id", F.col("__row").alias("row"), "text"), shingle, seed), "fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    chosen = _least_of_groups(prints, name, radius).select(F.col("least.row").alias("__row")).distinct()
+    return keyed.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*documents.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
