@@ -1 +1 @@
-
+"""Sources and sinks: tables, keyed caches, document stores, transcripts as files."""
