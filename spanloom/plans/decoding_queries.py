@@ -1,2 +1,59 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Scores and decoding over ``embeddings`` as log-probability rows, and confidence over ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanloom.operators import decoding as D
+from spanloom.operators import sequences as S
+from spanloom.sources.tables import read
+
+
+def softmax_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    e = read(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.select("vec_id", D.softmax(F.col("v")).alias("p")).select("vec_id", F.round(D.entropy_confidence(F.col("p")), 6).alias("confidence"), (F.array_position("p", F.array_max("p")) - 1).alias("best"))
+
+
+def log_sum_exp(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "embeddings").select("vec_id", F.round(D.log_sum_exp(F.col("embedding").cast("array<double>")), 6).alias("lse"))
+
+
+def two_level_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    e = read(spark, folder, "events").withColumn("word", F.floor(F.col("event_id") / 7))
+    found = D.two_level_confidence(e, ["user_id"], "word", "value")
+    return found.select("user_id", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))
+
+
+def greedy_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    """Likeliest of 8 symbols in each frame; runs collapse, and blanks (symbol 0) separate them."""
+    e = read(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
+    best = e.select(F.floor(F.col("vec_id") / 20).alias("chunk"), "vec_id", (F.array_position("v", F.array_max("v")) - 1).alias("token"))
+    found = S.runs(best, ["chunk"], ["vec_id"], "token").where("token <> 0")
+    one = found.groupBy("chunk", "run", "token").agg(F.count("*").alias("frames"))
+    w = Window.partitionBy("chunk").orderBy("run")
+    return one.select("chunk", F.row_number().over(w).cast("long").alias("place"), "token", "frames")
+
+
+def ctc_beam(spark: SparkSession, folder: str) -> DataFrame:
+    """Beam decoding of chunks of 20 frames over 6 symbols; a search, so held against enumeration in the tests."""
+    e = read(spark, folder, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 6).cast("array<double>"), lambda x: x * 8).alias("v"))
+    lse = D.log_sum_exp(F.col("v"))
+    frames = e.select(F.floor(F.col("vec_id") / 20).alias("chunk"), F.col("vec_id").alias("t"), "v", lse.alias("lse")).select("chunk", "t", F.transform("v", lambda x: x - F.col("lse")).alias("lp"))
+    return D.decode_chunks(frames, ["chunk"], 0, 8).select("chunk", F.size("tokens").cast("long").alias("n"), F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+
+
+QUERIES = {f.__name__: f for f in (softmax_entropy, log_sum_exp, two_level_confidence, greedy_collapse, ctc_beam)}
+
+ORACLE_SQL = {
+    "softmax_entropy": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS top FROM v),
+l AS (SELECT vec_id, v, top + ln(list_sum(list_transform(v, lambda x: exp(x - top)))) AS lse FROM m), p AS (SELECT vec_id, list_transform(v, lambda x: exp(x - lse)) AS p FROM l),
+h AS (SELECT vec_id, p, -list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-300)))) AS h FROM p)
+SELECT vec_id, round(greatest(0.0, least(1.0, (exp(-h) - 1.0::DOUBLE / len(p)) / (1.0::DOUBLE - 1.0::DOUBLE / len(p)))), 6) AS confidence, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS best FROM h""",
+    "log_sum_exp": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS top FROM v) SELECT vec_id, round(top + ln(list_sum(list_transform(v, lambda x: exp(x - top)))), 6) AS lse FROM m",
+    "two_level_confidence": "WITH w AS (SELECT user_id, event_id // 7 AS word, min(value) AS v FROM events GROUP BY ALL) SELECT user_id, round(avg(v) + 1e-9, 6) AS confidence FROM w GROUP BY user_id",
+    "greedy_collapse": """WITH t AS (SELECT vec_id // 20 AS chunk, vec_id, CAST(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS BIGINT) AS token FROM embeddings),
+g AS (SELECT *, CASE WHEN lag(token) OVER w IS NOT DISTINCT FROM token AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY chunk ORDER BY vec_id)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY chunk ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS run FROM g), o AS (SELECT chunk, run, token, count(*) AS frames FROM n WHERE token <> 0 GROUP BY chunk, run, token)
+SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY run) AS place, token, frames FROM o""",
+}

@@ -1,2 +1,119 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Text functions over ``documents``, ``conversations`` and ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import text as X
+from spanloom.sources.tables import micros, read
+
+
+def tokens_count(spark: SparkSession, folder: str) -> DataFrame:
+    t = read(spark, folder, "documents").select("doc_id", X.tokens("text").alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+def norm_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", F.sha2(X.norm("text").cast("binary"), 256).alias("norm_sha256"))
+
+
+def content_id(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32).alias("id"))
+
+
+def exact_dedup_norm(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of texts equal after normalisation: the least id stands for each."""
+    keyed = read(spark, folder, "documents").select("doc_id", F.sha2(X.norm("text").cast("binary"), 256).alias("k"))
+    return keyed.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").select("doc_id", "n")
+
+
+def phrase_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Completed terms by whole tokens."""
+    t = read(spark, folder, "documents").select("doc_id", X.tokens("text").alias("t"))
+    return t.select("doc_id", F.size(F.filter("t", lambda w: w.isin("the", "and", "des", "der"))).cast("long").alias("n"))
+
+
+def bigram_phrase_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of the two-token phrase "of the"."""
+    t = read(spark, folder, "documents").select("doc_id", X.tokens("text").alias("t"))
+    pairs = F.zip_with("t", F.slice("t", 2, 1_000_000_000), lambda a, b: (a == "of") & (b == "the"))
+    return t.select("doc_id", F.size(F.filter(pairs, lambda p: p)).cast("long").alias("n"))
+
+
+def ordered_concat(spark: SparkSession, folder: str) -> DataFrame:
+    c = read(spark, folder, "conversations")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    return c.groupBy("conv_id").agg(F.array_join(parts, " ").alias("text"))
+
+
+def stamp_format(spark: SparkSession, folder: str) -> DataFrame:
+    e = read(spark, folder, "events")
+    return e.select("event_id", X.stamp((micros("ts") % 400_000_000_000) / 1e6).alias("stamp"), X.stamp(F.col("value")).alias("value_stamp"))
+
+
+def sentence_ends(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "conversations").select("conv_id", "turn", X.ends_sentence("text").alias("ends"))
+
+
+def split_words(spark: SparkSession, folder: str) -> DataFrame:
+    w = read(spark, folder, "conversations").select("conv_id", "turn", X.split_words("text").alias("w"))
+    return w.select("conv_id", "turn", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("text"))
+
+
+def affix_tests(spark: SparkSession, folder: str) -> DataFrame:
+    p = read(spark, folder, "part")
+    return p.select("p_partkey", F.startswith("p_name", F.lit("A")).alias("starts"), F.endswith("p_name", F.lit("s")).alias("ends"), F.right("p_name", F.lit(3)).alias("tail"), F.substring_index("p_name", " ", -1).alias("after_last"))
+
+
+def id_formats(spark: SparkSession, folder: str) -> DataFrame:
+    o = read(spark, folder, "orders")
+    return o.select("o_orderkey", F.concat(F.lit("S"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("segment"), F.concat(F.lit("rev-"), F.lpad((F.col("o_custkey") % 1000000).cast("string"), 6, "0")).alias("revision"))
+
+
+def hex_id_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """Identifiers of 32 hex digits, some of them spoilt."""
+    d = read(spark, folder, "documents").select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat("h", F.lit("/"))).when(F.col("doc_id") % 3 == 1, F.upper("h")).otherwise(F.col("h"))
+    return d.select("doc_id", given.rlike("^[0-9a-f]{32}$").alias("valid"))
+
+
+def json_predicate(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return read(spark, folder, "events").where(k >= 50).select("event_id", k.alias("k"))
+
+
+def nonempty_text(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").where(F.trim("text") != "").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+def token_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Word differences of adjacent turns; the difference itself is a pandas function."""
+    c = read(spark, folder, "conversations")
+    pairs = c.alias("a").join(c.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+    return pairs.select("a.conv_id", "a.turn", F.explode(X.token_diff("a.text", "b.text")).alias("d")).select("conv_id", "turn", "d.a", "d.b", "d.operation")
+
+
+QUERIES = {f.__name__: f for f in (tokens_count, norm_hash, content_id, exact_dedup_norm, phrase_count, bigram_phrase_count, ordered_concat, stamp_format, sentence_ends, split_words, affix_tests, id_formats, hex_id_guard, json_predicate, nonempty_text, token_diff)}
+
+_TOKENS = r"regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ё', 'е'), '[\p{L}\p{N}_]+')"
+_NORM = r"regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]', '', 'g')"
+_STAMP = "lpad(CAST({ms} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({ms} // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(({ms} % 3600000) // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({ms} % 60000) // 1000 AS VARCHAR), 2, '0') || ',' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
+
+ORACLE_SQL = {
+    "tokens_count": f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n, CAST(len(list_distinct({_TOKENS})) AS BIGINT) AS n_distinct FROM documents",
+    "norm_hash": f"SELECT doc_id, sha256({_NORM}) AS norm_sha256 FROM documents",
+    "content_id": "SELECT doc_id, left(sha256(text), 32) AS id FROM documents",
+    "exact_dedup_norm": f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY sha256({_NORM}) HAVING count(*) > 1",
+    "phrase_count": f"SELECT doc_id, CAST(len(list_filter({_TOKENS}, lambda w: w IN ('the', 'and', 'des', 'der'))) AS BIGINT) AS n FROM documents",
+    "bigram_phrase_count": f"WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents) SELECT doc_id, CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS BIGINT) AS n FROM t",
+    "ordered_concat": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "stamp_format": f"WITH m AS (SELECT event_id, CAST(round_even((epoch_us(ts) % 400000000000) / 1e6 * 1000, 0) AS BIGINT) AS ms, greatest(0, CAST(round_even(value * 1000, 0) AS BIGINT)) AS vm FROM events) SELECT event_id, {_STAMP.format(ms='ms')} AS stamp, {_STAMP.format(ms='vm')} AS value_stamp FROM m",
+    "sentence_ends": """SELECT conv_id, turn, regexp_matches(text, '[.!?…]["»)]?$') AS ends FROM conversations""",
+    "split_words": r"WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n, array_to_string(w, ' ') AS text FROM w",
+    "affix_tests": "SELECT p_partkey, starts_with(p_name, 'A') AS starts, ends_with(p_name, 's') AS ends, right(p_name, 3) AS tail, list_extract(string_split(p_name, ' '), -1) AS after_last FROM part",
+    "id_formats": "SELECT o_orderkey, 'S' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS segment, 'rev-' || lpad(CAST(o_custkey % 1000000 AS VARCHAR), 6, '0') AS revision FROM orders",
+    "hex_id_guard": "WITH d AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents) SELECT doc_id, regexp_full_match(CASE doc_id % 3 WHEN 0 THEN h || '/' WHEN 1 THEN upper(h) ELSE h END, '[0-9a-f]{32}') AS valid FROM d",
+    "json_predicate": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50",
+    "nonempty_text": "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE trim(text) <> '' GROUP BY lang",
+}
