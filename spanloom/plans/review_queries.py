@@ -1,2 +1,104 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Review, layout, merging and subtitles over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanloom.operators import partitioning as P
+from spanloom.operators import reconcile as R
+from spanloom.operators import subtitles as T
+from spanloom.sources.tables import read
+
+#: Seconds between the starts of a turn's words, their length, and the length of a chunk's core.
+PACE, LENGTH, CORE = 0.5, 0.4, 20.0
+
+
+def chunk_layout_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    d = read(spark, folder, "events").groupBy("user_id").agg(F.max("value").alias("seconds"))
+    found = P.fixed_layout(d, "seconds")
+    rounded = [F.round(c, 6).alias(c) for c in ("start", "end", "core_start", "core_end")]
+    return found.select("user_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), *rounded)
+
+
+def speech_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that overlap a region: events whose value lies near a third of the timeline stand for speech."""
+    e = read(spark, folder, "events")
+    chunks = P.fixed_layout(e.groupBy("user_id").agg(F.max("value").alias("seconds")), "seconds").select("user_id", "chunk_idx", "core_start", "core_end")
+    regions = e.where("event_type = 'purchase'").select("user_id", F.col("value").alias("a"), (F.col("value") + 1).alias("b"))
+    return P.speech_chunks(chunks, regions, ["user_id"]).select("user_id", F.col("chunk_idx").cast("int").alias("chunk_idx"))
+
+
+def _words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of assistant turns with times: conv_id, i, word, start, end."""
+    turns = read(spark, folder, "conversations").where("role = 'assistant'").withColumn("rec", F.col("conv_id") * 1000 + F.col("turn"))
+    words = turns.select("rec", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "word"))
+    return words.select("rec", "i", "word", (F.col("i") * PACE).alias("start"), (F.col("i") * PACE + LENGTH).alias("end"))
+
+
+def _aligned(words: DataFrame) -> DataFrame:
+    """Each recording in chunks of CORE seconds with one second of context, every chunk with its own copy of the words in its input."""
+    seconds = words.groupBy("rec").agg(F.max("end").alias("seconds"))
+    chunks = P.fixed_layout(seconds, "seconds", CORE).drop("seconds")
+    hits = words.withColumnRenamed("start", "s").withColumnRenamed("end", "e").join(chunks, "rec").where("s >= start AND e <= end")
+    word = F.struct(F.col("i"), F.col("word").alias("text"), (F.col("s") - F.col("start")).alias("start_time"), (F.col("e") - F.col("start")).alias("end_time"))
+    chunk = F.struct("start", "end", "core_start", "core_end")
+    lists = hits.groupBy("rec", "chunk_idx", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(word)).alias("w"))
+    bare = F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["start_time"].alias("start_time"), x["end_time"].alias("end_time")))
+    return lists.select(F.col("rec").alias("rec_id"), "chunk_idx", "chunk", bare.alias("words"))
+
+
+def seam_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns cut into overlapping chunks and merged again: every word comes back once, in order."""
+    merged = R.merge_recordings(_aligned(_words(spark, folder)))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
+    return merged.groupBy("rec_id").agg(F.count("*").alias("n"), F.array_join(parts, " ").alias("text"))
+
+
+def srt_render(spark: SparkSession, folder: str) -> DataFrame:
+    words = _words(spark, folder).select("rec", "start", "end", F.col("word").alias("text"))
+    regions = words.groupBy("rec").agg(F.lit(0.0).alias("a"), (F.max("end") + 1).alias("b"))
+    return T.render(words, regions, ["rec"])
+
+
+def subtitle_words(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words a cue's time leaves: those whose middle lies in the first 30 seconds, clipped there."""
+    w = _words(spark, folder).where("(start + end) / 2 < 30")
+    return w.groupBy("rec").agg(F.count("*").alias("n"), F.round(F.max(F.least("end", F.lit(30.0))), 6).alias("last"))
+
+
+def history_of_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Commits of orders with any line on a page of parts, and just those of their changes."""
+    page = read(spark, folder, "part").orderBy("p_partkey").offset(10).limit(20).select(F.col("p_partkey").alias("l_partkey"))
+    return read(spark, folder, "lineitem").join(page, "l_partkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_set("l_partkey")), lambda x: x.cast("string")), ",").alias("parts"))
+
+
+def invalid_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch of decisions as rows against stored segments: every violation is a row, and a batch without rows may be committed."""
+    c = read(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "uncertain").when(F.col("quality") == 1, "A").otherwise("edited").alias("choice"))
+    known = read(spark, folder, "documents").select("doc_id", F.length(F.trim("text")).alias("len"))
+    w = Window.partitionBy("doc_id")
+    joined = c.withColumn("copies", F.count(F.lit(1)).over(w)).join(known, "doc_id", "left")
+    rules = F.array(
+        F.when(F.col("len").isNull(), F.lit("unknown segment")),
+        F.when(F.col("copies") > 1, F.lit("duplicate")),
+        F.when((F.col("choice") == "edited") & (F.col("len") < 400), F.lit("edited text too short")),
+        F.when(F.col("choice") == "uncertain", F.lit("question required")),
+    )
+    return joined.select("doc_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("violation"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_layout_fixed, speech_chunks, seam_merge, srt_render, subtitle_words, history_of_page, invalid_decisions)}
+
+_D = "d AS (SELECT user_id, max(value) AS seconds FROM events GROUP BY user_id HAVING max(value) > 0), c AS (SELECT user_id, seconds, CAST(unnest(range(0, greatest(1, CAST(ceil(seconds / 18) AS BIGINT)))) AS INTEGER) AS chunk_idx FROM d)"
+_W = r"t AS (SELECT conv_id * 1000 + turn AS rec, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant')"
+
+ORACLE_SQL = {
+    "chunk_layout_fixed": f"WITH {_D} SELECT user_id, chunk_idx, round(greatest(0.0::DOUBLE, chunk_idx * 18.0::DOUBLE - 1), 6) AS start, round(least(seconds, least(seconds, (chunk_idx + 1) * 18.0::DOUBLE) + 1), 6) AS \"end\", round(chunk_idx * 18.0::DOUBLE, 6) AS core_start, round(least(seconds, (chunk_idx + 1) * 18.0::DOUBLE), 6) AS core_end FROM c",
+    "speech_chunks": f"WITH {_D} SELECT user_id, chunk_idx FROM c WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.user_id AND event_type = 'purchase' AND e.value < least(seconds, (chunk_idx + 1) * 18.0::DOUBLE) AND e.value + 1 > chunk_idx * 18.0::DOUBLE)",
+    "seam_merge": f"WITH {_W} SELECT rec AS rec_id, CAST(len(w) AS BIGINT) AS n, array_to_string(w, ' ') AS text FROM t WHERE len(w) > 0",
+    "subtitle_words": f"WITH {_W}, x AS (SELECT rec, unnest(range(0, len(w))) AS i FROM t) SELECT rec, count(*) AS n, round(max(least(i * 0.5::DOUBLE + 0.4::DOUBLE, 30.0::DOUBLE)), 6) AS last FROM x WHERE i * 0.5::DOUBLE + 0.2::DOUBLE < 30 GROUP BY rec",
+    "history_of_page": "WITH p AS (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 20 OFFSET 10), l AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM p)) SELECT l_orderkey, count(*) AS n, (SELECT string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) FROM (SELECT DISTINCT l_partkey AS q FROM l k WHERE k.l_orderkey = l.l_orderkey)) AS parts FROM l GROUP BY l_orderkey",
+    "invalid_decisions": """WITH c AS (SELECT l.doc_id, CASE WHEN toxic = 1 THEN 'uncertain' WHEN quality = 1 THEN 'A' ELSE 'edited' END AS choice, count(*) OVER (PARTITION BY l.doc_id) AS copies, length(trim(text)) AS len FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id)
+SELECT doc_id, 'unknown segment' AS violation FROM c WHERE len IS NULL UNION ALL SELECT doc_id, 'duplicate' FROM c WHERE copies > 1 UNION ALL SELECT doc_id, 'edited text too short' FROM c WHERE choice = 'edited' AND len < 400 UNION ALL SELECT doc_id, 'question required' FROM c WHERE choice = 'uncertain'""",
+}
