@@ -4,9 +4,8 @@ A fingerprint is cut into short segments and embedded as the vector of their bit
 one count by one, so the Manhattan distance of two vectors never exceeds the Hamming distance of the fingerprints.
 Fingerprints within the allowed distance are therefore near in the embedding, and a range join on a grid finds them:
 
-* The segments are dealt into ``radius + 1`` grids. For at most ``radius`` differing bits, leaving out the grid that
-  holds most of them leaves fewer than all, so in the remaining segments (a *view*) the Manhattan distance is at most
-  ``radius - ceil(radius / grids)``.
+* The segments are dealt into ``radius + 1`` grids. Of at most ``radius`` differing bits, the two grids with the fewest
+  hold one at most, so in one of the pairs of grids (a *view*) the Manhattan distance is at most one.
 * In each view every fingerprint registers in the cell of its counts and probes the cells in that range; of two
   mirror-image offsets only one is probed, so each pair of cells meets once.
 * Pairs that meet are held to the Manhattan bound over the whole vector and then to the exact Hamming distance.
@@ -74,9 +73,11 @@ def _count(fp: Column, segment: int) -> Column:
 
 def _views(radius: int) -> tuple[list[list[int]], int]:
     """The segments of each view, and the Manhattan distance to search within it."""
-    segments, grids = list(range(BITS // SEGMENT)), radius + 1
-    dealt = [segments[i::grids] for i in range(grids)]
-    return [sorted(s for j, g in enumerate(dealt) if j != i for s in g) for i in range(grids)], radius - -(-radius // grids)
+    segments = list(range(BITS // SEGMENT))
+    if radius < 1:
+        return [segments], 0
+    dealt = [segments[i :: radius + 1] for i in range(radius + 1)]
+    return [sorted(a + b) for a, b in combinations(dealt, 2)], 1
 
 
 def _steps(size: int, reach: int) -> list[dict[int, int]]:
@@ -94,18 +95,16 @@ def _steps(size: int, reach: int) -> list[dict[int, int]]:
 def _cells(distinct: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """(cell, fp) of each view, and (cell, fp, same) of the cells that each fingerprint probes; same: its own."""
     views, reach = _views(radius)
-    width = SEGMENT.bit_length()  # bits that hold one count
-    if width * max(map(len, views)) + len(views).bit_length() > 62:
-        raise ValueError("a cell's counts must fit one number: choose fewer segments or a smaller radius")
-    top = width * max(map(len, views))
+    base = SEGMENT + 1  # a cell's counts are the digits of its number, below the view's
+    top = base ** max(map(len, views))
     counted = distinct.select("fp", *[_count(F.col("fp"), s).cast("long").alias(f"c{s}") for s in range(BITS // SEGMENT)])
-    keys = [sum((F.shiftleft(F.col(f"c{s}"), width * i) for i, s in enumerate(view)), F.lit(v << top)).alias(f"k{v}") for v, view in enumerate(views)]
+    keys = [sum((F.col(f"c{s}") * F.lit(base**i) for i, s in enumerate(view)), F.lit(v * top).cast("long")).alias(f"k{v}") for v, view in enumerate(views)]
     keyed = counted.select("*", *keys)
     home = keyed.select("fp", F.explode(F.array(*[f"k{v}" for v in range(len(views))])).alias("cell"))
     moves = []
     for v, view in enumerate(views):
         for step in _steps(len(view), reach):
-            cell = F.col(f"k{v}") + F.lit(sum(d << width * i if d > 0 else -(-d << width * i) for i, d in step.items()))
+            cell = F.col(f"k{v}") + F.lit(sum(d * base**i for i, d in step.items()))
             fits = [F.col(f"c{view[i]}").between(max(0, -d), min(SEGMENT, SEGMENT - d)) for i, d in step.items()]
             valid = F.lit(True)
             for x in fits:
@@ -134,7 +133,8 @@ def _least_of_groups(prints: DataFrame, name: Column, radius: int) -> DataFrame:
     linked = roots.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     merged = linked.join(least, "root").select("fp", "least")
-    return distinct.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    # Written, so that the rows' join with it is between plain shuffles, of which Spark splits a hot fingerprint.
+    return materialise(distinct.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "groups")
 
 
 def near_duplicate_groups(documents: DataFrame, radius: int = 2, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
