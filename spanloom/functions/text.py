@@ -92,3 +92,12 @@ def wrapped(text: str, width: int = 42) -> list[str]:
 def token_places(text: str) -> list[tuple[str, int, int]]:
     """(folded token, start, end) in the text."""
     return [(m[0].casefold().replace("ё", "е"), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+
+
+TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(TOKENS)
+def tokens_with_places(text: pd.Series) -> pd.Series:
+    """Fully case-folded tokens with their places; null gives none."""
+    return text.map(lambda x: [{"token": t, "start": a, "end": b} for t, a, b in token_places(x or "")])

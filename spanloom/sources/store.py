@@ -130,6 +130,9 @@ class Store:
             raise ValueError("unknown job")
         return row
 
+    def state(self, job: str) -> dict:
+        return json.loads(self.get(job)["state"])
+
     def jobs(self, limit: int = 20, audio_path: str | None = None) -> DataFrame:
         """The newest jobs, of one audio path if given."""
         if not 1 <= limit <= 50:
