@@ -26,17 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import map_rows, row_key, table, texts
-from spanloom.plans.scratch import materialise
+from spanloom.plans.scratch import materialise, release
 
 WINDOW, KMER = 20, 8
 #: Words a worker keeps hashed; the cache starts anew when full.
 CACHED_WORDS = 300_000
 _ODD = 0x9E3779B97F4A7C15
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 
@@ -57,6 +57,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _first_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least hash, by its upper half and then the first, in each run of ``width``."""
+    least = (hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64)
+    have = 1
+    while have < width:  # runs of have and a shift of them make runs of up to twice as many
+        step = min(have, width - have)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        have += step
+    return (least & ~_HIGH).astype(np.int64)
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
@@ -71,8 +82,7 @@ class Sampled:
         for i in range(kmer):
             rolled = rolled * np.uint64(_ODD) + h[i : i + n]
         kmers = _mixed(rolled)
-        reach = window - kmer + 1
-        least = sliding_window_view(kmers, reach).argmin(axis=1) + np.arange(n - reach + 1)
+        least = _first_least(kmers, window - kmer + 1)
         chosen = np.zeros(n, dtype=bool)
         chosen[least] = True
         self.at = np.flatnonzero(chosen)
@@ -116,20 +126,27 @@ def edges(documents: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
 
 def compacted(all_edges: DataFrame) -> DataFrame:
     """row and ``marks``: the row's repeated edges, each with its place, occurrences, and whether one stretch leads to it."""
-    repeated = all_edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, so that both sides of a join are plain shuffles, of which Spark splits the hot keys.
+    repeated = materialise(all_edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     occurrences = materialise(all_edges.join(repeated, "edge"), "repeated")
+    release(all_edges, repeated)
     steps = occurrences.groupBy("edge").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high"))
-    single = steps.where("low = high AND low <> 0").select("edge", F.lit(True).alias("single"))
+    single = materialise(steps.where("low = high AND low <> 0").select("edge", F.lit(True).alias("single")), "single")
     marked = occurrences.join(single, "edge", "left").select("row", F.struct("at", "n", F.coalesce("single", F.lit(False)).alias("single")).alias("m"))
-    return marked.groupBy("row").agg(F.collect_set("m").alias("marks"))
+    marks = materialise(marked.groupBy("row").agg(F.collect_set("m").alias("marks")), "marks")
+    release(occurrences, single)
+    return marks
 
 
-def coordinates(words: list[bytes], marks: list[dict], window: int = WINDOW, kmer: int = KMER) -> list[tuple[int, int]]:
-    """(start, words) of the paths, and of the windows that cross a branch, which may be repeated."""
+def coordinates(words: list[bytes], at: np.ndarray, counts: np.ndarray, alone: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> list[tuple[int, int]]:
+    """(start, words) of the paths, and of the windows that cross a branch, which may be repeated.
+
+    ``at``, ``counts`` and ``alone`` are the document's marks: places, occurrences, whether one stretch leads there.
+    """
     s = Sampled(words, window, kmer)
     n, single = np.zeros(len(s.at), dtype=np.int64), np.zeros(len(s.at), dtype=bool)
-    where = np.searchsorted(s.at, [m["at"] for m in marks])
-    n[where], single[where] = [m["n"] for m in marks], [m["single"] for m in marks]
+    where = np.searchsorted(s.at, at)
+    n[where], single[where] = counts, alone
     joined = np.zeros(len(s.at), dtype=bool)
     joined[1:] = single[1:] & (n[1:] > 1) & (n[1:] == n[:-1])
     path = np.cumsum(~joined) - 1
@@ -153,9 +170,12 @@ def spans(marked: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFram
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, places, lengths, owner = [], [], [], []
-            for i, (text, marks) in enumerate(zip(texts(batch), batch.column("marks").to_pylist(), strict=True)):
-                words = words_of(text)
-                found = coordinates(words, marks, window, kmer)
+            column = batch.column("marks")
+            bounds, flat = column.offsets.to_numpy(), column.values
+            at, counts, alone = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "single"))
+            for i, text in enumerate(texts(batch)):
+                words, own = words_of(text), slice(bounds[i], bounds[i + 1])
+                found = coordinates(words, at[own], counts[own], alone[own], window, kmer)
                 if not found:
                     continue
                 joint = b" ".join(words)
@@ -167,8 +187,8 @@ def spans(marked: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFram
                     lengths.append(length)
                 owner += [i] * len(found)
             key = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-            own = pa.array(owner, pa.int64())
-            columns = [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), batch.column("row").take(own), batch.column("doc_id").take(own), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())]
+            rows = pa.array(owner, pa.int64())
+            columns = [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         return f
@@ -183,9 +203,12 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, kmer: int = KMER)
     marks = compacted(materialise(edges(documents, window, kmer), "edges"))
     rows = materialise(spans(documents.select("row", "doc_id", "text").join(marks, "row"), window, kmer), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("start").alias("start"))
-    first = rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    release(marks)
+    first = materialise(rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = rows.join(first, ["k1", "k2"]).where(place > F.col("first"))
-    return later.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("gone"))
+    gone = materialise(later.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("gone")), "gone")
+    release(rows, first)
+    return gone
 
 
 def keep_mask(n: int, gone: list[dict] | None) -> np.ndarray:
