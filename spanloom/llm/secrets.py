@@ -22,9 +22,11 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import map_rows, slices, table, texts
 from spanloom.plans.scratch import materialise
@@ -43,6 +45,8 @@ DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}")
 #: Owners from which a value is an example, and bits a character from which it looks random.
 EXAMPLE_OWNERS, LEAST_BITS = 3, 3.0
 DENSE_BITS = 4.0
+#: Hashes of widely copied values that may be sent to all tasks.
+SENT_EXAMPLES = 200_000
 _PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|0123456789|1234567890|abcdef", re.IGNORECASE)
 
 
@@ -51,6 +55,10 @@ def bits_per_character(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def digest(value: str) -> bytes:
+    return hashlib.sha256(value.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
 def looks_random(value: str) -> bool:
     return bits_per_character(value) >= LEAST_BITS and not _PLACEHOLDER.search(value)
 
@@ -102,7 +110,7 @@ def scan(documents: DataFrame, owner: Column, repository: Column) -> DataFrame:
                 base = base_spans(text)
                 counts.append(Counter(s[2] for s in base))
                 digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
-                candidates.append([{"start": a, "end": b, "kind": k, "value": hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16], "random": looks_random(v)} for a, b, k, v in base + wider_spans(text)])
+                candidates.append([{"start": a, "end": b, "kind": k, "value": digest(v), "random": looks_random(v)} for a, b, k, v in base + wider_spans(text)])
             n = [pa.array([c[k] for c in counts], pa.int64()) for k in range(BASE)]
             return pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "owner", "repository")), *n, pa.array(digests), pa.array(candidates, pa.list_(struct))],
@@ -130,7 +138,9 @@ def judged_spans(documents: DataFrame, owner: Column, repository: Column, exampl
     rows = materialise(scan(documents, owner, repository).withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = rows.select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("random"), "live").otherwise("weak")
-    judged = each.join(ownership(each.select("value", "owner", "repository")), "value").withColumn("verdict", verdict)
+    # Written first, so that both sides of the join are plain shuffles, of which Spark splits a hot value.
+    counted = materialise(ownership(each.select("value", "owner", "repository")), "ownership")
+    judged = each.join(counted, "value").withColumn("verdict", verdict)
     # One document's own spans are gathered, never those of a value.
     lists = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "verdict", "owners", "repositories"))).alias("found"))
     return rows.join(lists, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("found", F.array().cast(lists.schema["found"].dataType)).alias("found"))
@@ -141,32 +151,41 @@ def kept_spans(found: Column) -> Column:
     return F.filter(found, lambda s: (s["kind"] < BASE) | (s["verdict"] == "live"))
 
 
-def redact_live(documents: DataFrame, owner: Column, repository: Column, mark: str = "<secret>", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact_live(documents: DataFrame, owner: Column, repository: Column, mark: str = "<secret>", example_owners: int = EXAMPLE_OWNERS, sent_examples: int = SENT_EXAMPLES) -> DataFrame:
     """All rows and columns; in ``text`` every span that isn't a widely copied example is replaced by ``mark``.
 
-    Base spans with the verdict weak go too, as the base takes them for secrets. ``n_chars`` follows a changed text where the column
-    exists. Values held by many owners stay. The list of those values isn't sent out: each document is
-    joined with its own verdicts only.
+    Base spans with the verdict weak go too, as the base takes them for secrets; spans of the wider kinds go if they look
+    live. ``n_chars`` follows a changed text where the column exists. The hashes of the examples are counted: up to
+    ``sent_examples`` of them go to all tasks, and a second scan needs no join; beyond that each document is joined with its own.
     """
-    columns = documents.columns
-    key = F.xxhash64("doc_id", "text")
-    judged = judged_spans(documents.select("doc_id", "text", owner.alias("__owner"), repository.alias("__repository")).withColumn("doc_id", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("key"))), F.col("__owner"), F.col("__repository"), example_owners)
-    marks = judged.select(F.col("doc_id.key").alias("__key"), F.filter("found", lambda s: (s["verdict"] != "example") & ((s["kind"] < BASE) | (s["verdict"] == "live"))).alias("__spans")).where(F.size("__spans") > 0)
-    marks = marks.select("__key", F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans")).groupBy("__key").agg(F.first("__spans").alias("__spans"))
-    joined = documents.withColumn("__key", key).join(marks, "__key", "left").select(*columns, "__spans")
-    place = {c: i for i, c in enumerate(columns)}
+    columns, place = documents.columns, {c: i for i, c in enumerate(documents.columns)}
+    found = materialise(scan(documents.select("doc_id", "text", owner.alias("__owner"), repository.alias("__repository")), F.col("__owner"), F.col("__repository")), "candidates")
+    each = found.select("owner", "repository", F.explode("candidates").alias("c")).select("owner", "repository", "c.value")
+    examples = materialise(ownership(each).where(F.col("owners") >= example_owners).select("value"), "examples")
+    if examples.count() <= sent_examples:
+        sent = documents.sparkSession.sparkContext.broadcast({bytes(r["value"]) for r in examples.toLocalIterator()})
+        joined = documents
+    else:
+        key = F.xxhash64("doc_id", "text")
+        own = documents.select(key.alias("__key"), F.explode(_hashes("text")).alias("value")).distinct()
+        shared = own.join(examples, "value").groupBy("__key").agg(F.collect_set("value").alias("__examples"))
+        joined, sent = documents.withColumn("__key", key).join(shared, "__key", "left").select(*columns, "__examples"), None
 
     def run(batches):
         for batch in (x for b in batches for x in slices(b)):
-            arrays = [batch.column(c) for c in columns]
-            hit = [i for i, own in enumerate(batch.column("__spans").to_pylist()) if own]
-            if hit:
+            arrays, changed = [batch.column(c) for c in columns], {}
+            for i, text in enumerate(texts(batch)):
+                known = sent.value if sent else {bytes(v) for v in batch.column("__examples")[i].as_py() or ()}
+                spans = [(a, b) for a, b, k, v in base_spans(text) + wider_spans(text) if (k < BASE or looks_random(v)) and digest(v) not in known]
+                if spans:
+                    changed[i] = redacted(text, spans, mark)
+            if changed:
                 out = batch.column("text").to_pylist()
                 sizes = batch.column("n_chars").to_pylist() if "n_chars" in place else []
-                for i in hit:
-                    out[i] = redacted(out[i], [(s["start"], s["end"]) for s in batch.column("__spans")[i].as_py()], mark)
+                for i, text in changed.items():
+                    out[i] = text
                     if sizes:
-                        sizes[i] = len(out[i])
+                        sizes[i] = len(text)
                 for name, values in (("text", out), ("n_chars", sizes)):
                     if values:
                         arrays[place[name]] = pa.array(values, arrays[place[name]].type)
@@ -175,6 +194,12 @@ def redact_live(documents: DataFrame, owner: Column, repository: Column, mark: s
     return joined.mapInArrow(run, documents.schema)
 
 
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _hashes(text: pd.Series) -> pd.Series:
+    """Hashes of a text's candidates."""
+    return text.map(lambda t: [digest(v) for *_, v in base_spans(t or "") + wider_spans(t or "")])
+
+
 def redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     """The text with the union of the spans replaced, each connected run by one mark."""
     parts, at = [], 0
