@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import slices, table, texts
+from spanloom.llm.common import in_arrow, slices, table, texts
 
 #: File of ranks that the registered query uses.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -212,7 +212,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str = public_tokenizers.PATT
             columns = [batch.column(f"__c{i}") for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, ids], names=[*(f"__c{i}" for i in range(len(kept))), "__ids"])
 
-    return source.mapInArrow(run, schema).toDF(*[f.name for f in kept], into)
+    return in_arrow(source, run, schema).toDF(*[f.name for f in kept], into)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep_ids: bool = False) -> DataFrame:
@@ -228,7 +228,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
             columns = [batch.column(f"__c{i}") for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=[*(f"__c{i}" for i in range(len(kept))), "__out"])
 
-    return source.mapInArrow(run, schema).toDF(*[f.name for f in kept], into)
+    return in_arrow(source, run, schema).toDF(*[f.name for f in kept], into)
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word contracts: words are maximal runs of anything else. ``bytes.split()`` uses the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +36,18 @@ def slices(batch: pa.RecordBatch, name: str = "text") -> Iterator[pa.RecordBatch
         yield batch.slice(low, high - low)
 
 
+#: Setting and value of the bytes in one Arrow batch, set where the session has Spark's own default; that suits narrow rows, not texts.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches small enough for texts."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        conf.set(BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` with per-task state: ``make()`` runs once in each task and returns the function of a slice."""
 
@@ -44,7 +57,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             for part in slices(batch, text) if text else [batch] * bool(batch.num_rows):
                 yield f(part)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, table, texts
+from spanloom.llm.common import in_arrow, slices, table, texts
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Characters of benchmark text in one block, which bounds what a worker holds.
@@ -154,7 +154,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, shingle: int = S
                         names=["doc_id", "item_id", "n_shared", "n_item", "containment"],
                     )
 
-        part = documents.select("doc_id", "text").mapInArrow(run, schema)
+        part = in_arrow(documents.select("doc_id", "text"), run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -169,9 +169,21 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, shingle: int =
             for batch in (x for b in batches for x in slices(b)):
                 yield batch.filter(pa.array([not search(x) for x in texts(batch)], pa.bool_()))
 
-        kept = kept.mapInArrow(run, documents.schema)
+        kept = in_arrow(kept, run, documents.schema)
     return kept
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: DuckDB SQL for the registered query: all shingles of both tables, joined.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+ds AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+bs AS (SELECT DISTINCT q, item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0),
+n AS (SELECT q, count(*) AS n_item FROM bs GROUP BY q),
+m AS (SELECT r, doc_id, q, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containment FROM m JOIN n USING (q) WHERE n_shared >= 0.8 * n_item - 1e-9
+"""

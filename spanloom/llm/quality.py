@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fold, map_rows, slices, table, texts
+from spanloom.llm.common import fold, in_arrow, map_rows, slices, table, texts
 from spanloom.plans.scratch import materialise
 
 FOLDS, HELD_OUT = 5, 0
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, label: str) -> Discriminant:
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["y", "sums"])
 
     own = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), "x")
-    parts = own.mapInArrow(run, "y int, sums array<double>").select("y", F.posexplode("sums").alias("i", "s"))
+    parts = in_arrow(own, run, "y int, sums array<double>").select("y", F.posexplode("sums").alias("i", "s"))
     sums = np.zeros((2, 1 + size + size * size))
     for r in parts.groupBy("y", "i").agg(F.sum("s").alias("s")).collect():  # two classes by the moments' fixed number
         sums[r["y"], r["i"]] = r["s"]
@@ -175,7 +175,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality") -
             scores = sent.value.scores(np.array([features(t) for t in texts(batch)]))
             yield batch.filter(pa.array(scores >= CUT))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_arrow(documents, run, documents.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import map_rows, slices, table, texts
+from spanloom.llm.common import in_arrow, map_rows, slices, table, texts
 from spanloom.plans.scratch import materialise
 
 #: Kinds in the order that breaks ties of position; the first three are the base.
@@ -191,7 +191,7 @@ def redact_live(documents: DataFrame, owner: Column, repository: Column, mark: s
                         arrays[place[name]] = pa.array(values, arrays[place[name]].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return joined.mapInArrow(run, documents.schema)
+    return in_arrow(joined, run, documents.schema)
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
