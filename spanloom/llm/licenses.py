@@ -163,3 +163,19 @@ def license_matches(documents: DataFrame, templates: tuple[tuple[str, str, str],
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the registered query: template shingles against all shingles of each document."""
+    shingles = [shingles_of(words_of(t[2])) for t in TEMPLATES]
+    wanted = ", ".join(f"({i}, '{s}')" for i, own in enumerate(shingles) for s in own)
+    named = ", ".join(f"({i}, '{t[0]}', '{t[1]}', {f}, {len(s)})" for i, (t, f, s) in enumerate(zip(TEMPLATES, families(shingles), shingles, strict=True)))
+    return rf"""
+WITH t(template, s) AS (VALUES {wanted}), k(template, license, form, family, n) AS (VALUES {named}),
+d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+r AS (SELECT row_number() OVER () AS r, doc_id, w FROM d WHERE len(w) > 0),
+ds AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM r),
+m AS (SELECT r, doc_id, template, count(*) AS n_shared FROM ds JOIN t USING (s) GROUP BY ALL)
+SELECT doc_id, license, form, n_shared, CAST(n AS BIGINT) AS n_template, n_shared::DOUBLE / n AS containment
+FROM m JOIN k USING (template) WHERE n_shared >= {THRESHOLD} * n - 1e-9 QUALIFY rank() OVER (PARTITION BY r, family ORDER BY n_shared::DOUBLE / n DESC) = 1
+"""

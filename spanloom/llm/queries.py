@@ -15,5 +15,9 @@ QUERIES = {
     "op10_compression": compression.op10_compression,
 }
 
-#: DuckDB SQL by query; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL by query, where SQL can state it; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontaminate.ORACLE,
+    "op6_substrings": substrings.ORACLE,
+    "op9_licenses": licenses.oracle(),
+}
