@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.plans.scratch import materialise
+
 Keys = Sequence[str]
 
 
@@ -90,14 +92,16 @@ def dominant_regions(segments: DataFrame, limits: DataFrame, keys: Keys, item: s
     and merged over short gaps, never across a stretch where only others are active. ``chosen`` names the item instead of the
     dominant one; a key in which it isn't active gets no regions.
     """
-    united = islands(segments, [*keys, item])
+    # Tables between the steps: each is read several times, and far smaller than the segments.
+    united = materialise(islands(segments, [*keys, item]), "united")
     totals = united.groupBy(*keys, item).agg(F.sum(F.col("b") - F.col("a")).alias("total"))
     best = dominant(totals, keys, item) if chosen is None else totals.where(F.col(item) == chosen)
+    best = materialise(best, "dominant")
     marked = united.join(best.select(*keys, F.col(item).alias("_best")), list(keys))
     own = marked.where(F.col(item) == F.col("_best")).select(*keys, "a", "b")
     others = marked.where(F.col(item) != F.col("_best")).select(*keys, "a", "b")
-    walls = difference(others, own, keys)
-    grown = padded(own.join(limits, list(keys)), walls, keys, pad, "n")
+    walls = materialise(difference(others, own, keys), "walls")
+    grown = materialise(padded(own.join(limits, list(keys)), walls, keys, pad, "n"), "grown")
     return best, gap_merged(grown, walls, keys, gap)
 
 
