@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import in_arrow, table
 
 #: Share of lines in common from which two pages are copies of each other.
-COPY = 0.5
+COPY = 0.8
 #: Rows a batch of the pairing step sends back at once.
 SENT = 256
 
@@ -46,6 +46,8 @@ _FRAME = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select"
 _FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar", "note"}
 #: Words of a class or id that name a part of the frame.
 _FRAME_WORDS = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "ad", "ads", "advert", "adverts", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "notice", "newsletter", "subscribe", "subscription", "signup", "social", "share", "sharing", "related", "recommended", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "respond", "popup", "modal", "overlay", "widget", "pagination", "pager", "masthead", "toolbar", "skip", "login", "search"}
+#: Beginnings of such words, as in names that run words together.
+_FRAME_STARTS = ("advert", "adsby", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "promo", "sidebar", "sponsor")
 #: Such words count outside an article only.
 _OUTER_WORDS = {"header", "head", "top", "bottom"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -68,25 +70,32 @@ def _is_frame(tag: str, attributes: dict[str, str], bare: str, in_article: bool)
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.IGNORECASE):
         return True
     names = set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return tag not in ("html", "body", "article", "main") and bool(names & _FRAME_WORDS or not in_article and names & _OUTER_WORDS) or tag == "article" and bool(names & {"comment", "comments", "ad", "ads", "advert", "related"})
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return bool(names & {"ad", "ads", "related"}) or any(n.startswith(("advert", "comment", "sponsor")) for n in names)
+    return bool(names & _FRAME_WORDS) or any(n.startswith(_FRAME_STARTS) for n in names) or not in_article and bool(names & _OUTER_WORDS)
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
-    """The text lines of a page in order, one a block: (text, 2 in a marked article, 1 in no frame, 0 in the frame)."""
+    """The text lines of a page in order, one a block: (text, kind).
+
+    Kinds: 3 in a marked article, 2 in the marked main part alone, 1 in neither, 0 in the frame.
+    """
     found: list[tuple[str, int]] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, in the frame, in an article
-    frame = article = False
+    open_: list[tuple[str, bool, int]] = []  # tag, in the frame, kind of part
+    frame, part = False, 1
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            found.append((text, 0 if frame else 2 if article else 1))
+            found.append((text, 0 if frame else part))
         parts.clear()
 
     def restore() -> None:
-        nonlocal frame, article
-        frame, article = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+        nonlocal frame, part
+        frame, part = (open_[-1][1], open_[-1][2]) if open_ else (False, 1)
 
     at, size = 0, len(html)
     while at < size:
@@ -136,12 +145,14 @@ def lines_of(html: str) -> list[tuple[str, int]]:
                     break
         if tag in _VOID or rest.endswith("/"):
             continue
-        own = frame or _is_frame(tag, attributes, re.sub(_ATTRIBUTE, "", rest), article)
+        own = frame or _is_frame(tag, attributes, re.sub(_ATTRIBUTE, "", rest), part > 1)
         if own and not frame and inline:
             flush()
         frame = own
-        article = article or not frame and (tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article"))
-        open_.append((tag, frame, article))
+        if not frame:
+            role = attributes.get("role", "").lower()
+            part = max(part, 3 if "article" in (tag, role) else 2 if "main" in (tag, role) else 1)
+        open_.append((tag, frame, part))
     flush()
     return found
 
@@ -192,8 +203,8 @@ def main_text(lines: list[tuple[str, int]], neighbour: list[int] | None) -> str:
     shared = shared_lines(own, neighbour) if neighbour else set()
     if neighbour and len(shared) >= COPY * max(len(own), len(neighbour)):
         shared = set()
-    wanted = 2 if any(kind == 2 for _, kind in lines) else 1
-    return "\n\n".join(t for i, (t, kind) in enumerate(lines) if kind == 2 or kind == wanted and i not in shared)
+    wanted = max((kind for _, kind in lines), default=0)
+    return "\n\n".join(t for i, (t, kind) in enumerate(lines) if kind and kind == wanted and (kind > 1 or i not in shared))
 
 
 def hash_line(text: str) -> int:
@@ -237,7 +248,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.int32()), pa.array(guests, pa.bool_())], names=[*schema.names, "part", "guest"])
 
-    split = placed.mapInArrow(deal, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", part int, guest boolean")
+    split = in_arrow(placed, deal, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", part int, guest boolean")
     sorted_ = split.repartition(n, "part").sortWithinPartitions("part", "host", "path", "tie", F.xxhash64("html"), "guest")
 
     def pair(batches):
@@ -269,7 +280,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
         ids, urls, texts, sizes = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return sorted_.mapInArrow(pair, f"page_id {kind}, url string, text string, n_chars long")
+    return in_arrow(sorted_, pair, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def _with_end(rows):
