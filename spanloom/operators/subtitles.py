@@ -6,9 +6,11 @@ from bisect import bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from spanloom.functions.text import differences, wrapped
+from spanloom.functions.text import differences, token_diff, wrapped
+from spanloom.operators.intervals import locate
 from spanloom.operators.reconcile import Word
 
 #: A cue's greatest pause inside, seconds and characters: fixed values of the format.
@@ -106,3 +108,26 @@ def compare(chunks: Sequence[dict], channels: dict[str, dict]) -> list[dict]:
         conflicts = differences(variants["A"]["text"], variants["B"]["text"]) if "B" in variants else []
         segments.append({"id": f"S{i + 1:06d}", "window": [c["core_start"], c["core_end"]], "input_window": [c["start"], c["end"]], "variants": variants, "conflicts": conflicts})
     return segments
+
+
+def compare_rows(words: DataFrame, chunks: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``compare`` for many recordings, as joins: rec_id, id, chunk_idx, variants (by channel text and input_text) and conflicts.
+
+    Words: rec_id, channel, pos, start, end, text. Chunks: rec_id, chunk_idx, core_start, core_end. Transcripts: rec_id, channel,
+    chunk_idx, text; they say which channels there are. Times count in microseconds.
+    """
+    def micros(c: Column) -> Column:
+        return F.rint(c * 1_000_000).cast("long")
+
+    spans = chunks.select("rec_id", F.col("chunk_idx").cast("long").alias("i"), micros(F.col("core_start")).alias("a"), micros(F.col("core_end")).alias("b"))
+    points = words.select("rec_id", F.struct("channel", "pos", "text").alias("w"), micros((F.col("start") + F.col("end")) / 2).alias("t"))
+    placed = locate(points, spans, ["rec_id"], "t", "w", "i")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("w.pos", "w.text"))), lambda s: s["text"])
+    texts = placed.groupBy("rec_id", F.col("i").cast("int").alias("chunk_idx"), F.col("w.channel").alias("channel")).agg(F.array_join(parts, " ").alias("merged"))
+    both = transcripts.select("rec_id", "channel", F.col("chunk_idx").cast("int").alias("chunk_idx"), F.col("text").alias("input_text")).join(texts, ["rec_id", "chunk_idx", "channel"], "left")
+    variant = F.struct("channel", F.struct(F.coalesce("merged", F.lit("")).alias("text"), "input_text"))
+    rows = both.groupBy("rec_id", "chunk_idx").agg(F.map_from_entries(F.sort_array(F.collect_list(variant))).alias("variants"))
+    a, b = (F.col("variants")[c]["text"] for c in "AB")
+    nothing = F.array().cast("array<struct<a:string,b:string,operation:string>>")
+    name = F.concat(F.lit("S"), F.lpad((F.col("chunk_idx") + 1).cast("string"), 6, "0"))
+    return rows.select("rec_id", name.alias("id"), "chunk_idx", "variants", F.when(b.isNotNull(), token_diff(a, b)).otherwise(nothing).alias("conflicts"))

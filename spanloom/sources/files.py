@@ -53,6 +53,13 @@ def digests(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def changed(spark: SparkSession, pattern: str, expected: DataFrame) -> DataFrame:
+    """Files whose digest isn't the expected one: name, sha256 (null: the file is gone) and expected."""
+    found = digests(spark, pattern).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    both = expected.select("name", F.col("sha256").alias("expected")).join(found, "name", "left")
+    return both.where(~F.col("sha256").eqNullSafe(F.col("expected")))
+
+
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """All JSON documents of a folder in order of their names."""
     rows = spark.read.option("multiLine", True).json(f"{folder}/*.json").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
