@@ -33,22 +33,33 @@ from spanloom.llm.common import map_rows, row_key, table, texts
 from spanloom.plans.scratch import materialise, release
 
 WINDOW, KMER = 20, 8
-#: Words a worker keeps hashed; the cache starts anew when full.
-CACHED_WORDS = 300_000
+#: Bytes of text hashed in one pass, small enough for a core's cache.
+PASS_BYTES = 1 << 17
+#: Multiplier of the rolling hashes, and its inverse modulo 2**64.
 _ODD = 0x9E3779B97F4A7C15
+_BACK = pow(_ODD, -1, 1 << 64)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
+def _rolled(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial in the multiplier, and the powers that bring a stretch of them back to its start."""
+    n = len(values)
+    if len(_powers[0]) <= n:
+        for i, base in enumerate((_ODD, _BACK)):
+            table = np.full(max(1 << 16, 2 * n), base, dtype=np.uint64)
+            table[0] = 1
+            _powers[i] = np.multiply.accumulate(table)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * _powers[0][:n], out=sums[1:])
+    return sums, _powers[1]
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-_hashes = _WordHashes()
+def _stretch(sums: np.ndarray, back: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches [low, high): equal for equal values, wherever they stand."""
+    return _mixed((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,33 +83,45 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def word_hashes(given: list[str]) -> list[np.ndarray]:
+    """For each text the hashes of its words, in passes over the bytes of many small texts or of one large one."""
+    found, held, size = [], [], 0
+    for text in given:
+        held.append(text.encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= PASS_BYTES:
+            found += _hashes_of(held)
+            held, size = [], 0
+    return found + (_hashes_of(held) if held else [])
+
+
+def _hashes_of(data: list[bytes]) -> list[np.ndarray]:
+    flat = np.frombuffer(b" ".join(data) + b" ", dtype=np.uint8)
+    turns = np.flatnonzero(np.diff(_WHITE[flat], prepend=True))  # word begins, word ends, by turns
+    low, high = turns[::2], turns[1::2]
+    sums, back = _rolled(flat.astype(np.uint64) + np.uint64(1))
+    ends = np.cumsum([len(d) + 1 for d in data])
+    return np.split(_stretch(sums, back, low, high), np.searchsorted(low, ends[:-1]))
+
+
 class Sampled:
     """The sampled edges of one document: where they start, their hashes, and the edge that each window samples."""
 
-    def __init__(self, words: list[bytes], window: int = WINDOW, kmer: int = KMER):
-        h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = len(h) - kmer + 1
-        rolled = np.zeros(n, dtype=np.uint64)
-        for i in range(kmer):
-            rolled = rolled * np.uint64(_ODD) + h[i : i + n]
-        kmers = _mixed(rolled)
+    def __init__(self, words: np.ndarray, window: int = WINDOW, kmer: int = KMER):
+        self.sums, self.back = _rolled(words)
+        begin = np.arange(len(words) - kmer + 1)
+        kmers = _stretch(self.sums, self.back, begin, begin + kmer)
         least = _first_least(kmers, window - kmer + 1)
-        chosen = np.zeros(n, dtype=bool)
+        chosen = np.zeros(len(kmers), dtype=bool)
         chosen[least] = True
         self.at = np.flatnonzero(chosen)
         self.edges = kmers[self.at].view(np.int64)
         self.of_window = (np.cumsum(chosen) - 1)[least]
-        self.words = h
 
     def stretches(self) -> np.ndarray:
         """Hash of the words from the edge before to each edge; zero for the first."""
         out = np.zeros(len(self.at), dtype=np.uint64)
-        gaps = np.diff(self.at)
-        # Gaps are shorter than a window, so the words are added place by place for all edges at once.
-        for i in range(int(gaps.max(initial=0))):
-            live = gaps > i
-            out[1:][live] = out[1:][live] * np.uint64(_ODD) + self.words[self.at[:-1][live] + i]
-        out[1:] = _mixed(out[1:] + gaps.astype(np.uint64)) | np.uint64(1)
+        out[1:] = _stretch(self.sums, self.back, self.at[:-1], self.at[1:]) | np.uint64(1)
         return out.view(np.int64)
 
 
@@ -108,8 +131,7 @@ def edges(documents: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts, rows = [], []
-            for row, text in zip(batch.column("row").to_pylist(), texts(batch), strict=True):
-                words = words_of(text)
+            for row, words in zip(batch.column("row").to_pylist(), word_hashes(texts(batch)), strict=True):
                 if len(words) >= window:
                     s = Sampled(words, window, kmer)
                     parts.append((s.edges, s.at.astype(np.int32), s.stretches()))
@@ -138,7 +160,7 @@ def compacted(all_edges: DataFrame) -> DataFrame:
     return marks
 
 
-def coordinates(words: list[bytes], at: np.ndarray, counts: np.ndarray, alone: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> list[tuple[int, int]]:
+def coordinates(words: np.ndarray, at: np.ndarray, counts: np.ndarray, alone: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> list[tuple[int, int]]:
     """(start, words) of the paths, and of the windows that cross a branch, which may be repeated.
 
     ``at``, ``counts`` and ``alone`` are the document's marks: places, occurrences, whether one stretch leads there.
@@ -173,11 +195,13 @@ def spans(marked: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFram
             column = batch.column("marks")
             bounds, flat = column.offsets.to_numpy(), column.values
             at, counts, alone = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "single"))
-            for i, text in enumerate(texts(batch)):
-                words, own = words_of(text), slice(bounds[i], bounds[i + 1])
-                found = coordinates(words, at[own], counts[own], alone[own], window, kmer)
+            given = texts(batch)
+            for i, hashes in enumerate(word_hashes(given)):
+                own = slice(bounds[i], bounds[i + 1])
+                found = coordinates(hashes, at[own], counts[own], alone[own], window, kmer)
                 if not found:
                     continue
+                words = words_of(given[i])
                 joint = b" ".join(words)
                 ends = np.cumsum([len(w) + 1 for w in words]).tolist()
                 begins = [0, *ends]
