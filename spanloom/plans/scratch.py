@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Folders made up for sessions without the setting, by application.
+_made_up: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one is made up only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        application = spark.sparkContext.applicationId
+        if application not in _made_up:
+            _made_up[application] = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
+            spark.sparkContext.setCheckpointDir(_made_up[application])
+        found = _made_up[application]
     return found.rstrip("/")
 
 
