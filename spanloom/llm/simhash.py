@@ -151,7 +151,7 @@ def one_of_each_group(documents: DataFrame, radius: int = 2, shingle: int = SHIN
     name = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     chosen = _least_of_groups(prints, name, radius).select(F.col("least.row").alias("__row")).distinct()
     # What is kept grows with the corpus, so it is never sent to all tasks, small as it may be here.
-    return keyed.join(chosen.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).select(*documents.columns)
+    return keyed.join(chosen.hint("merge"), "__row", "left_semi").dropDuplicates(["__row", "doc_id"]).select(*documents.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

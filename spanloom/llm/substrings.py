@@ -167,8 +167,9 @@ def coordinates(words: np.ndarray, at: np.ndarray, counts: np.ndarray, alone: np
     """
     s = Sampled(words, window, kmer)
     n, single = np.zeros(len(s.at), dtype=np.int64), np.zeros(len(s.at), dtype=bool)
-    where = np.searchsorted(s.at, at)
-    n[where], single[where] = counts, alone
+    where = np.minimum(np.searchsorted(s.at, at), len(s.at) - 1)
+    own = s.at[where] == at  # but for the marks of another row, if two keys ever met
+    n[where[own]], single[where[own]] = counts[own], alone[own]
     joined = np.zeros(len(s.at), dtype=bool)
     joined[1:] = single[1:] & (n[1:] > 1) & (n[1:] == n[:-1])
     path = np.cumsum(~joined) - 1
@@ -177,8 +178,8 @@ def coordinates(words: np.ndarray, at: np.ndarray, counts: np.ndarray, alone: np
     low, high = s.at[first], s.at[last] + kmer
     whole = (n[first] > 1) & (high - low >= window)
     starts = np.arange(len(s.of_window))
-    own = path[s.of_window]
-    inside = whole[own] & (starts >= low[own]) & (starts + window <= high[own])
+    around = path[s.of_window]
+    inside = whole[around] & (starts >= low[around]) & (starts + window <= high[around])
     loose = np.flatnonzero((n[s.of_window] > 1) & ~inside)
     found = [(int(a), int(b - a)) for a, b in zip(low[whole], high[whole], strict=True)]
     return found + [(a, window) for a in loose.tolist()]
@@ -198,7 +199,7 @@ def spans(marked: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFram
             given = texts(batch)
             for i, hashes in enumerate(word_hashes(given)):
                 own = slice(bounds[i], bounds[i + 1])
-                found = coordinates(hashes, at[own], counts[own], alone[own], window, kmer)
+                found = coordinates(hashes, at[own], counts[own], alone[own], window, kmer) if len(hashes) >= window else []
                 if not found:
                     continue
                 words = words_of(given[i])
@@ -238,8 +239,9 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, kmer: int = KMER)
 def keep_mask(n: int, gone: list[dict] | None) -> np.ndarray:
     edge = np.zeros(n + 1, dtype=np.int64)
     for s in gone or ():
-        edge[s["start"]] += 1
-        edge[s["start"] + s["length"]] -= 1
+        if s["start"] + s["length"] <= n:
+            edge[s["start"]] += 1
+            edge[s["start"] + s["length"]] -= 1
     return np.cumsum(edge[:-1]) == 0
 
 
