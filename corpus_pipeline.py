@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE (3): token ids of each text, and whether decoding them gives the text again."""
     path = public_tokenizers.path(bpe.VOCABULARY)
     own = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    both = bpe.decode_ids(bpe.encode_texts(own, path), path, keep_ids=True)
+    both = bpe.encode_texts(own, path, decoded="decoded")
     exact = (F.sha2("decoded", 256) == F.col("text_sha256")).alias("exact")
     return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", exact)
 

@@ -30,8 +30,8 @@ from spanloom.llm.common import in_arrow, slices, table, texts
 #: File of ranks that the registered query uses.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker keeps encoded, and pairs whose compatibility it keeps; both caches start anew when full.
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 200_000
+CACHED_PIECES = 200_000
+CACHED_PAIRS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -192,27 +192,32 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(path, pattern)
 
 
-def encode_texts(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", into: str = "ids", keep_text: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", into: str = "ids", keep_text: bool = False, decoded: str | None = None) -> DataFrame:
     """Adds ``into``, the token ids of ``text`` as array<int>, to all other columns.
 
-    Null text gives no ids, as empty text does. The text itself goes unless ``keep_text``. Tables without rows give
-    none. A column already named ``into`` is replaced.
+    With ``decoded`` the bytes that the ids stand for come too, decoded from the ids by the same worker, so that a round
+    trip takes one Python process a task. Null text gives no ids, as empty text does. The text itself goes unless
+    ``keep_text``. Tables without rows give none. Columns already named ``into`` or ``decoded`` are replaced.
     """
-    kept = [f for f in df.schema.fields if f.name != into and (keep_text or f.name != text)]
-    source = df.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{f.name}`").alias(f"__c{i}") for i, f in enumerate(kept)])
-    schema = T.StructType([*(T.StructField(f"__c{i}", f.dataType, True) for i, f in enumerate(kept)), T.StructField("__ids", T.ArrayType(T.IntegerType(), True))])
+    kept = [f for f in df.schema.fields if f.name not in (into, decoded) and (keep_text or f.name != text)]
+    names = [f"__c{i}" for i in range(len(kept))]
+    source = df.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names, strict=True)])
+    added = [T.StructField("__ids", T.ArrayType(T.IntegerType(), True)), *([T.StructField("__decoded", T.BinaryType())] if decoded else [])]
+    schema = T.StructType([*(T.StructField(n, f.dataType, True) for f, n in zip(kept, names, strict=True)), *added])
 
     def run(batches):
-        coder = text_encoder(path, pattern)
+        coder, token = text_encoder(path, pattern), decoding_table(path).__getitem__
         for batch in (x for b in batches for x in slices(b, "__text")):
             packed = [coder.packed(x) for x in texts(batch, "__text")]
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
-            columns = [batch.column(f"__c{i}") for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, ids], names=[*(f"__c{i}" for i in range(len(kept))), "__ids"])
+            columns = [*(batch.column(n) for n in names), ids]
+            if decoded:
+                columns.append(pa.array([b"".join(map(token, np.frombuffer(x, dtype=np.int32).tolist())) for x in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return in_arrow(source, run, schema).toDF(*[f.name for f in kept], into)
+    return in_arrow(source, run, schema).toDF(*[f.name for f in kept], into, *([decoded] if decoded else []))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep_ids: bool = False) -> DataFrame:
@@ -233,14 +238,12 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
 
 def round_trip(documents: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row: the ids encoded, then the bytes decoded from them."""
-    ids = encode_texts(documents.select("doc_id", "text"), path, pattern)
-    counted = ids.select(
+    return encode_texts(documents.select("doc_id", "text"), path, pattern, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return decode_ids(counted, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

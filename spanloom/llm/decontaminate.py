@@ -31,7 +31,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Characters of benchmark text in one block, which bounds what a worker holds.
 BLOCK_CHARS = 4_000_000
 #: Words a worker keeps hashed; the cache starts anew when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 _WORDS = re.compile(r"\w+").findall
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
