@@ -14,7 +14,9 @@ pass through unchanged. Nothing is truncated: a text is one row whatever its len
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -29,9 +31,9 @@ from spanloom.llm.common import in_arrow, slices, table, texts
 
 #: File of ranks that the registered query uses.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a worker keeps encoded, and pairs whose compatibility it keeps; both caches start anew when full.
+#: Pieces that a worker keeps encoded, and pairs whose compatibility it keeps; the first drops its older half when full, the second starts anew.
 CACHED_PIECES = 200_000
-CACHED_PAIRS = 100_000
+CACHED_PAIRS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +52,7 @@ class BytePairEncoder:
         #: The two tokens whose merge makes a token; a token that no merge makes stands for itself twice.
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by the left rank's bits above the right one's
         self._find_parts()
         reachable = [t for t, r in ranks.items() if len(t) == 1 or self.parts[r][0] != r]
         self.shorter = self._prefix_links(reachable)
@@ -99,7 +101,7 @@ class BytePairEncoder:
                 bound, right = right + 1, inner_right
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= CACHED_PAIRS:
@@ -112,24 +114,36 @@ class BytePairEncoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size = len(piece)
-        longest = [0] * size
+        size, latin = len(piece), piece.decode("latin-1")
         length, shorter, pairs = self.length, self.shorter, self.pairs
-        for end, rank in self.automaton.iter(piece.decode("latin-1")):
+        # The walk's first way takes the longest match at each place, up to the first neighbours that don't fit.
+        first = [rank for _, rank in self.automaton.iter_long(latin)]
+        last, at = first[0], 0
+        for n, token in enumerate(first[1:], 1):
+            fits = pairs.get(last << 32 | token)
+            if fits is None:
+                fits = self.compatible(last, token)
+            if not fits:
+                break
+            at += length[last]
+            last = token
+        else:
+            return first
+        ids: list[int] = first[:n]
+        at += length[last]
+        longest = [0] * size
+        for end, rank in self.automaton.iter(latin):
             start = end - length[rank] + 1
             if not longest[start] or length[longest[start] - 1] < length[rank]:
                 longest[start] = rank + 1  # zero: none
         open_ = bytearray(b"\x01") * (size + 1)
-        ids: list[int] = []
-        at = 0
-        token: int | None = longest[0] - 1
         while at < size:
             while token is not None:
                 end = at + length[token]
                 if open_[end]:
                     if not ids:
                         break
-                    fits = pairs.get((ids[-1], token))
+                    fits = pairs.get(ids[-1] << 32 | token)
                     if fits is None:
                         fits = self.compatible(ids[-1], token)
                     if fits:
@@ -177,10 +191,11 @@ class TextEncoder:
         for p in pieces:
             found = cache.get(p)
             if found is None:
-                found = np.array(encode(p.encode("utf-8", "surrogatepass")), dtype=np.int32).tobytes()
+                found = array("i", encode(p.encode("utf-8", "surrogatepass"))).tobytes()
                 if len(p) <= 64:  # a long piece hardly comes again
                     if len(cache) >= CACHED_PIECES:
-                        cache.clear()
+                        for old in list(islice(cache, CACHED_PIECES // 2)):
+                            del cache[old]
                     cache[p] = found
             out.append(found)
         return b"".join(out)
