@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
 A scan finds candidates in every whole text: the three base kinds, and wider kinds (provider tokens, web tokens,
-private-key headers, dense random-looking strings) that alone would raise many false alarms. Each candidate's value is
+whole private keys, dense random-looking strings) that alone would raise many false alarms. Each candidate's value is
 hashed, and the hashes are counted over the whole corpus by distinct repositories and distinct owners. A value that
 several owners hold is an example that has been copied around; a value with one owner that looks random is a live
 credential of that owner. Base spans always stay; spans of the wider kinds are added only where the count leaves a
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -41,6 +42,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 PROVIDER = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})")
 WEBTOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+FOOTER = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: What stands between the lines of a key: white space, escaped or not, and the signs of quoted, joined or commented lines.
+_BETWEEN = re.compile(r"""(?:\s|\\[nrt]|["',;>#*|]|\+(?=\s))*""")
+_KEY_LINE = re.compile(r"(?:[A-Za-z0-9+/]|\\/)+={0,2}")
+_KEY_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: [^\n\\]*")
+_LINE_END = re.compile(r"""(?:[^\S\n]|["',;+|])*(?:\n|\\[nr]|\Z)""")
+#: Characters from which a line is one of a key wherever it stands.
+KEY_LINE = 32
 DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}")
 #: Owners from which a value is an example, and bits a character from which it looks random.
 EXAMPLE_OWNERS, LEAST_BITS = 3, 3.0
@@ -60,6 +69,8 @@ def digest(value: str) -> bytes:
 
 
 def looks_random(value: str) -> bool:
+    if value.startswith("-----BEGIN") and any(bits_per_character(m[0]) >= DENSE_BITS for m in DENSE.finditer(value)):
+        return True  # by chance a long key may hold the letters of a placeholder
     return bits_per_character(value) >= LEAST_BITS and not _PLACEHOLDER.search(value)
 
 
@@ -75,18 +86,53 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def key_end(text: str, start: int) -> int:
+    """Where the private key whose header ends at ``start`` ends: after its footer, or with its base64 lines if that is missing."""
+    after = text.find("-----BEGIN", start)
+    after = after if after >= 0 else len(text)
+    footer = FOOTER.search(text, start, after)
+    if footer:
+        return footer.end()
+    end, first = start, 0
+    at = _BETWEEN.match(text, start, after).end()
+    while header := _KEY_HEADER.match(text, at, after):
+        end = header.end()
+        at = _BETWEEN.match(text, end, after).end()
+    # All lines but the last are as long as the first.
+    while line := _KEY_LINE.match(text, at, after):
+        n = line.end() - at
+        if n < KEY_LINE and not (first >= KEY_LINE or _LINE_END.match(text, line.end(), after)):
+            break
+        end, first = line.end(), first or n
+        if n < min(first, KEY_LINE):
+            break
+        at = _BETWEEN.match(text, end, after).end()
+    return end
+
+
+def key_value(text: str, start: int, end: int) -> str:
+    """A key's header and body, however its lines are broken, quoted or escaped."""
+    return re.sub(r"""\s|\\[nrt]|\\(?=/)|["',;>#*|]|\+(?=\s)""", "", FOOTER.sub("", text[start:end]))
+
+
 def wider_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, kind, value) of the wider kinds."""
-    found = []
+    found, keys = [], []
     if "_" in text or "-" in text or "AIza" in text:
         found += [(m.start(), m.end(), 3, m[0]) for m in PROVIDER.finditer(text)]
     if "eyJ" in text:
         found += [(m.start(), m.end(), 4, m[0]) for m in WEBTOKEN.finditer(text)]
     if "-----BEGIN" in text:
         for m in PRIVATE.finditer(text):
-            found.append((m.start(), m.end(), 5, text[m.start() : m.end() + 64]))
+            end = key_end(text, m.end())
+            found.append((m.start(), end, 5, key_value(text, m.start(), end)))
+            keys.append((m.start(), end))
     for m in DENSE.finditer(text):
         value = m[0]
+        if keys:  # a key's lines stand or go with the whole key
+            at = bisect_right(keys, (m.start(), len(text))) - 1
+            if at >= 0 and m.end() <= keys[at][1]:
+                continue
         if not value.isupper() and not value.islower() and any(map(str.isdigit, value)) and bits_per_character(value) >= DENSE_BITS:
             found.append((m.start(), m.end(), 6, value))
     return found
