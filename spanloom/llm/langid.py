@@ -7,6 +7,10 @@ discount an order. The four-grams of all languages stand in one sorted array of
 probabilities, so a character costs one search for all languages; a four-gram that no language has seen backs off by
 the models' own arrays. A text gets the language of least cross-entropy a character.
 
+All counted four-grams make the models, however many. Models of more than ``SENT_CELLS`` log probabilities aren't sent
+whole: counts, discounts and totals of all orders are tables, the log probabilities of the four-grams that occur in the
+texts to be scored come from joins, and each block of them by hash meets all texts in a pass of its own.
+
 A fold of the training rows is left out of the counts and calibrates two things: the score, the share of right answers
 among fold rows of like evidence, made monotone; and rejection, for each language the cross-entropy that one in
 ``REJECTED`` of its fold rows exceeds. Both come from histograms with fixed bins, summed over the whole fold.
@@ -19,12 +23,13 @@ signs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import fold, in_arrow, map_rows, slices, table, texts
@@ -32,8 +37,8 @@ from spanloom.plans.scratch import materialise
 
 ORDER = 4
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
-#: Four-grams a language's model keeps, the most frequent first: bounds what is sent to the workers.
-MAX_GRAMS = 200_000
+#: Log probabilities (four-grams times languages) that are sent to the workers at once; more go in several passes.
+SENT_CELLS = 4_000_000
 #: One in so many fold rows of a language lies above its limit of cross-entropy.
 REJECTED = 1000
 #: Characters worked on at once.
@@ -100,6 +105,11 @@ class _Sorted:
         return np.minimum(at, max(0, len(self.hashes) - 1)), (self.padded[at] == h) & (at < len(self.hashes))
 
 
+def discount_of(ones: float, twos: float) -> float:
+    """From the numbers of grams with counts of one and two."""
+    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+
 class KneserNey:
     """Interpolated Kneser-Ney log probabilities of one language."""
 
@@ -113,7 +123,7 @@ class KneserNey:
         self.floor = 1.0 / signs
         for n, (own, c) in enumerate(reversed(grams), 1):
             ones, twos = float((c == 1).sum()), float((c == 2).sum())
-            discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            discount = discount_of(ones, twos)
             heads, which, types = np.unique(own >> np.uint64(16), return_inverse=True, return_counts=True)
             total = np.bincount(which, weights=c, minlength=len(heads))
             spare = discount * types / total
@@ -136,16 +146,142 @@ class KneserNey:
         return out
 
 
+def _suffix(gram: Column, n: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << 16 * n) - 1).cast("long"))
+
+
+def _head(gram: Column) -> Column:
+    return F.shiftrightunsigned(gram, 16)
+
+
+def _by_language(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for lang, v in values.items() for x in (lang, float(v))])[F.col("lang")]
+
+
+class GramTables:
+    """The same models as ``KneserNey`` makes, of any size: counts and totals by language as tables."""
+
+    def __init__(self, grams: DataFrame, languages: list[str], sent_cells: int):
+        self.languages, self.sent_cells = languages, sent_cells
+        self.levels: list[tuple[DataFrame, DataFrame, Column]] = []
+        level = grams.select("lang", "gram", F.col("n").cast("double").alias("c"))
+        for n in range(ORDER, 0, -1):
+            if n < ORDER:
+                level = materialise(level.groupBy("lang", _suffix(F.col("gram"), n).alias("gram")).agg(F.count("*").cast("double").alias("c")), "grams")
+            sums = level.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos"), F.count("*").alias("n")).collect()  # a row a language
+            discounts = {r["lang"]: discount_of(r["ones"], r["twos"]) for r in sums}
+            self.floor = _by_language({r["lang"]: 1.0 / (r["n"] + 1) for r in sums})
+            heads = level.groupBy("lang", _head(F.col("gram")).alias("head")).agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+            self.levels.insert(0, (level, materialise(heads, "heads"), _by_language(discounts)))
+
+    def _probabilities(self, wanted: DataFrame, n: int) -> DataFrame:
+        """lang, gram and p of each wanted n-gram in every language."""
+        counts, heads, discount = self.levels[n - 1]
+        languages = wanted.sparkSession.createDataFrame([(x,) for x in self.languages], "lang string")
+        each = wanted.crossJoin(F.broadcast(languages)).join(counts, ["lang", "gram"], "left")
+        each = each.withColumn("head", _head(F.col("gram"))).join(heads, ["lang", "head"], "left")
+        lower = self.floor
+        if n > 1:
+            below = materialise(self._probabilities(wanted.select(_suffix(F.col("gram"), n - 1).alias("gram")).distinct(), n - 1), "probabilities")
+            each = each.withColumn("suffix", _suffix(F.col("gram"), n - 1)).join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+            lower = F.col("lower")
+        p = F.coalesce((F.col("c") - discount) / F.col("total"), F.lit(0.0)) + F.coalesce(discount * F.col("types") / F.col("total"), F.lit(1.0)) * lower
+        return each.select("lang", "gram", p.alias("p"))
+
+    def measured(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``sums``, the log probabilities of their text by language, and its ``size``, in place of ``text``."""
+        width, context = len(self.languages), rows.sparkSession.sparkContext
+        keyed = rows.withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text")})
+        wanted = materialise(gram_counts(rows.select("text", F.lit("").alias("lang"))).select("gram"), "wanted")
+        place = F.create_map(*[x for i, lang in enumerate(self.languages) for x in (F.lit(lang), F.lit(i))])[F.col("lang")]
+        lists = self._probabilities(wanted, ORDER).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(place.alias("i"), F.log("p").cast("float").alias("v")))).alias("l"))
+        table = materialise(lists.select("gram", F.col("l.v").alias("values")), "vectors")
+        blocks = -(-table.count() * width // self.sent_cells) or 1
+        names, parts = [f"s{i}" for i in range(width)], None
+        for b in range(blocks):
+            own = table.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b).toArrow().combine_chunks()
+            values = np.asarray(own.column("values").combine_chunks().flatten(), dtype=np.float32).reshape(-1, width)
+            sent = context.broadcast(_Sorted(own.column("gram").to_numpy().view(np.uint64), values))
+
+            def make(sent=sent):
+                def look_up(grams: np.ndarray) -> np.ndarray:
+                    if not len(sent.value.hashes):
+                        return np.zeros((len(grams), width), dtype=np.float32)
+                    at, there = sent.value.find(grams)
+                    return sent.value.values[at] * there[:, None]  # zero, for other passes to add
+
+                def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+                    sums, sizes = sums_of(texts(batch), look_up, width)
+                    return pa.RecordBatch.from_arrays([batch.column("__a"), batch.column("__b"), pa.array(sizes), *map(pa.array, np.ascontiguousarray(sums.T))], names=["__a", "__b", "size", *names])
+
+                return f
+
+            found = map_rows(keyed.select("__a", "__b", "text"), make, ", ".join(["__a long, __b long, size long", *[f"{x} double" for x in names]]))
+            # Rows of one text are one row of sums.
+            part = materialise(found.groupBy("__a", "__b", "size").agg(*[F.max(x).alias(x) for x in names]), "sums")
+            sent.destroy()
+            parts = part if parts is None else parts.unionByName(part)
+        whole = materialise(parts.groupBy("__a", "__b", "size").agg(F.array(*[F.sum(x) for x in names]).alias("sums")), "sums")
+        return keyed.drop("text").join(whole, ["__a", "__b"]).drop("__a", "__b")
+
+
+def sums_of(given: list[str], look_up: Callable[[np.ndarray], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of what is looked up for each text's four-grams, and its number of characters."""
+    sums, sizes = np.zeros((len(given), width)), np.zeros(len(given), dtype=np.int64)
+    held: list[np.ndarray] = []
+    owners: list[int] = []
+
+    def settle() -> None:
+        if held:
+            values = look_up(np.concatenate(held))
+            starts = np.cumsum([0, *map(len, held[:-1])])
+            np.add.at(sums, owners, np.add.reduceat(values, starts, axis=0, dtype=np.float64))
+            held.clear()
+            owners.clear()
+
+    waiting = 0
+    for i, text in enumerate(given):
+        signs = signs_of(text)
+        for low in range(0, len(signs), PIECE):
+            part = grams_of(signs[low : low + PIECE]) if not low else grams_of(signs[low - ORDER + 1 : low + PIECE])[ORDER - 2 :]
+            if len(part):
+                held.append(part)
+                owners.append(i)
+                sizes[i] += len(part)
+                waiting += len(part)
+            if waiting >= PIECE:
+                settle()
+                waiting = 0
+    settle()
+    return sums, sizes
+
+
 @dataclass
 class LanguageModels:
     """The models of all languages, their joint table, and the calibration."""
 
     languages: list[str]
     models: list[KneserNey]
-    joint: _Sorted
+    joint: _Sorted | None
     #: Score by bin of evidence, and greatest accepted cross-entropy by language.
     scores: np.ndarray = field(default_factory=lambda: np.linspace(0.5, 1.0, EVIDENCE_BINS))
     limits: np.ndarray | None = None
+    #: In place of models and joint table, where those are too large to be sent.
+    tables: GramTables | None = None
+
+    def sendable(self) -> LanguageModels:
+        return replace(self, tables=None)
+
+    def measured(self, rows: DataFrame) -> DataFrame:
+        """The rows, with the sums of their text in its place where the models are tables."""
+        return rows if self.tables is None else self.tables.measured(rows)
+
+    def measures(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The entropies of a batch of ``measured``."""
+        if "text" in batch.schema.names:
+            return self.entropies(texts(batch))
+        sizes = batch.column("size").to_numpy()
+        return -np.asarray(batch.column("sums").flatten()).reshape(len(sizes), -1) / np.maximum(sizes, 1)[:, None], sizes
 
     @staticmethod
     def of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
@@ -164,32 +300,7 @@ class LanguageModels:
 
     def entropies(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character of each text under each language, and its number of characters."""
-        sums, sizes = np.zeros((len(given), len(self.models))), np.zeros(len(given), dtype=np.int64)
-        held: list[np.ndarray] = []
-        owners: list[int] = []
-
-        def settle() -> None:
-            if held:
-                values = self._log_probabilities(np.concatenate(held))
-                starts = np.cumsum([0, *map(len, held[:-1])])
-                np.add.at(sums, owners, np.add.reduceat(values, starts, axis=0, dtype=np.float64))
-                held.clear()
-                owners.clear()
-
-        waiting = 0
-        for i, text in enumerate(given):
-            signs = signs_of(text)
-            for low in range(0, len(signs), PIECE):
-                part = grams_of(signs[low : low + PIECE]) if not low else grams_of(signs[low - ORDER + 1 : low + PIECE])[ORDER - 2 :]
-                if len(part):
-                    held.append(part)
-                    owners.append(i)
-                    sizes[i] += len(part)
-                    waiting += len(part)
-                if waiting >= PIECE:
-                    settle()
-                    waiting = 0
-        settle()
+        sums, sizes = sums_of(given, self._log_probabilities, len(self.models))
         return -sums / np.maximum(sizes, 1)[:, None], sizes
 
     def evidence_bin(self, entropies: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -201,8 +312,8 @@ class LanguageModels:
         return np.minimum((np.log1p(odds) * 8).astype(np.int64), EVIDENCE_BINS - 1)
 
 
-def train(rows: DataFrame, max_grams: int = MAX_GRAMS) -> LanguageModels | None:
-    """Models from all rows of text and lang; None if there are none."""
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """lang, gram and n of all rows of text and lang."""
 
     def run(batches):
         counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -227,35 +338,36 @@ def train(rows: DataFrame, max_grams: int = MAX_GRAMS) -> LanguageModels | None:
                 k = keys[low : low + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n[low : low + 50_000])], names=["lang", "gram", "n"])
 
-    grams = in_arrow(rows.select("text", "lang"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = materialise(grams, "grams")
-    # The least count that fits the bound, from the histogram of counts: few rows, whatever the corpus.
-    least: dict[str, int] = {}
-    size: dict[str, int] = {}
-    capped = F.least("n", F.lit(10_000))
-    for r in grams.groupBy("lang", capped.alias("n")).agg(F.count("*").alias("types")).orderBy("lang", F.desc("n")).toLocalIterator():
-        size[r["lang"]] = size.get(r["lang"], 0) + r["types"]
-        if size[r["lang"]] <= max_grams or r["lang"] not in least:
-            least[r["lang"]] = r["n"]
-    if not least:
+    return in_arrow(rows.select("text", "lang"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def train(rows: DataFrame, sent_cells: int | None = None) -> LanguageModels | None:
+    """Models from all rows of text and lang; None if there are none."""
+    sent_cells = sent_cells or SENT_CELLS
+    grams = materialise(gram_counts(rows), "grams")
+    sizes = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not sizes:
         return None
-    cut = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(n)) for lang, n in sorted(least.items())])
-    kept = grams.where(F.col("n") >= cut).toArrow()
+    languages = sorted(sizes)
+    if sum(sizes.values()) * len(sizes) > sent_cells:
+        return LanguageModels(languages, [], None, tables=GramTables(grams, languages, sent_cells))
+    kept = grams.toArrow()
     langs = np.array(kept.column("lang").to_pylist())
     keys, n = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    return LanguageModels.of({lang: (keys[langs == lang], n[langs == lang]) for lang in least})
+    return LanguageModels.of({lang: (keys[langs == lang], n[langs == lang]) for lang in languages})
 
 
 def calibrate(models: LanguageModels, rows: DataFrame) -> LanguageModels:
     """Sets scores and limits by histograms over all rows of text and lang."""
-    sent = rows.sparkSession.sparkContext.broadcast(models)
+    sent = rows.sparkSession.sparkContext.broadcast(models.sendable())
+    measured = models.measured(rows.select("text", "lang"))
 
     def run(batches):
         m = sent.value
         place = {x: i for i, x in enumerate(m.languages)}
         right, entropy = np.zeros((EVIDENCE_BINS, 2), dtype=np.int64), np.zeros((len(place), ENTROPY_BINS), dtype=np.int64)
-        for batch in (x for b in batches for x in slices(b)):
-            h, sizes = m.entropies(texts(batch))
+        for batch in (x for b in batches for x in (slices(b) if "text" in b.schema.names else [b])):
+            h, sizes = m.measures(batch)
             truth = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()])
             use = sizes > 0
             np.add.at(right, (m.evidence_bin(h, sizes)[use], (h.argmin(axis=1) == truth)[use].astype(int)), 1)
@@ -265,7 +377,7 @@ def calibrate(models: LanguageModels, rows: DataFrame) -> LanguageModels:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(right.size + entropy.size)), pa.array(np.concatenate([right.ravel(), entropy.ravel()]))], names=["i", "n"])
 
     sums = np.zeros(2 * EVIDENCE_BINS + len(models.languages) * ENTROPY_BINS)
-    for r in in_arrow(rows.select("text", "lang"), run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # as many rows as bins
+    for r in in_arrow(measured, run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # as many rows as bins
         sums[r["i"]] = r["n"]
     right = sums[: 2 * EVIDENCE_BINS].reshape(-1, 2)
     raised = (right[:, 1] + 1) / (right.sum(axis=1) + 2)
@@ -289,14 +401,16 @@ def predict(documents: DataFrame, models: LanguageModels | None) -> DataFrame:
 
     ``rejected``: the text is further from its best language than almost all of that language's calibration rows.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(models)
+    sent = documents.sparkSession.sparkContext.broadcast(models and models.sendable())
+    given = documents.select("doc_id", "text")
+    given = models.measured(given) if models else given
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             m, n = sent.value, batch.num_rows
             names, scores, entropy, rejected = ["und"] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, dtype=bool)
             if m is not None:
-                h, sizes = m.entropies(texts(batch))
+                h, sizes = m.measures(batch)
                 best, some = h.argmin(axis=1), sizes > 0
                 names = [m.languages[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 scores = np.where(some, m.scores[m.evidence_bin(h, sizes)], 0.0)
@@ -307,7 +421,7 @@ def predict(documents: DataFrame, models: LanguageModels | None) -> DataFrame:
         return f
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_rows(documents.select("doc_id", "text"), make, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return map_rows(given, make, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean", "text" if "text" in given.columns else "")
 
 
 def learn(documents: DataFrame) -> LanguageModels | None:

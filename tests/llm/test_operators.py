@@ -208,6 +208,28 @@ def test_language_pieces_equal_whole(monkeypatch):
     assert n == m and np.allclose(whole, parts)
 
 
+def test_language_keeps_all_grams(spark):
+    rng = random.Random(6)
+    texts = [("yy", "".join(rng.choices("abcde ", k=500))), *(("zz", "".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=26_000)))) for _ in range(9))]
+    rows = _frame(spark, [(i, t, lang, None) for i, (lang, t) in enumerate(texts)])
+    grams = {lang: np.concatenate([langid.grams_of(langid.signs_of(t)) for x, t in texts if x == lang]) for lang in ("yy", "zz")}
+    assert len(np.unique(grams["zz"])) > 200_000
+    whole = langid.LanguageModels.of({lang: np.unique(g, return_counts=True) for lang, g in grams.items()})
+    given = [texts[0][1], texts[1][1][:300] + "xyz"]
+    assert np.allclose(langid.train(rows).entropies(given)[0], whole.entropies(given)[0])
+
+
+def test_language_in_passes_equals_whole(spark, docs, monkeypatch):
+    found = {}
+    for cells in (langid.SENT_CELLS, 2000):
+        monkeypatch.setattr(langid, "SENT_CELLS", cells)
+        models = langid.learn(docs)
+        assert (models.tables is None) == (cells > 2000)
+        found[cells] = sorted(langid.predict(docs, models).toPandas().fillna(-1.0).itertuples(index=False, name=None))
+    for a, b in zip(*found.values(), strict=True):
+        assert a[:2] == b[:2] and a[4] == b[4] and a[2:4] == pytest.approx(b[2:4], abs=1e-5)
+
+
 # op3
 
 
