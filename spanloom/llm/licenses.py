@@ -4,8 +4,9 @@ Templates are short and documents long, so a document is compared window by wind
 a class's windows are twice as long as its longest template and overlap by half, so a template's words always lie in
 one window. From the sizes follows the least Jaccard similarity of a window that contains the threshold's share of a
 template, and from that the number of bands (of one MinHash each) that makes one collide with probability
-``CERTAINTY`` at least. Windows that share a band with a template are held to exact containment of its shingles. Of templates that are versions of one text
-a document states those it contains best.
+``CERTAINTY`` at least. Windows that share a band with a template are held to exact containment of its shingles. Of
+templates that are versions of one text a document states, at each place, those it contains best there: a version gives
+way only to a better one that covers more than half of the same words.
 
 A window with containment t of a template of n shingles lacks at most (1 - t) n of them, so it holds one of any
 ``floor((1 - t) n) + 1`` that are picked beforehand, and so a picked shingle's longest word. Windows without such a
@@ -26,13 +27,15 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import row_key, table
 from spanloom.llm.license_texts import TEMPLATES
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Inserted words that a template's place may hold.
+SLACK = 8
 #: Least probability that a window which contains a template meets it in a band.
 CERTAINTY = 1 - 1e-6
 
@@ -112,12 +115,43 @@ def _windows(k: int, c: SizeClass) -> Column:
     """The class's windows of a row that hold one of its words."""
     hit = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*c.pivots), i)), lambda i: i.isNotNull())
     numbers = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.array((i / c.stride).cast("int"), F.greatest((i / c.stride).cast("int") - 1, F.lit(0))))))
-    return F.transform(numbers, lambda w: F.struct(F.lit(k).alias("class"), F.slice("words", w * c.stride + 1, 2 * c.stride).alias("window")))
+    return F.transform(numbers, lambda w: F.struct(F.lit(k).alias("class"), (w * c.stride).cast("int").alias("at"), F.slice("words", w * c.stride + 1, 2 * c.stride).alias("window")))
 
 
 def _shingles(window: Column) -> Column:
     last = F.greatest(F.size(window) - SHINGLE + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(window, i, SHINGLE), " ")))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(window, i, SHINGLE), " "))
+
+
+def _places(threshold: float) -> Column:
+    """Where the template lies in the window: each start from which as many words as its own (and a few inserted ones) hold enough of it, with the share."""
+    n = F.col("n")
+    hits = F.filter(F.transform("have", lambda s, i: F.struct((F.col("at") + i).alias("i"), F.array_position("wanted", s).alias("j"))), lambda h: h["j"] > 0)
+    length = n + F.least(F.lit(SLACK), F.floor(n / 4))
+
+    def place(start: Column, shared: Column) -> Column:
+        return F.struct((shared / n).alias("score"), (F.col("shared") / n).alias("whole"), start.cast("int").alias("start"), n.alias("n"), F.col("template"), F.col("shared"))
+
+    def starts(h: Column) -> Column:
+        inside = lambda p: F.size(F.array_distinct(F.transform(F.filter(h, lambda x: (x["i"] >= p["i"]) & (x["i"] < p["i"] + length)), lambda x: x["j"])))
+        found = F.filter(F.transform(h, lambda p: place(p["i"], inside(p))), lambda x: x["score"] >= threshold - 1e-9)
+        # Words inserted at length: the whole window's share stands for its place.
+        return F.when(F.size(found) > 0, found).otherwise(F.array(place(h[0]["i"], F.col("shared"))))
+
+    return F.element_at(F.transform(F.array(hits), starts), 1)
+
+
+def _standing(places: Column) -> Column:
+    """Of places by falling share those that no better standing one covers by more than half."""
+
+    def covered(acc: Column, x: Column) -> Column:
+        def by(a: Column) -> Column:
+            both = F.least(a["start"] + a["n"], x["start"] + x["n"]) - F.greatest(a["start"], x["start"])
+            return (F.struct(a["score"], a["whole"]) > F.struct(x["score"], x["whole"])) & (2 * both > F.least(a["n"], x["n"]))
+
+        return F.exists(acc, by)
+
+    return F.aggregate(places, F.slice(places, 1, 0), lambda acc, x: F.when(covered(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
 
 
 def _signature(shingles: Column, bands: int) -> Column:
@@ -140,16 +174,19 @@ def license_matches(documents: DataFrame, templates: tuple[tuple[str, str, str],
     may = F.exists(F.array(lower), lambda t: reduce(or_, [t.contains(p) for p in pivots]))
     own = documents.select("doc_id", row_key("doc_id", "text").alias("row"), "text").where(may)
     own = own.select("doc_id", "row", F.filter(F.split(lower, r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
-    windows = own.select("doc_id", "row", F.explode(F.flatten(F.array(*[_windows(k, c) for k, c in enumerate(classes)]))).alias("w")).select("doc_id", "row", "w.class", "w.window")
-    cut = windows.select("doc_id", "row", "class", _shingles(F.col("window")).alias("have"))
-    bands = cut.select("doc_id", "row", "class", "have", F.explode(by_class(F.col("class"), lambda c: _signature(F.col("have"), c.bands))).alias("sign"))
+    windows = own.select("doc_id", "row", F.explode(F.flatten(F.array(*[_windows(k, c) for k, c in enumerate(classes)]))).alias("w")).select("doc_id", "row", "w.class", "w.at", "w.window")
+    cut = windows.select("doc_id", "row", "class", "at", _shingles(F.col("window")).alias("have"))
+    bands = cut.select("doc_id", "row", "class", "at", "have", F.explode(by_class(F.col("class"), lambda c: _signature(F.col("have"), c.bands))).alias("sign"))
     met = bands.join(F.broadcast(signed), (F.col("class") == F.col("t_class")) & (F.col("sign.band") == F.col("t_sign.band")) & (F.col("sign.least") == F.col("t_sign.least")))
-    shared = met.select("doc_id", "row", "template", F.size(F.array_intersect("have", "wanted")).alias("shared"), F.size("wanted").alias("n"))
-    kept = shared.where(F.col("shared") >= threshold * F.col("n") - 1e-9).groupBy("doc_id", "row", "template", "n").agg(F.max("shared").alias("shared"))
-    # Of the versions of one text the best agreed stand, as a notice of one version holds most of the others' words.
+    shared = met.select("doc_id", "row", "template", "at", "have", "wanted", F.size(F.array_intersect("have", "wanted")).alias("shared"), F.size("wanted").alias("n"))
+    kept = shared.where(F.col("shared") >= threshold * F.col("n") - 1e-9)
+    # Of the versions of one text the best agreed stand at each place, as a notice of one version holds most of the others' words.
     family = F.element_at(F.array(*map(F.lit, families(shingles))), F.col("template") + 1)
-    best = Window.partitionBy("doc_id", "row", family).orderBy(F.desc(F.col("shared") / F.col("n")))
-    kept = kept.withColumn("place", F.rank().over(best)).where("place = 1")
+    placed = kept.select("doc_id", "row", family.alias("family"), F.explode(_places(threshold)).alias("p")).distinct()
+    by = placed.groupBy("doc_id", "row", "family").agg(F.sort_array(F.collect_list("p"), asc=False).alias("places"))
+    stated = by.select("doc_id", "row", "places", F.explode(F.array_distinct(F.transform(_standing(F.col("places")), lambda x: F.struct(x["template"].alias("template"), x["n"].alias("n"))))).alias("t"))
+    own = F.filter("places", lambda x: x["template"] == F.col("t.template"))
+    kept = stated.select("doc_id", "t.template", "t.n", F.array_max(F.transform(own, lambda x: x["shared"])).alias("shared"))
     name = lambda j: F.element_at(_literals([t[j] for t in templates]), F.col("template") + 1)
     return kept.select(
         "doc_id",

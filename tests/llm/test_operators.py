@@ -541,6 +541,21 @@ def test_licenses(spark, docs, rows, nothing):
     assert licenses.license_matches(nothing).count() == 0
 
 
+def test_licenses_of_two_places(spark):
+    text = {t[:2]: t[2] for t in licenses.TEMPLATES}
+    gpl, lgpl, old = (text[x, "header"] for x in ("GPL-3.0-or-later", "LGPL-3.0-or-later", "GPL-2.0-or-later"))
+    altered = lgpl.replace("This program", "This library")
+    far = " other words " * 300
+    cases = {0: gpl + far + altered, 1: altered + far + gpl, 2: f"{gpl} {altered}", 3: f"{altered} {gpl}", 4: gpl + far + old.replace("This program", "This library"), 5: far + gpl + far + gpl, 6: gpl.replace("the terms", "all of the terms")}
+    cases |= {100 + i: " lead" * i + " " + gpl + far for i in range(0, 90, 7)}
+    both = {"GPL-3.0-or-later", "LGPL-3.0-or-later"}
+    expected = {i: both if i < 4 else {"GPL-3.0-or-later", "GPL-2.0-or-later"} if i == 4 else {"GPL-3.0-or-later"} for i in cases}
+    got = defaultdict(set)
+    for r in licenses.license_matches(_frame(spark, [(i, t, None, None) for i, t in cases.items()])).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert got == expected
+
+
 def test_license_bands_keep_their_promise():
     shingles = [licenses.shingles_of(licenses.words_of(t[2])) for t in licenses.TEMPLATES]
     for c in licenses.size_classes(shingles):
