@@ -5,7 +5,8 @@ two are aligned by the longest common subsequence of their text lines, and what
 deleted. Two things keep this right where neighbours also share article text: lines that the page itself marks as its
 article (``<article>``, ``<main>``) stay, shared or not, and a pair that shares most of its lines is a copy, from which
 nothing is deleted. Elements that name themselves as frame (menus, footers, adverts, forms, comments, ...) go in any
-case; where a page marks an article, only that is read.
+case; where a page marks an article, only that is read. A name or a form is no frame where it wraps the page: where it
+holds the only marked part, or most of the text of a page that marks none elsewhere.
 
 Pages are dealt out by ranges of (host, path), so a host with a third of all pages is many tasks. The page on either
 side of a range's edge is sent to both ranges, so that the neighbours are the same however the ranges fall.
@@ -58,8 +59,20 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text and "=" in text else {}
 
 
-def _is_frame(tag: str, attributes: dict[str, str], bare: str, in_article: bool) -> bool:
-    if tag in _FRAME or tag == "header" and not in_article:
+#: Frame by the tag alone that may yet wrap a whole page, as names may.
+_WRAPPERS = {"form", "fieldset", "header"}
+SURE, NAMED = 2, 1
+
+
+def _is_frame(tag: str, attributes: dict[str, str], bare: str, in_article: bool) -> int:
+    """SURE, NAMED (if it wraps nothing but a part), or 0."""
+    if _is_sure(tag, attributes, bare):
+        return SURE
+    return NAMED * (tag in _WRAPPERS and (tag != "header" or not in_article) or bool(attributes) and _is_named(tag, attributes, in_article))
+
+
+def _is_sure(tag: str, attributes: dict[str, str], bare: str) -> bool:
+    if tag in _FRAME and tag not in _WRAPPERS:
         return True
     if "hidden" in bare.lower().split():
         return True
@@ -69,6 +82,10 @@ def _is_frame(tag: str, attributes: dict[str, str], bare: str, in_article: bool)
         return True
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.IGNORECASE):
         return True
+    return False
+
+
+def _is_named(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     names = set(_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     if tag in ("html", "body", "main"):
         return False
@@ -82,20 +99,21 @@ def lines_of(html: str) -> list[tuple[str, int]]:
 
     Kinds: 3 in a marked article, 2 in the marked main part alone, 1 in neither, 0 in the frame.
     """
-    found: list[tuple[str, int]] = []
+    found: list[tuple[str, tuple[int, ...], int]] = []  # text, the named elements it lies in, kind
     parts: list[str] = []
-    open_: list[tuple[str, bool, int]] = []  # tag, in the frame, kind of part
-    frame, part = False, 1
+    open_: list[tuple[str, tuple[int, ...], int]] = []  # tag, the frame elements around, kind of part
+    named = 0  # how many named elements there are; -1 stands for one that is surely frame
+    frame, part = (), 1
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            found.append((text, 0 if frame else part))
+            found.append((text, frame, part))
         parts.clear()
 
     def restore() -> None:
         nonlocal frame, part
-        frame, part = (open_[-1][1], open_[-1][2]) if open_ else (False, 1)
+        frame, part = (open_[-1][1], open_[-1][2]) if open_ else ((), 1)
 
     at, size = 0, len(html)
     while at < size:
@@ -121,7 +139,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if closing:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
             if depth is not None:
-                if not inline or open_[depth][1] != (open_[depth - 1][1] if depth else False):
+                if not inline or open_[depth][1] != (open_[depth - 1][1] if depth else ()):
                     flush()
                 del open_[depth:]
                 restore()
@@ -145,16 +163,37 @@ def lines_of(html: str) -> list[tuple[str, int]]:
                     break
         if tag in _VOID or rest.endswith("/"):
             continue
-        own = frame or _is_frame(tag, attributes, re.sub(_ATTRIBUTE, "", rest), part > 1)
-        if own and not frame and inline:
+        own = 0 if -1 in frame else _is_frame(tag, attributes, re.sub(_ATTRIBUTE, "", rest), part > 1)
+        if own and inline:
             flush()
-        frame = own
-        if not frame:
+        if own:
+            named += own == NAMED
+            frame = (*frame, named if own == NAMED else -1)
+        else:
             role = attributes.get("role", "").lower()
             part = max(part, 3 if "article" in (tag, role) else 2 if "main" in (tag, role) else 1)
         open_.append((tag, frame, part))
     flush()
-    return found
+    wraps = _wrapping(found)
+    return [(text, part if wraps.issuperset(frame) else 0) for text, frame, part in found]
+
+
+def _wrapping(found: list[tuple[str, tuple[int, ...], int]]) -> set[int]:
+    """The named elements that wrap a page: they hold all that is marked, or more than half of the text where nothing is marked elsewhere."""
+    if not any(frame for _, frame, _ in found) or any(part > 1 and not frame for _, frame, part in found):
+        return set()
+    marked: dict[int, int] = {}
+    sizes: dict[int, int] = {}
+    all_marked = whole = 0
+    for text, frame, part in found:
+        if -1 in frame:
+            continue
+        whole += len(text)
+        all_marked += len(text) * (part > 1)
+        for i in frame:
+            sizes[i] = sizes.get(i, 0) + len(text)
+            marked[i] = marked.get(i, 0) + len(text) * (part > 1)
+    return {i for i, n in sizes.items() if (all_marked and 2 * marked[i] > all_marked) or (not all_marked and 2 * n > whole)}
 
 
 def shared_lines(own: list[int], other: list[int]) -> set[int]:

@@ -497,6 +497,15 @@ def test_html_parts():
     assert len(text("<p>" + "word " * 200_000 + "</p>")) == 999_999
 
 
+def test_html_wrappers_are_no_frame():
+    text = lambda h: html.main_text(html.lines_of(h), None)
+    body = "<article><h1>Head</h1><p>The text of the page</p><div class='share'>Share</div></article>"
+    for wrapper in ("<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div class='page-with-ads'><div id='no-comments'>", "<form action='/x'>", "<section class='widget'>"):
+        assert text(f"<body>{wrapper}<nav>Menu</nav>{body}<div class='sidebar'>Side</div>") == "Head\n\nThe text of the page"
+        assert text(f"<body>{wrapper}<p>Long text of an unmarked page</p><p>and more</p><div class='sidebar'>Side</div>") == "Long text of an unmarked page\n\nand more"
+    assert text(f"{body}<div class='related'><article><p>Another long text with far more words in it than the first</p></article></div>") == "Head\n\nThe text of the page"
+
+
 def test_html_shared_lines_go(spark):
     frame = lambda t: f"<body><div>Top of site</div><div>Menu like line</div><p>{t} alpha</p><p>{t} beta</p><p>{t} gamma</p><div>Bottom</div></body>"
     pages = [(i, f"https://h{i % 2}.example/a/{i}?q={i}", frame(f"page{i}")) for i in range(40)]
