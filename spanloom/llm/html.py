@@ -4,12 +4,13 @@ Pages of one host share their frame. Each page is paired with its nearest neighb
 two are aligned by the longest common subsequence of their text lines, and what they share is taken for frame and
 deleted. Two things keep this right where neighbours also share article text: lines that the page itself marks as its
 article (``<article>``, ``<main>``) stay, shared or not, and a pair that shares most of its lines is a copy, from which
-nothing is deleted. Elements that name themselves as frame (menus, footers, adverts, forms, comments, ...) go in any
+nothing is deleted; lines in the named frame, and those of the page on the other side, don't count for that. Elements that name themselves as frame (menus, footers, adverts, forms, comments, ...) go in any
 case; where a page marks an article, only that is read. A name or a form is no frame where it wraps the page: where it
 holds the only marked part, or most of the text of a page that marks none elsewhere.
 
-Pages are dealt out by ranges of (host, path), so a host with a third of all pages is many tasks. The page on either
-side of a range's edge is sent to both ranges, so that the neighbours are the same however the ranges fall.
+Pages are dealt out by ranges of (host, path), so a host with a third of all pages is many tasks. The ``NEAR``
+pages of a host on either side of a range's edge are sent to both ranges, so that the neighbours are the same however the
+ranges fall.
 
 Defined results: null html is empty and gives the empty text; a page without host and path (null or odd URL) stands in
 the host of the empty name; a page alone in its host has no neighbour and loses no lines by alignment. Repeated rows are
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter, deque
 from html import unescape
 from itertools import groupby
 
@@ -33,6 +35,8 @@ from spanloom.llm.common import in_arrow, table
 
 #: Share of lines in common from which two pages are copies of each other.
 COPY = 0.8
+#: Pages before and after a page that may tell about it.
+NEAR = 4
 #: Rows a batch of the pairing step sends back at once.
 SENT = 256
 
@@ -237,15 +241,29 @@ def nearer(path: str, before: str | None, after: str | None) -> int:
     return -1 if common(before) >= common(after) else 1
 
 
-def main_text(lines: list[tuple[str, int]], neighbour: list[int] | None) -> str:
-    own = [hash_line(t) for t, _ in lines]
-    shared = shared_lines(own, neighbour) if neighbour else set()
-    if neighbour and len(shared) >= COPY * max(len(own), len(neighbour)):
-        shared = set()
+def is_copy(own: list[int], other: list[int], third: set[int]) -> bool:
+    """Whether two pages share most of their lines, apart from those of a third page; of all of them if that leaves none."""
+    for skipped in (third, set()):
+        a, b = Counter(x for x in own if x not in skipped), Counter(x for x in other if x not in skipped)
+        if a or b:
+            return (a & b).total() >= COPY * max(a.total(), b.total())
+    return True
+
+
+def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[int, int]] | None, third: list[tuple[int, int]] | None = None) -> str:
+    """The text of a page by its nearest neighbour; ``third`` is the page on the other side. Both are hashed lines with their kinds."""
+    own = hashed(lines)
+    shared = set()
+    if neighbour and not is_copy(*([h for h, kind in page if kind] for page in (own, neighbour)), {h for h, _ in third or ()}):
+        shared = shared_lines([h for h, _ in own], [h for h, _ in neighbour])
     wanted = max((kind for _, kind in lines), default=0)
     return "\n\n".join(t for i, (t, kind) in enumerate(lines) if kind and kind == wanted and (kind > 1 or i not in shared))
 
 
+def hashed(lines: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    return [(hash_line(t), kind) for t, kind in lines]
+
+
 def hash_line(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
@@ -263,29 +281,42 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = pages.sparkSession
     placed = _placed(pages)
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The edges of the ranges: two rows a range reach the driver.
-    order = F.struct("host", "path", "tie")
-    dealt = placed.select("host", "path", "tie").repartitionByRange(n, "host", "path", "tie")
-    edges = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(order).alias("low"), F.max(order).alias("high")).collect()
-    spans = sorted((tuple(e["low"]), tuple(e["high"])) for e in edges)
-    sent = spark.sparkContext.broadcast(spans)
+    # The edges of the ranges: a few rows a range reach the driver.
+    dealt = placed.select("host", "path", "tie").repartitionByRange(n, "host", "path", "tie").sortWithinPartitions("host", "path", "tie").withColumn("part", F.spark_partition_id())
+    edges = in_arrow(dealt, _edges, "part int, low boolean, place int, host string, path string, tie long").collect()
+    sides: dict[int, tuple[list, list]] = {}
+    for e in sorted(edges, key=lambda e: (e["part"], e["place"])):
+        sides.setdefault(e["part"], ([], []))[0 if e["low"] else 1].append((e["host"], e["path"], e["tie"]))
+    ordered = sorted(sides.values())
+    guests: dict[tuple, set[int]] = {}
+    for p, (lows, highs) in enumerate(ordered):
+        # A range of fewer pages than NEAR lists them all, so the next ones are found beyond it.
+        for own, others, side in ((highs[-1], ordered[p + 1 :], 0), (lows[0], ordered[:p][::-1], 1)):
+            near = []
+            for other in others:
+                near += other[side][:: 1 - 2 * side]
+                if len(near) >= NEAR or near[-1][0] != own[0]:
+                    break
+            for key in near[:NEAR]:
+                if key[0] == own[0]:
+                    guests.setdefault(key, set()).add(p)
+    sent = spark.sparkContext.broadcast(([highs[-1] for _, highs in ordered], guests))
     kind, schema = pages.schema["page_id"].dataType.simpleString(), placed.schema
 
     def deal(batches):
-        lows, highs = [s[0] for s in sent.value], [s[1] for s in sent.value]
-        low_of, high_of = {k: i for i, k in enumerate(lows)}, {k: i for i, k in enumerate(highs)}
+        highs, guests_of = sent.value
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "tie")), strict=True))
-            rows, parts, guests = [], [], []
+            rows, parts, marks = [], [], []
             for i, key in enumerate(keys):
                 part = bisect_left(highs, key)
-                also = [p for p in (high_of[key] + 1 if key in high_of else -1, low_of[key] - 1 if key in low_of else -1) if 0 <= p < len(lows)]
+                also = guests_of.get(key, ())
                 for p, guest in ((part, False), *((p, True) for p in also)):
                     rows.append(i)
                     parts.append(p)
-                    guests.append(guest)
+                    marks.append(guest)
             taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.int32()), pa.array(guests, pa.bool_())], names=[*schema.names, "part", "guest"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.int32()), pa.array(marks, pa.bool_())], names=[*schema.names, "part", "guest"])
 
     split = in_arrow(placed, deal, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", part int, guest boolean")
     sorted_ = split.repartition(n, "part").sortWithinPartitions("part", "host", "path", "tie", F.xxhash64("html"), "guest")
@@ -295,21 +326,21 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
             for batch in batches:
                 for r in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "guest", "page_id", "url")), batch.column("html"), strict=True):
                     lines = lines_of(r[6].as_py() or "")
-                    yield (r[0], r[1]), r[2], r[3], r[4], r[5], lines, [hash_line(t) for t, _ in lines]
+                    yield (r[0], r[1]), r[2], r[3], r[4], r[5], lines, hashed(lines)
 
         out: list[tuple] = []
         for _, own in groupby(rows(), key=lambda r: r[0]):
-            before = now = None
-            for after in _with_end(own):
-                if now is not None and not now[2]:
-                    side = nearer(now[1], before and before[1], after and after[1])
-                    other = before if side < 0 else after if side > 0 else None
-                    text = main_text(now[5], other and other[6])
+            for before, now, after in _windows(own):
+                if not now[2]:
+                    side = nearer(now[1], before[-1][1] if before else None, after[0][1] if after else None)
+                    # From near to far on the nearer side, then on the other.
+                    near, far = (before[::-1], after) if side < 0 else (after, before[::-1])
+                    others = [r[6] for r in near[:1] + far + near[1:]]
+                    text = main_text(now[5], others[0] if others else None, others[1] if len(others) > 1 else None)
                     out.append((now[3], now[4], text, len(text)))
                     if len(out) >= SENT:
                         yield _sent(out)
                         out = []
-                before, now = now, after
         if out:
             yield _sent(out)
 
@@ -322,10 +353,33 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     return in_arrow(sorted_, pair, f"page_id {kind}, url string, text string, n_chars long")
 
 
-def _with_end(rows):
-    """The rows, then one None."""
-    yield from rows
-    yield None
+def _windows(rows):
+    """Each row with up to NEAR rows before and after it."""
+    held, at = [], 0  # the rows at hand, the place of the next one to be given out
+    for row in rows:
+        held.append(row)
+        if len(held) > at + NEAR:
+            yield held[:at], held[at], held[at + 1 :]
+            at += 1
+            if at > NEAR:
+                del held[0]
+                at -= 1
+    for at in range(at, len(held)):
+        yield held[max(0, at - NEAR) : at], held[at], held[at + 1 : at + 1 + NEAR]
+
+
+def _edges(batches):
+    """The first and last NEAR rows of a sorted range."""
+    lows, highs = [], deque(maxlen=NEAR)
+    for batch in batches:
+        for key in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path", "tie")), strict=True):
+            if len(lows) < NEAR:
+                lows.append(key)
+            highs.append(key)
+    rows = [(k[0], low, i, *k[1:]) for low, keys in ((True, lows), (False, highs)) for i, k in enumerate(keys)]
+    if rows:
+        kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "low", "place", "host", "path", "tie"])
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -515,6 +515,19 @@ def test_html_shared_lines_go(spark):
         assert out == {i: f"page{i} alpha\n\npage{i} beta\n\npage{i} gamma" for i in range(40)}
 
 
+@pytest.mark.parametrize("menu", ["<nav>", "<div>"])
+def test_html_menus_make_no_copies(spark, menu):
+    menus = menu + "".join(f"<p>Menu item {k}</p>" for k in range(20)) + menu.replace("<", "</")
+    page = lambda t: f"<body>{menus}<p>Unnamed line of the site</p>" + "".join(f"<p>{t} paragraph {k}</p>" for k in range(4))
+    # Pages 40 and 41 are copies, and nothing of theirs goes but what the site shares.
+    pages = [(i, f"https://h.example/a/{i:03}", page(f"page{min(i, 40)}")) for i in range(42)]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), 3).collect()}
+    for i in range(40):
+        assert out[i] == "\n\n".join(f"page{i} paragraph {k}" for k in range(4))
+    for i in (40, 41):
+        assert "\n\n".join(f"page40 paragraph {k}" for k in range(4)) in out[i]
+
+
 def test_longest_common_lines():
     rng = random.Random(9)
     for _ in range(200):
