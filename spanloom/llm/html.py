@@ -3,9 +3,11 @@
 Pages of one host share their frame. Each page is paired with its nearest neighbour by URL path within the host, the
 two are aligned by the longest common subsequence of their text lines, and what they share is taken for frame and
 deleted. Two things keep this right where neighbours also share article text: lines that the page itself marks as its
-article (``<article>``, ``<main>``) stay, shared or not, and a pair that shares most of its lines is a copy, from which
+article (``<article>``, ``<main>``) go only if the alignment shares them and all of ``EVIDENCE`` near pages or more, no two of
+them copies of one another, hold them too; and a pair that shares most of its lines is a copy, from which
 nothing is deleted; lines in the named frame, and those of the page on the other side, don't count for that. Elements that name themselves as frame (menus, footers, adverts, forms, comments, ...) go in any
-case; where a page marks an article, only that is read. A name or a form is no frame where it wraps the page: where it
+case; where a page marks an article, only that is read, unless what neither the near pages nor a frame hold outside of it
+is longer: then the mark is a teaser's. A name or a form is no frame where it wraps the page: where it
 holds the only marked part, or most of the text of a page that marks none elsewhere.
 
 Pages are dealt out by ranges of (host, path), so a host with a third of all pages is many tasks. The ``NEAR``
@@ -37,6 +39,8 @@ from spanloom.llm.common import in_arrow, table
 COPY = 0.8
 #: Pages before and after a page that may tell about it.
 NEAR = 4
+#: Near pages of different text from which a line that all of them hold is frame inside an article too.
+EVIDENCE = 4
 #: Rows a batch of the pairing step sends back at once.
 SENT = 256
 
@@ -250,14 +254,55 @@ def is_copy(own: list[int], other: list[int], third: set[int]) -> bool:
     return True
 
 
-def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[int, int]] | None, third: list[tuple[int, int]] | None = None) -> str:
-    """The text of a page by its nearest neighbour; ``third`` is the page on the other side. Both are hashed lines with their kinds."""
+def main_text(lines: list[tuple[str, int]], neighbour: list[tuple[int, int]] | None, *others: list[tuple[int, int]]) -> str:
+    """The text of a page by its nearest neighbour and the pages next to it, the other side's nearest first: hashed lines with their kinds."""
     own = hashed(lines)
-    shared = set()
-    if neighbour and not is_copy(*([h for h, kind in page if kind] for page in (own, neighbour)), {h for h, _ in third or ()}):
+    third = {h for h, _ in others[0]} if others else set()
+    shared: set[int] = set()
+    if neighbour and not is_copy(_plain(own), _plain(neighbour), third):
         shared = shared_lines([h for h, _ in own], [h for h, _ in neighbour])
     wanted = max((kind for _, kind in lines), default=0)
-    return "\n\n".join(t for i, (t, kind) in enumerate(lines) if kind and kind == wanted and (kind > 1 or i not in shared))
+    if wanted < 2:
+        return "\n\n".join(t for i, (t, kind) in enumerate(lines) if kind and i not in shared)
+    known, common = _evidence(own, wanted, [x for x in (neighbour, *others) if x])
+    kept = [i for i, (_, kind) in enumerate(lines) if kind == wanted and i not in common]
+    if known is not None:
+        outside = [i for i, (h, kind) in enumerate(own) if 0 < kind < wanted and h not in known]
+        if sum(len(lines[i][0]) for i in outside) > sum(len(lines[i][0]) for i in kept):
+            kept = sorted(kept + outside)
+    return "\n\n".join(lines[i][0] for i in kept)
+
+
+def _plain(page: list[tuple[int, int]]) -> list[int]:
+    return [h for h, kind in page if kind]
+
+
+def _part(page: list[tuple[int, int]]) -> list[int]:
+    """The marked part of a page, or all outside its frame."""
+    wanted = max((kind for _, kind in page), default=0)
+    return [h for h, kind in page if kind and kind == wanted]
+
+
+def _evidence(own: list[tuple[int, int]], wanted: int, others: list[list[tuple[int, int]]]) -> tuple[set[int] | None, set[int]]:
+    """Lines that any near page of different text holds, and the places in the marked part that alignment and all such pages share.
+
+    None and no places where there are too few such pages.
+    """
+    parts, apart = [_part(own)], []
+    for page in others:
+        part = _part(page)
+        if not any(is_copy(part, p, set()) for p in parts):
+            parts.append(part)
+            apart.append(page)
+    if len(apart) < EVIDENCE:
+        return None, set()
+    held = [{h for h, _ in page} for page in apart]
+    every = set.intersection(*held)
+    common: set[int] = set()
+    if any(kind == wanted and h in every for h, kind in own):
+        shared = shared_lines([h for h, _ in own], [h for h, _ in apart[0]])
+        common = {i for i in shared if own[i][1] == wanted and own[i][0] in every}
+    return set.union(*held), common
 
 
 def hashed(lines: list[tuple[str, int]]) -> list[tuple[int, int]]:
@@ -336,7 +381,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
                     # From near to far on the nearer side, then on the other.
                     near, far = (before[::-1], after) if side < 0 else (after, before[::-1])
                     others = [r[6] for r in near[:1] + far + near[1:]]
-                    text = main_text(now[5], others[0] if others else None, others[1] if len(others) > 1 else None)
+                    text = main_text(now[5], *(others or [None]))
                     out.append((now[3], now[4], text, len(text)))
                     if len(out) >= SENT:
                         yield _sent(out)

@@ -528,6 +528,24 @@ def test_html_menus_make_no_copies(spark, menu):
         assert "\n\n".join(f"page40 paragraph {k}" for k in range(4)) in out[i]
 
 
+def test_html_differencing_inside_articles(spark):
+    page = lambda k, more="": f"<article><p>Follow us for more</p><h1>Head {k}</h1><p>Text {k} one</p><p>Text {k} two</p>{more}<p>Written by the team</p></article>"
+    passage = "<p>A passage that some articles quote</p>"
+    # A site with its lines in all articles; pages 7 to 10 are copies, every third page quotes a passage.
+    pages = [(i, f"https://h.example/a/{i:03}", page(7 if 7 <= i <= 10 else i, passage * (i % 3 == 0))) for i in range(30)]
+    pages += [(100 + i, f"https://few.example/{i}", page(100 + i)) for i in range(3)]
+    # Text in a part without marks, beside the teaser of one article.
+    pages += [(200 + i, f"https://t.example/{i}", f"<div><p>Site line</p><p>The long text of page {i} that isn't marked</p></div><article>Teaser {i}</article>") for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for ranges in (1, 7):
+        out = {r["page_id"]: r["text"].split("\n\n") for r in html.extract(df, ranges).collect()}
+        for i in range(30):
+            k = 7 if 7 <= i <= 10 else i
+            assert out[i] == [f"Head {k}", f"Text {k} one", f"Text {k} two", *["A passage that some articles quote"] * (i % 3 == 0)]
+        assert all(len(out[100 + i]) == 5 for i in range(3))  # too few pages to tell
+        assert all(out[200 + i] == [f"The long text of page {i} that isn't marked", f"Teaser {i}"] for i in range(8))
+
+
 def test_longest_common_lines():
     rng = random.Random(9)
     for _ in range(200):
