@@ -11,9 +11,10 @@ All counted four-grams make the models, however many. Models of more than ``SENT
 whole: counts, discounts and totals of all orders are tables, the log probabilities of the four-grams that occur in the
 texts to be scored come from joins, and each block of them by hash meets all texts in a pass of its own.
 
-A fold of the training rows is left out of the counts and calibrates two things: the score, the share of right answers
+A fold of the training rows is left out of the counts at first and calibrates two things: the score, the share of right answers
 among fold rows of like evidence, made monotone; and rejection, for each language the cross-entropy that one in
-``REJECTED`` of its fold rows exceeds. Both come from histograms with fixed bins, summed over the whole fold.
+``REJECTED`` of its fold rows exceeds. Both come from histograms with fixed bins, summed over the whole fold. The models that
+predict are then made from the counts of all training rows, that fold's too; a language that only it holds rejects nothing.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text if there is nothing to learn
 from. Rows may repeat. Training ignores rows with null text or null language. Only doc_id (for the fold), text and, in
@@ -313,38 +314,43 @@ class LanguageModels:
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """lang, gram and n of all rows of text and lang."""
+    """lang, calibrates, gram and n of all rows of text, lang and calibrates (false where that is missing)."""
 
     def run(batches):
-        counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        counts: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged(parts):
             keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(which, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
 
         for batch in (x for b in batches for x in slices(b)):
-            by: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(grams_of(signs_of(text)))
+            by: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for text, *lang in zip(texts(batch), batch.column("lang").to_pylist(), batch.column("calibrates").to_pylist(), strict=True):
+                by.setdefault(tuple(lang), []).append(grams_of(signs_of(text)))
             for lang, parts in by.items():
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 own = counts.setdefault(lang, [])
                 own.append((keys, n))
                 if len(own) >= 8:
                     counts[lang] = [merged(own)]
-        for lang, own in counts.items():
+        for (lang, calibrates), own in counts.items():
             keys, n = merged(own)
             for low in range(0, len(keys), 50_000):
                 k = keys[low : low + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n[low : low + 50_000])], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array([calibrates] * len(k), pa.bool_()), pa.array(k.view(np.int64)), pa.array(n[low : low + 50_000])], names=["lang", "calibrates", "gram", "n"])
 
-    return in_arrow(rows.select("text", "lang"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    flag = F.col("calibrates") if "calibrates" in rows.columns else F.lit(False).alias("calibrates")
+    return in_arrow(rows.select("text", "lang", flag), run, "lang string, calibrates boolean, gram long, n long").groupBy("lang", "calibrates", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(rows: DataFrame, sent_cells: int | None = None) -> LanguageModels | None:
     """Models from all rows of text and lang; None if there are none."""
+    return models_of(materialise(gram_counts(rows).select("lang", "gram", "n"), "grams"), sent_cells)
+
+
+def models_of(grams: DataFrame, sent_cells: int | None = None) -> LanguageModels | None:
+    """Models from a table of lang, gram and n; None if it is empty."""
     sent_cells = sent_cells or SENT_CELLS
-    grams = materialise(gram_counts(rows), "grams")
     sizes = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return None
@@ -426,9 +432,16 @@ def predict(documents: DataFrame, models: LanguageModels | None) -> DataFrame:
 
 def learn(documents: DataFrame) -> LanguageModels | None:
     """Models and calibration from the rows of documents that aren't held out."""
-    rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", fold("doc_id", FOLDS).alias("fold"))
-    models = train(rows.where(~F.col("fold").isin(HELD_OUT, CALIBRATION)))
-    return calibrate(models, rows.where(F.col("fold") == CALIBRATION)) if models else None
+    own = fold("doc_id", FOLDS)
+    rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").where(own != HELD_OUT).select("text", "lang", (own == CALIBRATION).alias("calibrates"))
+    counted = materialise(gram_counts(rows), "grams")
+    whole = models_of(materialise(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"))
+    first = models_of(counted.where("NOT calibrates").select("lang", "gram", "n"))
+    if whole and first:
+        calibrate(first, rows.where("calibrates"))
+        limits = dict(zip(first.languages, first.limits.tolist(), strict=True))
+        whole.scores, whole.limits = first.scores, np.array([limits.get(x, ENTROPY_BINS / 20.0) for x in whole.languages])
+    return whole
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,21 @@ def test_language_keeps_all_grams(spark):
     assert np.allclose(langid.train(rows).entropies(given)[0], whole.entropies(given)[0])
 
 
+def test_language_of_the_calibration_fold_alone(spark):
+    folds = defaultdict(list)
+    for i in range(400):
+        folds[__import__("zlib").crc32(str(i).encode()) % 4].append(i)
+    rng = random.Random(8)
+    rows = [(i, _prose(rng, 30, ["ka", "lo", "mi", "ren"]), "aa", None) for k in (0, 1, 3) for i in folds[k][:20]]
+    rows += [(i, _prose(rng, 30, ["öst", "ber", "un", "grü"]), "bb", None) for i in folds[3][20:25]]
+    asked = [(i, _prose(rng, 30, ["öst", "ber", "un", "grü"]), None, None) for i in folds[2][:5]]
+    models = langid.learn(_frame(spark, rows))
+    whole = langid.train(_frame(spark, rows))
+    assert models.languages == ["aa", "bb"] and {r["lang_pred"] for r in langid.predict(_frame(spark, asked), models).collect()} == {"bb"}
+    assert np.allclose(models.entropies([asked[0][1]])[0], whole.entropies([asked[0][1]])[0])
+    assert not any(r["rejected"] for r in langid.predict(_frame(spark, asked), models).collect())
+
+
 def test_language_in_passes_equals_whole(spark, docs, monkeypatch):
     found = {}
     for cells in (langid.SENT_CELLS, 2000):
