@@ -44,7 +44,8 @@ SENT_CELLS = 4_000_000
 REJECTED = 1000
 #: Characters worked on at once.
 PIECE = 500_000
-EVIDENCE_BINS, ENTROPY_BINS = 60, 200
+#: Bins of the histograms: of evidence, of cross-entropy, and of one nat of the latter.
+EVIDENCE_BINS, ENTROPY_BINS, BINS_A_NAT = 60, 800, 50
 _SIGN = 32
 _LOW16 = np.uint64(0xFFFF)
 
@@ -54,7 +55,7 @@ def _letters() -> np.ndarray:
     """By code point: the 16-bit sign of a letter, or that of a boundary."""
     signs = np.full(0x110000, _SIGN, dtype=np.uint16)
     points = np.array([i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()])
-    signs[points] = np.where(points < 0x10000, points, 0xE000 + points % 0x1000)  # the rest shares the unused surrogate range
+    signs[points] = np.where(points < 0x10000, points, 0xE000 + points % 0x1000)  # the rest shares the private-use area, which holds no letter
     return signs
 
 
@@ -379,7 +380,7 @@ def calibrate(models: LanguageModels, rows: DataFrame) -> LanguageModels:
             np.add.at(right, (m.evidence_bin(h, sizes)[use], (h.argmin(axis=1) == truth)[use].astype(int)), 1)
             use &= truth >= 0
             own = h[use, truth[use]]
-            np.add.at(entropy, (truth[use], np.minimum((own * 20).astype(np.int64), ENTROPY_BINS - 1)), 1)
+            np.add.at(entropy, (truth[use], np.minimum((own * BINS_A_NAT).astype(np.int64), ENTROPY_BINS - 1)), 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(right.size + entropy.size)), pa.array(np.concatenate([right.ravel(), entropy.ravel()]))], names=["i", "n"])
 
     sums = np.zeros(2 * EVIDENCE_BINS + len(models.languages) * ENTROPY_BINS)
@@ -397,8 +398,8 @@ def calibrate(models: LanguageModels, rows: DataFrame) -> LanguageModels:
             blocks.append([(p1 * w1 + p2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
     models.scores = np.concatenate([np.full(int(n), p) for p, _, n in blocks])
     histogram = sums[2 * EVIDENCE_BINS :].reshape(-1, ENTROPY_BINS)
-    above = np.cumsum(histogram[:, ::-1], axis=1)[:, ::-1]
-    models.limits = np.array([np.max(np.flatnonzero(a > a[0] / REJECTED), initial=ENTROPY_BINS - 2) + 1 if a[0] else ENTROPY_BINS for a in above]) / 20.0
+    above = np.cumsum(histogram[:, ::-1], axis=1)[:, ::-1]  # rows in each bin or a later one
+    models.limits = np.array([np.flatnonzero(a > a[0] / REJECTED)[-1] + 1 if a[0] else ENTROPY_BINS for a in above]) / BINS_A_NAT
     return models
 
 
@@ -440,7 +441,7 @@ def learn(documents: DataFrame) -> LanguageModels | None:
     if whole and first:
         calibrate(first, rows.where("calibrates"))
         limits = dict(zip(first.languages, first.limits.tolist(), strict=True))
-        whole.scores, whole.limits = first.scores, np.array([limits.get(x, ENTROPY_BINS / 20.0) for x in whole.languages])
+        whole.scores, whole.limits = first.scores, np.array([limits.get(x, ENTROPY_BINS / BINS_A_NAT) for x in whole.languages])
     return whole
 
 
