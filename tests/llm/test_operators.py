@@ -641,14 +641,12 @@ def test_compression_counts(docs, rows):
     assert not [r for r in out.collect() if r["base_failed"] and r["kept"]]
 
 
-def test_compression_bands():
-    import zstandard
-
-    compress = zstandard.ZstdCompressor(level=compression.LEVEL).compress
+def test_compression_bands(spark):
     rng = random.Random(4)
-    prose = _prose(rng, 3000, ["th", "er", "in", "ou", "st", "an", "re", "on", "ea", "nd", "ti", "es", "or", "ha"]).encode()
-    noise = base64.b64encode(rng.randbytes(20_000))
-    assert compression.compression_verdict(prose, compress)[2]
-    assert not compression.compression_verdict(b"all the same words again " * 900, compress)[2]
-    assert not compression.compression_verdict(noise, compress)[2]
-    assert compression.compression_verdict(b"", compress)[2] and compression.compression_verdict(b"short", compress)[2]
+    prose = _prose(rng, 3000, ["th", "er", "in", "ou", "st", "an", "re", "on", "ea", "nd", "ti", "es", "or", "ha"])
+    noise = base64.b64encode(rng.randbytes(20_000)).decode()
+    # Words long and seldom enough to meet the base rules.
+    spread = " ".join(noise[i : i + 90] for i in range(0, len(noise), 90))
+    own = {r["doc_id"]: r for r in compression.judge(_frame(spark, [(1, prose, "aa", ""), (2, "all the same words again " * 900, "aa", ""), (3, spread, "aa", ""), (4, "", "aa", ""), (5, "short", "aa", "")])).collect()}
+    assert own[1]["kept"] and not any(own[i]["kept"] for i in (2, 3, 4, 5))
+    assert own[3]["bad_chunk_share"] == 1 and not own[3]["base_failed"] and own[2]["bad_chunk_share"] == 1 and own[1]["bad_chunk_share"] == 0
