@@ -502,7 +502,7 @@ def test_html_article(spark):
 
 def test_html_parts():
     text = lambda h: html.main_text(html.lines_of(h), None)
-    assert text("<main><p>intro</p><article><p>body</p></article></main><div>out</div>") == "body"
+    assert text("<main><p>intro</p><article><p>body</p></article></main><div>out</div>") == "intro\n\nbody"
     assert text("<main><p>intro</p><div class='commentList'>no</div></main><div>out</div>") == "intro"
     assert text("<div id=content><p>a &lt; b<p>c</div><div class=site-footer>f</div>") == "a < b\n\nc"
     assert text("<p>1 < 2 and 3 > 2</p><!-- <p>x</p> --><p hidden>h</p><style>p{}</style><p>é&nbsp;&#x41;") == "1 < 2 and 3 > 2\n\né A"
