@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.plans.scratch import materialise
+from spanloom.plans.scratch import materialise, release
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -36,7 +36,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b")).distinct()
-        state = now
+            # Every other node now has one link, to its root; the roots are written once each before they join the rest.
+            roots = materialise(links.select(F.col("b").alias("root")).distinct(), "roots")
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("root", "root"))
+        state, before = now, links
         turned = _large_star(links).where("a <> b").distinct()
         links = materialise(_small_star(turned).where("a <> b").distinct(), "links")
+        release(before)
