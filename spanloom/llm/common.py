@@ -75,3 +75,11 @@ def row_key(*names: str) -> Column:
     """64-bit key of a row by its own content, never null: rows with the same content share it."""
     parts = [p for n in names for p in (F.col(n), F.col(n).isNull())]
     return F.xxhash64(*parts)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores more as no column, in either case, has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,14 +8,16 @@ Fingerprints within the allowed distance are therefore near in the embedding, an
   hold one at most, so in one of the pairs of grids (a *view*) the Manhattan distance is at most one.
 * In each view every fingerprint registers in the cell of its counts and probes the cells in that range; of two
   mirror-image offsets only one is probed, so each pair of cells meets once.
+* A cell that more than ``FULL`` fingerprints register in is split by the bits themselves: cut into ``radius + 1`` blocks, two
+  fingerprints within the distance agree in one of the blocks, so only those with a block in common meet there.
 * Pairs that meet are held to the Manhattan bound over the whole vector and then to the exact Hamming distance.
 
 Only distinct fingerprints enter the join; rows with the same fingerprint are a group without any pair. Groups are the connected components of the links.
 
-
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like any other; a text
 with fewer words than a shingle hashes its whole sequence. Rows may repeat; a null doc_id never becomes a
-component's name unless all its ids are null. An empty table gives none. Only doc_id and text are read.
+component's name unless all its ids are null. An empty table gives none. Only doc_id and text are read; other columns may
+have any names and are handed on as they are.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import map_rows, row_key, table, texts
+from spanloom.llm.common import fresh, map_rows, row_key, table, texts
 from spanloom.plans.components import components
-from spanloom.plans.scratch import materialise
+from spanloom.plans.scratch import materialise, release
 
 BITS, SEED, SHINGLE = 64, 42, 3
 #: Bits a segment; its count takes the values 0 to that number.
 SEGMENT = 2
+#: Fingerprints of one cell from which it is split, and fingerprints to a task where each becomes its probes.
+FULL, TASK_PRINTS = 256, 20_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -118,23 +122,39 @@ def _manhattan(a: Column, b: Column) -> Column:
     return sum((F.abs(_count(a, s) - _count(b, s)) for s in range(BITS // SEGMENT)), F.lit(0))
 
 
+def _blocks(fp: Column, radius: int) -> Column:
+    """Number and bits of the blocks of a fingerprint."""
+    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
+    bits = [F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long")) if high - low < BITS else fp for low, high in zip(edges, edges[1:], strict=False)]
+    return F.array(*[F.struct(F.lit(i).alias("block"), x.alias("bits")) for i, x in enumerate(bits)])
+
+
 def near_pairs(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """All pairs (a, b) of the distinct fingerprints in column ``fp`` that differ in at most ``radius`` bits."""
     home, probe = _cells(distinct, radius)
+    full = materialise(home.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("cell"), "full")
     a, b = F.col("fp"), F.col("other")
-    met = home.join(probe, (home["cell"] == probe["cell"]) & (~probe["same"] | (a < b)) & (a != b) & (_manhattan(a, b) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius))
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    near = (~F.col("same") | (a < b)) & (a != b) & (_manhattan(a, b) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+    pair = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+    met = home.join(full, "cell", "left_anti").join(probe, "cell").where(near).select(*pair)
+    own = home.join(full, "cell", "left_semi").select("cell", "fp", F.inline(_blocks(a, radius)))
+    others = probe.join(full, "cell", "left_semi").select("cell", "other", "same", F.inline(_blocks(b, radius)))
+    return met.union(own.join(others, ["cell", "block", "bits"]).where(near).select(*pair)).distinct()
 
 
 def _least_of_groups(prints: DataFrame, name: Column, radius: int) -> DataFrame:
     """``fp`` and ``least``, the least name among the rows of its group, for every distinct fingerprint."""
-    distinct = prints.groupBy("fp").agg(F.min(name).alias("first"))
-    roots = components(near_pairs(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    distinct = materialise(prints.groupBy("fp").agg(F.min(name).alias("first")), "distinct")
+    # Spark sizes tasks by the bytes of fingerprints, of which each becomes dozens of rows.
+    tasks = -(-distinct.count() // TASK_PRINTS) or 1
+    roots = components(near_pairs(distinct.select("fp").repartition(tasks), radius)).withColumnRenamed("node", "fp")
     linked = roots.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     merged = linked.join(least, "root").select("fp", "least")
     # Written, so that the rows' join with it is between plain shuffles, of which Spark splits a hot fingerprint.
-    return materialise(distinct.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "groups")
+    groups = materialise(distinct.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "groups")
+    release(distinct)
+    return groups
 
 
 def near_duplicate_groups(documents: DataFrame, radius: int = 2, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -146,12 +166,14 @@ def near_duplicate_groups(documents: DataFrame, radius: int = 2, shingle: int =
 
 def one_of_each_group(documents: DataFrame, radius: int = 2, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row of each group with all its columns: that of the least doc_id; of rows with the same id and text, any one."""
-    keyed = documents.withColumn("__row", row_key("doc_id", "text"))
-    prints = materialise(fingerprints(keyed.select("doc_id", F.col("__row").alias("row"), "text"), shingle, seed), "fingerprints")
+    own = fresh("row", documents.columns)
+    keyed = documents.withColumn(own, row_key("doc_id", "text"))
+    prints = materialise(fingerprints(documents.select("doc_id", row_key("doc_id", "text").alias("row"), "text"), shingle, seed), "fingerprints")
     name = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    chosen = _least_of_groups(prints, name, radius).select(F.col("least.row").alias("__row")).distinct()
+    chosen = _least_of_groups(prints, name, radius).select(F.col("least.row").alias(own)).distinct()
+    release(prints)
     # What is kept grows with the corpus, so it is never sent to all tasks, small as it may be here.
-    return keyed.join(chosen.hint("merge"), "__row", "left_semi").dropDuplicates(["__row", "doc_id"]).select(*documents.columns)
+    return keyed.join(chosen.hint("merge"), own, "left_semi").dropDuplicates([own, "doc_id"]).select(*documents.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

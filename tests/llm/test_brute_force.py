@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from spanloom.llm import compression, langid
+from spanloom.llm import compression, langid, simhash
 from tests.llm.test_operators import _frame, _prose, _words, docs, nothing, rows  # noqa: F401
 
 
@@ -183,3 +183,26 @@ def test_compression_cut():
         parts = compression.cut(data)
         assert b"".join(parts) == (data if n > compression.CHUNK else b"")
         assert all(compression.CHUNK // 2 <= len(p) < 1.5 * compression.CHUNK for p in parts)
+
+
+# op4
+
+
+@pytest.mark.parametrize("full", [1, 5, 256])
+def test_near_pairs_of_full_cells(spark, monkeypatch, full):
+    monkeypatch.setattr(simhash, "FULL", full)
+    rng = random.Random(full)
+    prints = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        prints |= {base} | {base ^ (1 << b) for b in range(0, 64, 3)} | {base ^ (1 << a) ^ (1 << b) for a, b in (rng.sample(range(64), 2) for _ in range(40))}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ordered = sorted(prints, key=signed)
+    got = [(r["a"], r["b"]) for r in simhash.near_pairs(spark.createDataFrame([(signed(p),) for p in prints], "fp long")).collect()]
+    assert Counter(got) == Counter((signed(a), signed(b)) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (a ^ b).bit_count() <= 2)
+
+
+def test_near_dedup_hands_columns_on(spark):
+    made = [(1, "a b c d", 5, 6, "x"), (2, "a b c d", 7, 8, "y"), (3, "quite another text here", 9, 10, "z"), (None, "a b c d", 1, 2, "n")]
+    df = spark.createDataFrame(made, "doc_id long, text string, row long, __row long, fp string")
+    assert sorted(map(tuple, simhash.one_of_each_group(df).collect())) == [made[0], made[2]]
