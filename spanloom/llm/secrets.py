@@ -3,8 +3,8 @@
 A scan finds candidates in every whole text: the three base kinds, and wider kinds (provider tokens, web tokens,
 whole private keys, dense random-looking strings) that alone would raise many false alarms. Each candidate's value is
 hashed, and the hashes are counted over the whole corpus by distinct repositories and distinct owners. A value that
-several owners hold is an example that has been copied around; a value with one owner that looks random is a live
-credential of that owner. Base spans always stay; spans of the wider kinds are added only where the count leaves a
+several owners hold, or two in many repositories, is an example that has been copied around; a value with fewer that looks random
+is a live credential of its owner, in however many of that owner's repositories it stands. Base spans always stay; spans of the wider kinds are added only where the count leaves a
 live-looking credential.
 
 Counting is by three nested group-bys, (hash, owner, repository), (hash, owner), (hash), each combined before its
@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import in_arrow, map_rows, slices, table, texts
-from spanloom.plans.scratch import materialise
+from spanloom.llm.common import fresh, in_arrow, map_rows, slices, table, texts
+from spanloom.plans.scratch import materialise, release
 
 #: Kinds in the order that breaks ties of position; the first three are the base.
 KINDS = ("assign", "access", "hex", "provider", "webtoken", "private", "dense")
@@ -40,7 +40,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Prefixes of well-known token formats, each with the shape that follows it.
 PROVIDER = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})")
-WEBTOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+#: The parts of a web token, and the signs that the first two begin with and the least number of those that follow.
+WEB_PART, WEB_START, WEB_LEAST = re.compile(r"[A-Za-z0-9_-]+"), "eyJ", 8
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 FOOTER = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 #: What stands between the lines of a key: white space, escaped or not, and the signs of quoted, joined or commented lines.
@@ -51,8 +52,8 @@ _LINE_END = re.compile(r"""(?:[^\S\n]|["',;+|])*(?:\n|\\[nr]|\Z)""")
 #: Characters from which a line is one of a key wherever it stands.
 KEY_LINE = 32
 DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}")
-#: Owners from which a value is an example, and bits a character from which it looks random.
-EXAMPLE_OWNERS, LEAST_BITS = 3, 3.0
+#: Owners from which a value is an example, repositories from which two owners are enough, and bits a character from which it looks random.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, LEAST_BITS = 3, 10, 3.0
 DENSE_BITS = 4.0
 #: Hashes of widely copied values that may be sent to all tasks.
 SENT_EXAMPLES = 200_000
@@ -115,13 +116,27 @@ def key_value(text: str, start: int, end: int) -> str:
     return re.sub(r"""\s|\\[nrt]|\\(?=/)|["',;>#*|]|\+(?=\s)""", "", FOOTER.sub("", text[start:end]))
 
 
+def web_tokens(text: str) -> list[tuple[int, int]]:
+    """Start and end of what three parts between points make: the first two hold, and begin with, the start sign. Each part is read once."""
+    found, parts = [], [(-2, -2)] * 3
+    for m in WEB_PART.finditer(text):
+        parts = [*parts[1:], m.span()]
+        (a, b), (c, d), (e, f) = parts
+        if b + 1 == c and d + 1 == e and text[b] == text[d] == "." and d - c >= WEB_LEAST + 3 and f - e >= WEB_LEAST and text.startswith(WEB_START, c):
+            start = text.find(WEB_START, a, max(a, b - WEB_LEAST))
+            if start >= 0:
+                found.append((start, f))
+                parts = [(-2, -2)] * 3
+    return found
+
+
 def wider_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, kind, value) of the wider kinds."""
     found, keys = [], []
     if "_" in text or "-" in text or "AIza" in text:
         found += [(m.start(), m.end(), 3, m[0]) for m in PROVIDER.finditer(text)]
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), 4, m[0]) for m in WEBTOKEN.finditer(text)]
+    if ".eyJ" in text:
+        found += [(a, b, 4, text[a:b]) for a, b in web_tokens(text)]
     if "-----BEGIN" in text:
         for m in PRIVATE.finditer(text):
             end = key_end(text, m.end())
@@ -175,15 +190,20 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
+def is_example(example_owners: int, example_repositories: int = EXAMPLE_REPOSITORIES) -> Column:
+    """Whether a counted value has been copied widely."""
+    return (F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories))
+
+
 def judged_spans(documents: DataFrame, owner: Column, repository: Column, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """doc_id, the base columns, and ``found``: the judged candidates by position, each with owners, repositories and verdict.
 
-    Verdicts: ``example`` (held by ``example_owners`` owners or more), ``live`` (fewer, and it looks random),
-    ``weak`` (fewer, and it doesn't).
+    Verdicts: ``example`` (held by ``example_owners`` owners or more, or by two in ``EXAMPLE_REPOSITORIES`` repositories
+    or more), ``live`` (by fewer, and it looks random), ``weak`` (by fewer, and it doesn't).
     """
     rows = materialise(scan(documents, owner, repository).withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = rows.select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("random"), "live").otherwise("weak")
+    verdict = F.when(is_example(example_owners), "example").when(F.col("random"), "live").otherwise("weak")
     # Written first, so that both sides of the join are plain shuffles, of which Spark splits a hot value.
     counted = materialise(ownership(each.select("value", "owner", "repository")), "ownership")
     judged = each.join(counted, "value").withColumn("verdict", verdict)
@@ -205,23 +225,25 @@ def redact_live(documents: DataFrame, owner: Column, repository: Column, mark: s
     ``sent_examples`` of them go to all tasks, and a second scan needs no join; beyond that each document is joined with its own.
     """
     columns, place = documents.columns, {c: i for i, c in enumerate(documents.columns)}
+    row, listed_ = fresh("key", columns), fresh("examples", columns)
     found = materialise(scan(documents.select("doc_id", "text", owner.alias("__owner"), repository.alias("__repository")), F.col("__owner"), F.col("__repository")), "candidates")
     each = found.select("owner", "repository", F.explode("candidates").alias("c")).select("owner", "repository", "c.value")
-    examples = materialise(ownership(each).where(F.col("owners") >= example_owners).select("value"), "examples")
+    examples = materialise(ownership(each).where(is_example(example_owners)).select("value"), "examples")
+    release(found)
     if examples.count() <= sent_examples:
         sent = documents.sparkSession.sparkContext.broadcast({bytes(r["value"]) for r in examples.toLocalIterator()})
         joined = documents
     else:
         key = F.xxhash64("doc_id", "text")
-        own = documents.select(key.alias("__key"), F.explode(_hashes("text")).alias("value")).distinct()
-        shared = own.join(examples, "value").groupBy("__key").agg(F.collect_set("value").alias("__examples"))
-        joined, sent = documents.withColumn("__key", key).join(shared, "__key", "left").select(*columns, "__examples"), None
+        own = documents.select(key.alias(row), F.explode(_hashes("text")).alias("value")).distinct()
+        shared = own.join(examples, "value").groupBy(row).agg(F.collect_set("value").alias(listed_))
+        joined, sent = documents.withColumn(row, key).join(shared, row, "left").select(*columns, listed_), None
 
     def run(batches):
         for batch in (x for b in batches for x in slices(b)):
             arrays, changed = [batch.column(c) for c in columns], {}
             for i, text in enumerate(texts(batch)):
-                known = sent.value if sent else {bytes(v) for v in batch.column("__examples")[i].as_py() or ()}
+                known = sent.value if sent else {bytes(v) for v in batch.column(listed_)[i].as_py() or ()}
                 spans = [(a, b) for a, b, k, v in base_spans(text) + wider_spans(text) if (k < BASE or looks_random(v)) and digest(v) not in known]
                 if spans:
                     changed[i] = redacted(text, spans, mark)
