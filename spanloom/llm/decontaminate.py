@@ -4,15 +4,16 @@ Test items are short and documents long, so the question is containment: which s
 occurs in a document. Items are partitioned by their number of shingles, in classes that double. A class keeps a
 bottom-k MinHash sketch of each item, the k shingles of least hash, with k set by the class's largest size n as
 ``floor((1 - threshold) * n) + 1``. A document that holds at least the threshold of an item's shingles lacks fewer
-than k of them and so holds one of the sketch: candidates miss nothing, whatever the document's length. Every shingle
-of every document is looked up in the sketches; a hit's containment is then counted exactly on the shingles' words.
+than k of them and so holds one of the sketch: candidates miss nothing, whatever the document's length. Each class is an index
+of its own, in which a document's shingles are looked up; a hit's containment is then counted exactly on the shingles' words.
 
 The index is the benchmark's, not the corpus's, and is sent to the workers in blocks of bounded size, each of which
 meets all documents; so documents are never shuffled, however many items there are.
 
 Defined results: words are runs of letters, digits and underscores in lower case; an item or document of fewer words
-than a shingle has its whole sequence as its one shingle; null or wordless texts have none and match nothing. Repeated
-rows of either table are each reported. Columns beside the ids and texts are ignored.
+than a shingle has its whole sequence as its one shingle, so a few common words make no document contaminated; null or
+wordless texts have none and match nothing. Repeated rows of either table are each reported. Ids may be of any type, and null.
+Columns beside the ids and texts are ignored; empty tables match nothing.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanloom.llm.common import in_arrow, slices, table, texts
 
@@ -75,40 +77,64 @@ def shingle_set(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return set(zip(*(words[i:] for i in range(n)))) if n else set()
 
 
+class SizeClass:
+    """The sketches of the items of one class: sorted least hashes, and whose sketch each of them is in."""
+
+    def __init__(self, exponent: int, threshold: float):
+        #: Hashes in a sketch, by the largest size of the class.
+        self.k = int((1 - threshold) * (1 << exponent) + 1e-9) + 1
+        self._owners: dict[int, list[int]] = {}
+
+    def add(self, item: int, hashes: np.ndarray) -> None:
+        for h in hashes[: self.k].tolist():
+            self._owners.setdefault(h, []).append(item)
+
+    def close(self) -> None:
+        self.keys = np.array(sorted(self._owners), dtype=np.uint64)
+        self.owners = [self._owners[k] for k in self.keys.tolist()]
+        del self._owners
+
+    def candidates(self, hashes: np.ndarray) -> set[int]:
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return {o for i in np.unique(at[self.keys[at] == hashes]).tolist() for o in self.owners[i]}
+
+
 class ContainmentIndex:
     """Size-partitioned MinHash sketches of a block of items."""
 
     def __init__(self, items: list[tuple[object, str | None]], shingle: int = SHINGLE, threshold: float = THRESHOLD):
         self.shingle, self.threshold, self.items = shingle, threshold, []
-        owners: dict[int, list[int]] = {}
+        classes: dict[int, SizeClass] = {}
         for item_id, text in items:
             words = normalised_words(text or "")
             hashes = np.unique(shingle_hashes(words, shingle))
             if not len(hashes):
                 continue
-            largest = 1 << (len(hashes) - 1).bit_length()  # of the item's size class
-            k = int((1 - threshold) * largest + 1e-9) + 1
-            for h in hashes[:k].tolist():
-                owners.setdefault(h, []).append(len(self.items))
+            exponent = (len(hashes) - 1).bit_length()
+            if exponent not in classes:
+                classes[exponent] = SizeClass(exponent, threshold)
+            classes[exponent].add(len(self.items), hashes)
             self.items.append((item_id, words))
-        self.keys = np.array(sorted(owners), dtype=np.uint64)
-        self.owners = [owners[k] for k in self.keys.tolist()]
-        bits = max(16, (len(self.keys) * 16).bit_length())
+        self.classes = [classes[e] for e in sorted(classes)]
+        for c in self.classes:
+            c.close()
+        # Which hashes may be in any class, by their last bits.
+        keys = np.concatenate([c.keys for c in self.classes]) if classes else np.empty(0, dtype=np.uint64)
+        bits = max(16, (len(keys) * 16).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.seen = np.zeros(1 << bits, dtype=bool)
-        self.seen[(self.keys & self.mask).astype(np.int64)] = True
+        self.seen[(keys & self.mask).astype(np.int64)] = True
 
     def search(self, text: str) -> list[tuple[object, int, int]]:
         """(item id, shingles shared, shingles of the item) of every item that the whole text contains."""
-        if not len(self.keys) or not text:
+        if not self.classes or not text:
             return []
         words = normalised_words(text)
         hashes = shingle_hashes(words, self.shingle)
         hashes = hashes[self.seen[(hashes & self.mask).astype(np.int64)]]
         if not len(hashes):
             return []
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        candidates = {o for i in np.unique(at[self.keys[at] == hashes]).tolist() for o in self.owners[i]}
+        candidates = set().union(*(c.candidates(hashes) for c in self.classes))
         if not candidates:
             return []
         have, found = shingle_set(words, self.shingle), []
@@ -136,6 +162,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, shingle: int = S
     """doc_id, item_id, n_shared, n_item and containment of every document and item with containment of the threshold or more."""
     ids = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {ids[0]}, item_id {ids[1]}, n_shared long, n_item long, containment double"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     found = None
     for index in _indexes(benchmark, shingle, threshold, block_chars):
 
@@ -150,7 +177,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, shingle: int = S
                 if rows:
                     shared, size = [h[1] for h in hits], [h[2] for h in hits]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(rows)), pa.array([h[0] for h in hits]), pa.array(shared, pa.int64()), pa.array(size, pa.int64()), pa.array([a / b for a, b in zip(shared, size, strict=True)])],
+                        [batch.column("doc_id").take(pa.array(rows)), pa.array([h[0] for h in hits], item_type), pa.array(shared, pa.int64()), pa.array(size, pa.int64()), pa.array([a / b for a, b in zip(shared, size, strict=True)])],
                         names=["doc_id", "item_id", "n_shared", "n_item", "containment"],
                     )
 
