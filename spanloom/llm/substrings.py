@@ -154,21 +154,22 @@ def compacted(all_edges: DataFrame) -> DataFrame:
     release(all_edges, repeated)
     steps = occurrences.groupBy("edge").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high"))
     single = materialise(steps.where("low = high AND low <> 0").select("edge", F.lit(True).alias("single")), "single")
-    marked = occurrences.join(single, "edge", "left").select("row", F.struct("at", "n", F.coalesce("single", F.lit(False)).alias("single")).alias("m"))
+    marked = occurrences.join(single, "edge", "left").select("row", F.struct("at", "edge", "n", F.coalesce("single", F.lit(False)).alias("single")).alias("m"))
     marks = materialise(marked.groupBy("row").agg(F.collect_set("m").alias("marks")), "marks")
     release(occurrences, single)
     return marks
 
 
-def coordinates(words: np.ndarray, at: np.ndarray, counts: np.ndarray, alone: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> list[tuple[int, int]]:
+def coordinates(words: np.ndarray, at: np.ndarray, edge: np.ndarray, counts: np.ndarray, alone: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> list[tuple[int, int]]:
     """(start, words) of the paths, and of the windows that cross a branch, which may be repeated.
 
-    ``at``, ``counts`` and ``alone`` are the document's marks: places, occurrences, whether one stretch leads there.
+    ``at``, ``edge``, ``counts`` and ``alone`` are the document's marks: places, edges, occurrences, whether one stretch leads there.
     """
     s = Sampled(words, window, kmer)
     n, single = np.zeros(len(s.at), dtype=np.int64), np.zeros(len(s.at), dtype=bool)
     where = np.minimum(np.searchsorted(s.at, at), len(s.at) - 1)
-    own = s.at[where] == at  # but for the marks of another row, if two keys ever met
+    # Marks of another row, where two keys meet, are left out; one of the same edge at the same place says the same.
+    own = (s.at[where] == at) & (s.edges[where] == edge)
     n[where[own]], single[where[own]] = counts[own], alone[own]
     joined = np.zeros(len(s.at), dtype=bool)
     joined[1:] = single[1:] & (n[1:] > 1) & (n[1:] == n[:-1])
@@ -188,18 +189,18 @@ def coordinates(words: np.ndarray, at: np.ndarray, counts: np.ndarray, alone: np
 def spans(marked: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """The digest, row, id, start and length of what ``coordinates`` gives for rows of text and marks."""
     kind = marked.schema["doc_id"].dataType.simpleString()
-    names = ["k1", "k2", "row", "doc_id", "start", "length"]
+    names = ["k1", "k2", "row", "check", "doc_id", "start", "length"]
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, places, lengths, owner = [], [], [], []
             column = batch.column("marks")
             bounds, flat = column.offsets.to_numpy(), column.values
-            at, counts, alone = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "single"))
+            marks = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "edge", "n", "single")]
             given = texts(batch)
             for i, hashes in enumerate(word_hashes(given)):
                 own = slice(bounds[i], bounds[i + 1])
-                found = coordinates(hashes, at[own], counts[own], alone[own], window, kmer) if len(hashes) >= window else []
+                found = coordinates(hashes, *(m[own] for m in marks), window, kmer) if len(hashes) >= window else []
                 if not found:
                     continue
                 words = words_of(given[i])
@@ -213,25 +214,28 @@ def spans(marked: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFram
                 owner += [i] * len(found)
             key = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
             rows = pa.array(owner, pa.int64())
-            columns = [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())]
+            columns = [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), *(batch.column(c).take(rows) for c in ("row", "check", "doc_id")), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         return f
 
-    return map_rows(marked, make, f"k1 long, k2 long, row long, doc_id {kind}, start int, length int")
+    return map_rows(marked, make, f"k1 long, k2 long, row long, check long, doc_id {kind}, start int, length int")
 
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """row and ``gone``, the starts and lengths of the spans that the row has to lose; rows that lose none are absent."""
+    """row, check and ``gone``, the starts and lengths of the spans that the row has to lose; rows that lose none are absent.
+
+    Columns ``row`` and ``check`` are two hashes of a row, together its name.
+    """
     if not 1 <= kmer < window:
         raise ValueError("a k-mer must be shorter than the window")
     marks = compacted(materialise(edges(documents, window, kmer), "edges"))
-    rows = materialise(spans(documents.select("row", "doc_id", "text").join(marks, "row"), window, kmer), "spans")
+    rows = materialise(spans(documents.select("row", "check", "doc_id", "text").join(marks, "row"), window, kmer), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("start").alias("start"))
     release(marks)
     first = materialise(rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = rows.join(first, ["k1", "k2"]).where(place > F.col("first"))
-    gone = materialise(later.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("gone")), "gone")
+    gone = materialise(later.groupBy("row", "check").agg(F.collect_set(F.struct("start", "length")).alias("gone")), "gone")
     release(rows, first)
     return gone
 
@@ -247,8 +251,8 @@ def keep_mask(n: int, gone: list[dict] | None) -> np.ndarray:
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """doc_id, the kept words joined by one space as ``kept``, n_words and n_removed, for every row."""
-    own = documents.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
-    joined = own.join(repeated_spans(own, window, kmer), "row", "left").select("doc_id", "text", "gone")
+    own = documents.select("doc_id", "text", row_key("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check"))
+    joined = own.join(repeated_spans(own, window, kmer), ["row", "check"], "left").select("doc_id", "text", "gone")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def make():
