@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
-from spanloom.llm import compression, langid, simhash
+from spanloom.llm import compression, decontaminate, langid, secrets, simhash
 from tests.llm.test_operators import _frame, _prose, _words, docs, nothing, rows  # noqa: F401
 
 
@@ -206,3 +210,116 @@ def test_near_dedup_hands_columns_on(spark):
     made = [(1, "a b c d", 5, 6, "x"), (2, "a b c d", 7, 8, "y"), (3, "quite another text here", 9, 10, "z"), (None, "a b c d", 1, 2, "n")]
     df = spark.createDataFrame(made, "doc_id long, text string, row long, __row long, fp string")
     assert sorted(map(tuple, simhash.one_of_each_group(df).collect())) == [made[0], made[2]]
+
+
+# op1
+
+
+WEB = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+
+
+def test_web_tokens_equal_the_pattern():
+    rng = random.Random(1)
+    part = lambda: rng.choice(["", "eyJ", "x", "eyJeyJ"]) + "".join(rng.choices("eyJab0-_", k=rng.randint(0, 14)))
+    met = 0
+    for _ in range(10_000):
+        text = "".join(part() + rng.choice([".", ".", ".", " ", ".."]) for _ in range(rng.randint(1, 9)))
+        expected = [m.span() for m in WEB.finditer(text)]
+        met += len(expected)
+        assert secrets.web_tokens(text) == expected
+    assert met > 300
+    began = time.perf_counter()
+    for text in ("eyJ" * 1_000_000, "eyJaaaaaaaa." * 200_000, "token" * 300_000, "-----BEGIN " * 50_000, "AKIA" * 200_000, "a" * 3_000_000 + "é"):
+        assert secrets.base_spans(text) is not None and secrets.wider_spans(text) is not None
+    assert time.perf_counter() - began < 60
+
+
+def _entropy(v):
+    return -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values())
+
+
+def _secret_spans(text):
+    """(start, kind, end, value) of all kinds but private keys, by plain patterns."""
+    found = []
+    for kind, pattern, least in (
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+        ("access", "(AKIA[A-Z0-9]+)", 16),
+        ("hex", "([0-9a-f]+)", 32),
+        ("provider", "(gh[pousr]_[A-Za-z0-9]{36,}|AIza[A-Za-z0-9_-]{35})", 0),
+        ("webtoken", f"({WEB.pattern})", 0),
+    ):
+        found += [(m.start(), kind, m.end(), m[1]) for m in re.finditer(pattern, text) if len(m[1]) >= least]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        v = m[0]
+        if len(v) >= 32 and v.upper() != v and v.lower() != v and re.search(r"\d", v) and _entropy(v) >= secrets.DENSE_BITS:
+            found.append((m.start(), "dense", m.end(), v))
+    return found
+
+
+def test_secret_spans_by_ownership(spark):
+    rng = random.Random(11)
+    make = lambda k: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=k))
+    token = lambda: rng.choice([f"ghp_{make(36)}", f"eyJ{make(12)}.eyJ{make(20)}.{make(16)}", f"{make(20)}/{make(20)}", f'secret: "{make(12)}"', hashlib.md5(make(4).encode()).hexdigest(), f"AIza{make(35)}", f"token={make(3)}example{make(3)}"])
+    copied, both, own = [token() for _ in range(6)], [token() for _ in range(4)], [token() for _ in range(8)]
+    rows_ = []
+    for i in range(90):
+        parts = [f"words {i} \U0001f600"]
+        if i % 2:
+            parts.append(rng.choice(copied))
+        if i % 3 == 0:
+            parts.append(both[i % 4] if i % 5 < 2 else both[0])
+        if i % 5 == 0:
+            parts += [own[i % 8], token()]
+        rows_.append((i, " and ".join(parts), None, f"o{i % 2}" if i % 3 == 0 else f"o{i % 7}"))
+    rows_ += [(200, None, None, None), (201, "", None, None), rows_[5]]
+    holders = defaultdict(set)
+    for i, text, _, owner in rows_:
+        for *_, v in _secret_spans(text or ""):
+            holders[v].add((owner, i))
+    names = {k: n for n, k in enumerate(secrets.KINDS)}
+    expected = Counter()
+    for i, text, _, _ in rows_:
+        listed, live, example = [], 0, 0
+        for start, kind, end, v in sorted(_secret_spans(text or ""), key=lambda s: (s[0], names[s[1]])):
+            owners = {o for o, _ in holders[v]}
+            wide = len(owners) >= 3 or len(owners) == 2 and len(holders[v]) >= 10
+            lively = not wide and _entropy(v) >= 3 and "example" not in v.lower() and not secrets._PLACEHOLDER.search(v)
+            live, example = live + lively, example + wide
+            if names[kind] < 3 or lively:
+                listed.append(f"{kind}:{start}:{end}")
+        expected[i, ",".join(listed), live, example] += 1
+    spark_rows = _frame(spark, rows_)
+    judged = secrets.judged_spans(spark_rows, F.col("source"), F.col("doc_id"))
+    got = Counter()
+    for r in judged.collect():
+        kept = [s for s in r["found"] if s["kind"] < 3 or s["verdict"] == "live"]
+        got[r["doc_id"], ",".join(f"{secrets.KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in kept), sum(s["verdict"] == "live" for s in r["found"]), sum(s["verdict"] == "example" for s in r["found"])] += 1
+    assert got == expected and sum(k[2] for k in got) > 5 and sum(k[3] for k in got) > 20
+
+
+@pytest.mark.parametrize("sent", [100, 0])
+def test_redaction_of_odd_columns(spark, sent):
+    given = [(i, f"x token = sharedvalue{'Q7' * 4} y", f"o{i}", 1, 2, 3, "e") for i in range(3)] + [(None, "secret: Zx81kqPw93", None, 4, 5, 6, None)]
+    df = spark.createDataFrame(given, "doc_id int, text string, source string, key long, __key int, n_chars int, examples string")
+    out = secrets.redact_live(df, F.col("source"), F.col("doc_id"), sent_examples=sent)
+    assert out.schema == df.schema
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [*given[:3], (None, "<secret>", None, 4, 5, 8, None)]))
+    assert secrets.judged_spans(df.limit(0), F.col("source"), F.col("doc_id")).count() == 0
+    assert secrets.redact_live(df.limit(0), F.col("source"), F.col("doc_id"), sent_examples=sent).count() == 0
+
+
+# op5
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(9,0)", "bigint"])
+def test_items_of_any_id(spark, kind):
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(words[i : i + 6 + 2**i])) for i in range(8)] + [(None, " ".join(words[50:70]))]
+    made = [(1, " ".join(words)), (2, " ".join(words[:30])), (3, " ".join(words[::-1])), (4, None)]
+    benchmark = spark.createDataFrame(items, "item_id int, text string").selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text")
+    docs_ = spark.createDataFrame(made, "doc_id int, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    got = decontaminate.contained_items(docs_, benchmark)
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    expected = Counter((str(d), str(i)) for d, t in made for i, u in items if t and len(sets(u) & sets(t)) >= 0.8 * len(sets(u)))
+    assert Counter((str(r["doc_id"]), str(r["item_id"])) for r in got.collect()) == expected and sum(expected.values()) > 10
+    assert decontaminate.contained_items(docs_.limit(0), benchmark).count() == 0
