@@ -32,7 +32,7 @@ FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
 #: Weight of the pooled covariance in a class's, of the scaled identity in both, and the divisor of the log odds.
 POOLED, IDENTITY, TEMPERATURE = 0.1, 0.02, 4.0
-FEATURES = ("chars", "words", "word_length", "distinct_words", "same_as_next", "upper", "digits", "symbols", "marks", "white", "line_words", "distinct_lines", "packed", "common_word", "top_pair")
+FEATURES = ("chars", "words", "word_length", "distinct_words", "same_as_next", "upper", "digits", "symbols", "marks", "white", "line_words", "distinct_lines", "packed", "not_ascii", "top_pair")
 _DROPPED = 1e-2
 
 
