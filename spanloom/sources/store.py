@@ -1,9 +1,9 @@
 """Versioned review store on plain Parquet: append-only tables, one shared revision counter, atomic commits.
 
-A commit first writes its rows under a directory of its own, which no reader looks at, and then publishes them by creating the
-commit file of the next revision. Creation fails if that file exists, so of two writers with the same expected revision
-one is refused; nothing of a refused or broken batch is ever seen. Readers list the commit files and read what they name.
-State is the newest row of each key; history is all of them.
+A commit first writes its rows as a batch in the table's folder, where no reader takes them without a commit that names them, and then
+publishes the commit file of the next revision. A file is whole when its name appears, and the name can be taken once, so of two
+writers with the same expected revision one is refused, and nothing of a refused, broken or half-written batch is ever seen.
+Readers scan a table's folder once and keep the batches that the commits name. State is the newest row of each key; history is all of them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,60 +54,84 @@ class Store:
         self._fs = self._path(self.folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         self._fs.mkdirs(self._path(f"{self.folder}/commits"))
 
+    def _read(self, status) -> tuple[int, dict]:
+        path = status.getPath()
+        stream = self._fs.open(path)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return int(path.getName().rsplit("-", 1)[1].split(".")[0]), json.loads(text)
+
     def _commits(self, scope: str) -> list[tuple[int, dict]]:
         """(revision, what it names) of a job's or the store's own commits, in order."""
-        found = []
-        pattern = self._path(f"{self.folder}/commits/{scope}-*.json")
-        for status in self._fs.globStatus(pattern) or ():
-            path = status.getPath()
-            revision = int(path.getName().rsplit("-", 1)[1].split(".")[0])
-            stream = self._fs.open(path)
-            try:
-                text = bytes(stream.readAllBytes()).decode()
-            finally:
-                stream.close()
-            found.append((revision, json.loads(text)))
-        return sorted(found, key=lambda x: x[0])
+        found = self._fs.globStatus(self._path(f"{self.folder}/commits/{scope}-*.json")) or ()
+        return sorted(map(self._read, found), key=lambda x: x[0])
 
     def revision(self, job: str) -> int:
         """The job's last revision; 0 before the first."""
-        commits = self._commits(job)
-        return commits[-1][0] if commits else 0
+        names = [s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.folder}/commits/{job}-*.json")) or ()]
+        return max((int(n.rsplit("-", 1)[1].split(".")[0]) for n in names), default=0)
 
-    def _publish(self, scope: str, revision: int, tables: dict[str, DataFrame], note: dict | None = None) -> None:
-        batch, names = uuid.uuid4().hex, []
-        for name, rows in tables.items():
-            rows.write.parquet(f"{self.folder}/data/{name}/{batch}")
-            names.append(name)
-        text = json.dumps({"batch": batch, "tables": names, "created": time.time(), **(note or {})}, ensure_ascii=False)
-        try:  # creation without overwrite is the compare-and-set
-            stream = self._fs.create(self._path(f"{self.folder}/commits/{scope}-{revision:09d}.json"), False)
-        except Exception as e:
-            raise Conflict("revision changed; read again before saving") from e
+    def _put(self, text: str, target: str) -> None:
+        """Makes a whole file appear under a name that nothing has; Conflict if something has it.
+
+        The text is written under a name of its own first, so a reader never meets a part of it, and a writer that dies leaves only a
+        file that nobody reads. The name is then taken by a hard link on a local disk, elsewhere by a rename that refuses an existing
+        target: HDFS and stores with atomic renames decide between two writers; on an object store without them one writer a job is assumed.
+        """
+        jvm, part = self.spark._jvm, self._path(f"{self.folder}/parts/{uuid.uuid4().hex}")
+        stream = self._fs.create(part, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        taken = ("java.nio.file.FileAlreadyExistsException", "org.apache.hadoop.fs.FileAlreadyExistsException")
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                local = [jvm.java.nio.file.Paths.get(p.toUri()) for p in (self._fs.makeQualified(self._path(target)), self._fs.makeQualified(part))]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(part, self._path(target), options)
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getName() in taken:
+                raise Conflict("revision changed; read again before saving") from e
+            raise
+        finally:
+            self._fs.delete(part, False)
 
-    def _rows(self, name: str, scopes: Sequence[str]) -> DataFrame:
-        """All published rows of a table with the revision that brought them."""
-        parts = None
-        for scope in scopes:
-            for revision, commit in self._commits(scope):
-                if name in commit["tables"]:
-                    own = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/data/{name}/{commit['batch']}").withColumn("revision", F.lit(revision)).withColumn("committed", F.lit(commit["created"]))
-                    parts = own if parts is None else parts.unionByName(own)
-        if parts is None:
-            schema = T.StructType([*SCHEMAS[name].fields, T.StructField("revision", T.IntegerType()), T.StructField("committed", T.DoubleType())])
+    def _publish(self, scope: str, revision: int, tables: dict[str, DataFrame], note: dict | None = None) -> None:
+        """Writes the rows as a batch, then the commit that names it: until then, and if another commit is first, no reader sees them."""
+        batch, created = uuid.uuid4().hex, time.time()
+        for name, rows in tables.items():
+            own = rows.withColumns({"revision": F.lit(revision), "committed": F.lit(created)})
+            own.write.parquet(f"{self.folder}/data/{name}/scope={scope}/batch={batch}")
+        text = json.dumps({"batch": batch, "tables": list(tables), "created": created, **(note or {})}, ensure_ascii=False)
+        self._put(text, f"{self.folder}/commits/{scope}-{revision:09d}.json")
+
+    def _rows(self, name: str, scope: str | None, prefix: str = "") -> DataFrame:
+        """All published rows of a table with the revision that brought them: of one scope, or of all that begin with a prefix.
+
+        One scan of the table, of which Spark reads the folders of the scope, joined with the batches that the commits name.
+        """
+        schema = T.StructType([*SCHEMAS[name].fields, T.StructField("revision", T.IntegerType()), T.StructField("committed", T.DoubleType())])
+        folder = f"{self.folder}/data/{name}" + (f"/scope={scope}" if scope else "")
+        commits = f"{self.folder}/commits/{scope or prefix + '*'}-*.json"
+        if not self._fs.exists(self._path(folder)) or not self._fs.globStatus(self._path(commits)):
             return self.spark.createDataFrame([], schema)
-        return parts
+        kept = self.spark.read.schema("batch string, tables array<string>").json(commits).where(F.array_contains("tables", name)).select("batch")
+        keyed = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+        return self.spark.read.schema(keyed).option("basePath", folder).parquet(folder).join(kept, "batch", "left_semi").select(*schema.names)
 
     # Jobs
 
     def create(self, request: dict) -> tuple[str, bool]:
         """(id, whether it is new): equal requests are one job."""
         job = identity(request)
-        if any(self._commits(f"job-{job}")):
+        if self.revision(f"job-{job}"):
             return job, False
         row = (job, json.dumps(request, ensure_ascii=False, sort_keys=True), json.dumps({"status": "queued"}), time.time())
         try:
@@ -117,15 +142,16 @@ class Store:
 
     def set_state(self, job: str, **changes: object) -> None:
         """The state's fields overridden by ``changes``: a new version of the job's row."""
+        revision = self.revision(f"job-{job}")  # before the row is read, so a version that comes between is a conflict
         old = self.get(job)
         state = {**json.loads(old["state"]), **changes}
         row = (job, old["request"], json.dumps(state, ensure_ascii=False), old["created"])
-        self._publish(f"job-{job}", self.revision(f"job-{job}") + 1, {"jobs": self.spark.createDataFrame([row], JOBS)})
+        self._publish(f"job-{job}", revision + 1, {"jobs": self.spark.createDataFrame([row], JOBS)})
 
     def get(self, job: str):
         if not is_id(job):
             raise ValueError("invalid job id")
-        row = newest(self._rows("jobs", [f"job-{job}"]), ["id"], ["revision"]).first()
+        row = newest(self._rows("jobs", f"job-{job}"), ["id"], ["revision"]).first()
         if row is None:
             raise ValueError("unknown job")
         return row
@@ -137,8 +163,7 @@ class Store:
         """The newest jobs, of one audio path if given."""
         if not 1 <= limit <= 50:
             raise ValueError("limit must be 1 to 50")
-        scopes = sorted({s.getPath().getName().rsplit("-", 1)[0] for s in self._fs.globStatus(self._path(f"{self.folder}/commits/job-*.json")) or ()})
-        rows = newest(self._rows("jobs", scopes), ["id"], ["revision"])
+        rows = newest(self._rows("jobs", None, "job-"), ["id"], ["revision"])
         if audio_path is not None:
             rows = rows.where(F.get_json_object("request", "$.audio_path") == audio_path)
         return rows.orderBy(F.desc("created"), "id").limit(limit)
@@ -151,23 +176,24 @@ class Store:
         ``segments`` has id, window, variants (name to text) and data; a single variant agrees with itself.
         """
         self.get(job)
-        own = segments.select(F.lit(job).alias("job"), "id", "window", "variants", "data").join(self._rows("segments", [f"seg-{job}"]).select("id"), "id", "left_anti").select(*SEGMENTS.names)
+        revision = self.revision(f"seg-{job}")
+        own = segments.select(F.lit(job).alias("job"), "id", "window", "variants", "data").join(self._rows("segments", f"seg-{job}").select("id"), "id", "left_anti").select(*SEGMENTS.names)
         texts = F.map_values("variants")
         first = F.element_at(texts, 1)
         agreed = (F.size(F.array_distinct(texts)) == 1) & (F.trim(first) != "")
         value = lambda yes, no: F.when(agreed, yes).otherwise(no)
         nothing = F.lit(None).cast("string")
         decisions = own.select("job", F.col("id").alias("segment_id"), value(F.lit("resolved"), F.lit("pending")).alias("status"), value(F.lit("agreement"), nothing).alias("choice"), value(first, nothing).alias("text"), F.lit("asr").alias("origin"), value(F.lit("identical transcripts"), F.lit("")).alias("reason"), F.lit("").alias("question"))
-        self._publish(f"seg-{job}", self.revision(f"seg-{job}") + 1, {"segments": own, "decisions": decisions})
+        self._publish(f"seg-{job}", revision + 1, {"segments": own, "decisions": decisions})
         state = json.loads(self.get(job)["state"])
         if state.get("status") != "ready":
             self.set_state(job, status="ready")
 
     def segments(self, job: str) -> DataFrame:
         """Segments with their current decisions."""
-        stored = self._rows("segments", [f"seg-{job}"]).drop("revision", "committed")
-        first = self._rows("decisions", [f"seg-{job}"]).withColumn("revision", F.lit(0))
-        current = newest(first.unionByName(self._rows("decisions", [job])), ["segment_id"], ["revision"])
+        stored = self._rows("segments", f"seg-{job}").drop("revision", "committed")
+        first = self._rows("decisions", f"seg-{job}").withColumn("revision", F.lit(0))
+        current = newest(first.unionByName(self._rows("decisions", job)), ["segment_id"], ["revision"])
         return stored.join(current.select(F.col("segment_id").alias("id"), F.struct("status", "choice", "text", "origin", "reason", "question").alias("decision")), "id")
 
     def decision_errors(self, job: str, changes: Sequence[dict]) -> list[str]:
@@ -177,7 +203,7 @@ class Store:
         ids = [c.get("segment_id") for c in changes]
         if len(set(ids)) != len(ids):
             return ["duplicate segment decisions"]
-        known = {r["id"]: r["variants"] for r in self._rows("segments", [f"seg-{job}"]).where(F.col("id").isin(*ids)).select("id", "variants").collect()}  # at most a batch
+        known = {r["id"]: r["variants"] for r in self._rows("segments", f"seg-{job}").where(F.col("id").isin(*ids)).select("id", "variants").collect()}  # at most a batch
         errors = []
         for c in changes:
             variants, choice = known.get(c["segment_id"]), c.get("choice")
@@ -201,7 +227,7 @@ class Store:
         errors = self.decision_errors(job, changes)
         if errors:
             raise ValueError("; ".join(errors))
-        variants = {r["id"]: r["variants"] for r in self._rows("segments", [f"seg-{job}"]).where(F.col("id").isin(*[c["segment_id"] for c in changes])).collect()}
+        variants = {r["id"]: r["variants"] for r in self._rows("segments", f"seg-{job}").where(F.col("id").isin(*[c["segment_id"] for c in changes])).collect()}
         rows = []
         for c in changes:
             choice = c["choice"]
@@ -218,12 +244,12 @@ class Store:
 
     def materials(self, job: str) -> DataFrame:
         """Current materials in the order in which they were first saved."""
-        rows = self._rows("materials", [job])
+        rows = self._rows("materials", job)
         order = rows.groupBy("id").agg(F.min("revision").alias("first"))
         return newest(rows, ["id"], ["revision"]).join(order, "id").orderBy("first", "id")
 
     def material_history(self, job: str) -> DataFrame:
-        return self._rows("materials", [job]).orderBy("revision", "id")
+        return self._rows("materials", job).orderBy("revision", "id")
 
     def material_errors(self, given: dict, old: dict | None, duration: float | None) -> list[str]:
         original = given.get("original_text")
@@ -267,7 +293,7 @@ class Store:
             raise ValueError("invalid material id")
         if len(set(named)) != len(named):
             raise ValueError("duplicate material updates")
-        old = {r["id"]: r for r in newest(self._rows("materials", [job]), ["id"], ["revision"]).where(F.col("id").isin(*named) if named else F.lit(False)).collect()}
+        old = {r["id"]: r for r in newest(self._rows("materials", job), ["id"], ["revision"]).where(F.col("id").isin(*named) if named else F.lit(False)).collect()}
         rows = []
         for m in given:
             if m.get("id") is not None and m["id"] not in old:

@@ -58,6 +58,40 @@ def test_batches_are_atomic(store, job):
     assert [h["revision"] for h in store.history(job)] == [1]
 
 
+def test_a_writer_that_dies_leaves_nothing(store, job, monkeypatch):
+    good = {"segment_id": "S000001", "choice": "A", "reason": "heard"}
+
+    def dies(text, target):
+        stream = store._fs.create(store._path(f"{store.folder}/parts/half"), False)
+        stream.write(bytearray(text[:9].encode()))
+        stream.close()
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_put", dies)
+        with pytest.raises(OSError, match="gone"):  # rows and half a commit are written, nothing is published
+            store.save_decisions(job, [good], 0)
+    assert store.revision(job) == 0 and store.history(job) == []
+    assert {r["id"]: r["decision"]["status"] for r in store.segments(job).collect()}["S000001"] == "pending"
+    assert store.save_decisions(job, [good], 0) == 1
+    assert {r["id"]: r["decision"]["text"] for r in store.segments(job).collect()}["S000001"] == "нестационарных данных"
+
+
+def test_other_errors_are_no_conflicts(store, job, monkeypatch):
+    monkeypatch.setattr(store, "folder", "nofs://nowhere/x")
+    with pytest.raises(Exception) as e:
+        store._put("{}", "nofs://nowhere/x/commits/a-000000001.json")
+    assert not isinstance(e.value, Conflict)
+
+
+def test_one_scan_for_all_commits(store, job):
+    for i in range(5):
+        store.save_decisions(job, [{"segment_id": "S000001", "choice": "edited", "text": f"v{i}", "reason": "r"}], i)
+    rows = store._rows("decisions", job)
+    assert sorted((r["revision"], r["text"]) for r in rows.collect()) == [(i + 1, f"v{i}") for i in range(5)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
 @pytest.mark.parametrize("change", [{"reason": " "}, {"choice": "C"}, {"choice": "edited", "text": " "}, {"choice": "uncertain"}, {"origin": "robot"}])
 def test_bad_decisions(store, job, change):
     with pytest.raises(ValueError):
@@ -73,7 +107,9 @@ def test_uncertain_draft_then_final(store, job, spark):
     store.save_decisions(job, [{"segment_id": "S000001", "choice": "edited", "text": "готово", "reason": "asked", "origin": "user"}], 1)
     final = review.export(store, job)
     assert files.read_text(spark, final["paths"]["srt"]) == "1\n00:00:00,000 --> 00:00:10,000\nготово\n\n2\n00:00:10,000 --> 00:00:20,000\nряд\n"
-    assert len(files.read_json(spark, final["paths"]["audit"])["history"]) == 2
+    audit = files.read_json(spark, final["paths"]["audit"])
+    assert len(audit["history"]) == 2 and audit["segments"][0]["variants"] == {"A": "нестационарных данных", "B": "стационарных данных"} and audit["segments"][1]["window"] == {"start": 10.0, "end": 20.0}
+    assert audit["unresolved"] == [] and "timing" in audit and audit["request"]["profile"] == "general"
     assert files.read_text(spark, draft["paths"]["text"])  # earlier revisions stay
 
 
