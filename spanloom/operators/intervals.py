@@ -31,9 +31,9 @@ def covered(spans: DataFrame, keys: Keys) -> DataFrame:
 
 
 def dominant(totals: DataFrame, keys: Keys, item: str) -> DataFrame:
-    """The item of greatest total of each key; the least item on a tie."""
-    best = F.max(F.struct(F.col("total"), (-F.col(item)).alias("_minus"))).alias("_best")
-    return totals.groupBy(*keys).agg(best).select(*keys, (-F.col("_best._minus")).alias(item), F.col("_best.total").alias("total"))
+    """The item of greatest total of each key; the least item on a tie, null after all others. Items may be of any type with an order."""
+    best = F.min(F.struct((-F.col("total")).alias("_minus"), F.col(item).isNull().alias("_none"), F.col(item))).alias("_best")
+    return totals.groupBy(*keys).agg(best).select(*keys, F.col(f"_best.{item}").alias(item), (-F.col("_best._minus")).alias("total"))
 
 
 def difference(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
