@@ -60,6 +60,18 @@ def identity(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:32]
 
 
+def canonical_json(values: dict[str, Column]) -> Column:
+    """The canonical JSON of a flat object of text and numbers, as ``identity`` writes it: sorted keys, plain characters."""
+    member = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    parts = [F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ": "), F.when(c.isNull(), "null").otherwise(member(c))) for k, c in sorted(values.items())]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def identities(values: dict[str, Column]) -> Column:
+    """``identity`` of an object in each row."""
+    return F.substring(F.sha2(canonical_json(values), 256), 1, 32)
+
+
 def differences(a: str, b: str) -> list[dict[str, str]]:
     """What turns the words of a into those of b: replaced, deleted and inserted runs."""
     left, right = (a or "").split(), (b or "").split()

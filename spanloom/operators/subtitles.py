@@ -6,7 +6,7 @@ from bisect import bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import differences, token_diff, wrapped
@@ -43,6 +43,22 @@ def in_regions(words: Sequence[Word | dict], regions: Sequence[tuple[float, floa
     return found
 
 
+def region_words(words: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``in_regions`` for many recordings: the words, clipped, with ``region``, the start of the region that their middle lies in.
+
+    Words: keys, start, end and any others. Regions: keys, a, b; those of a key don't overlap. One ordered pass over the union of both
+    brings each word the last region that has begun, so no pairs are made.
+    """
+    names = [c for c in words.columns if c not in keys]
+    points = words.select(*keys, ((F.col("start") + F.col("end")) / 2).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<a:double,b:double>").alias("_r"), F.struct(*names).alias("_w"))
+    begun = regions.select(*keys, F.col("a").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).alias("_r"), F.lit(None).cast(points.schema["_w"].dataType).alias("_w"))
+    before = Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    held = points.unionByName(begun).withColumn("_r", F.last("_r", ignorenulls=True).over(before)).where("_kind = 1 AND _t < _r.b")
+    start, end = F.greatest("_w.start", "_r.a"), F.least("_w.end", "_r.b")
+    kept = held.where(F.rint(end * 1000) > F.rint(start * 1000))
+    return kept.select(*keys, F.col("_r.a").alias("region"), *[(start if n == "start" else end if n == "end" else F.col(f"_w.{n}")).alias(n) for n in names])
+
+
 def cues(words: Sequence[Word | dict], regions: Sequence[tuple[float, float]]) -> list[tuple[float, float, str]]:
     """(start, end, text) of each cue; ValueError if times run backwards."""
     groups: list[list[tuple[int, float, float, str]]] = []

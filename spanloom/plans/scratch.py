@@ -17,9 +17,11 @@ _made_up: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is made up only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. A temporary one is made up only where that is unset and Spark runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _made_up:
             _made_up[application] = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
