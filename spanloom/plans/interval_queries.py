@@ -50,34 +50,37 @@ SELECT num.rec, best.speaker, min(a) AS a, max(b) AS b FROM num JOIN best ON num
 def _regions(gap: int):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         s = segments(spark, folder)
-        best, regions = I.dominant_regions(s, limits(s, "rec"), ["rec"], "speaker", gap=gap)
+        best, regions = I.dominant_regions(s, limits(s, "rec"), ["rec"], "speaker", gap=gap, block=I.block_for(s, ["rec"]))
         return regions.join(best.select("rec", "speaker"), "rec").select("rec", "speaker", "a", "b")
 
     return query
 
 
 def union_duration(spark: SparkSession, folder: str) -> DataFrame:
-    return I.covered(segments(spark, folder), ["rec", "speaker"])
+    s = segments(spark, folder)
+    return I.covered(s, ["rec", "speaker"], I.block_for(s, ["rec", "speaker"]))
 
 
 def union_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return I.islands(segments(spark, folder), ["rec", "speaker"]).select("rec", "speaker", "a", "b")
+    s = segments(spark, folder)
+    return I.islands(s, ["rec", "speaker"], block=I.block_for(s, ["rec", "speaker"])).select("rec", "speaker", "a", "b")
 
 
 def dominant_key(spark: SparkSession, folder: str) -> DataFrame:
-    return I.dominant(I.covered(segments(spark, folder), ["rec", "speaker"]), ["rec"], "speaker")
+    return I.dominant(union_duration(spark, folder), ["rec"], "speaker")
 
 
 def others_only(spark: SparkSession, folder: str) -> DataFrame:
     """Where only speakers other than the dominant one are active."""
-    united = I.islands(segments(spark, folder), ["rec", "speaker"])
+    united = union_spans(spark, folder)
     best = dominant_key(spark, folder).select("rec", F.col("speaker").alias("best"))
     both = united.join(best, "rec")
-    return I.difference(both.where("speaker <> best").select("rec", "a", "b"), both.where("speaker = best").select("rec", "a", "b"), ["rec"])
+    block = I.block_for(segments(spark, folder), ["rec"])
+    return I.difference(both.where("speaker <> best").select("rec", "a", "b"), both.where("speaker = best").select("rec", "a", "b"), ["rec"], block)
 
 
 def speech_length_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return I.islands(segments(spark, folder), ["rec", "speaker"]).groupBy("rec").agg(
+    return union_spans(spark, folder).groupBy("rec").agg(
         F.count("*").alias("n"), F.min(F.col("b") - F.col("a")).alias("least"), F.max(F.col("b") - F.col("a")).alias("most"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean"))
 
 
@@ -119,9 +122,11 @@ def bucketed_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 def point_in_interval_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """Clicks to the united purchase span that holds them, or the nearest one of their user."""
-    spans = I.islands(segments(spark, folder).where("event_type = 'purchase'").select("user_id", "a", "b"), ["user_id"]).withColumn("span", F.col("a"))
+    own = segments(spark, folder).select("user_id", "event_type", "a", "b")
+    block = I.block_for(own, ["user_id"])
+    spans = I.islands(own.where("event_type = 'purchase'").select("user_id", "a", "b"), ["user_id"], block=block).withColumn("span", F.col("a"))
     points = read(spark, folder, "events").where("event_type = 'click'").select("user_id", "event_id", F.floor(micros("ts") / 10000).alias("t"))
-    return I.locate(points, spans, ["user_id"], "t", "event_id", "span").where("span IS NOT NULL").select("event_id", "span", F.col("outside").cast("int").alias("outside"), "distance")
+    return I.locate(points, spans, ["user_id"], "t", "event_id", "span", block).where("span IS NOT NULL").select("event_id", "span", F.col("outside").cast("int").alias("outside"), "distance")
 
 
 def masked_values(spark: SparkSession, folder: str) -> DataFrame:

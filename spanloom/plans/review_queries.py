@@ -40,7 +40,10 @@ def _aligned(words: DataFrame) -> DataFrame:
     """Each recording in chunks of CORE seconds with one second of context, every chunk with its own copy of the words in its input."""
     seconds = words.groupBy("rec").agg(F.max("end").alias("seconds"))
     chunks = P.fixed_layout(seconds, "seconds", CORE).drop("seconds")
-    hits = words.withColumnRenamed("start", "s").withColumnRenamed("end", "e").join(chunks, "rec").where("s >= start AND e <= end")
+    # A word lies in the core that its start says, or in the context of the one before or after: an equi join, no range.
+    near = F.floor(F.col("start") / CORE).cast("int")
+    dealt = words.select("rec", "i", "word", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.array(near - 1, near, near + 1)).alias("chunk_idx"))
+    hits = dealt.join(chunks, ["rec", "chunk_idx"]).where("s >= start AND e <= end")
     word = F.struct(F.col("i"), F.col("word").alias("text"), (F.col("s") - F.col("start")).alias("start_time"), (F.col("e") - F.col("start")).alias("end_time"))
     chunk = F.struct("start", "end", "core_start", "core_end")
     lists = hits.groupBy("rec", "chunk_idx", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(word)).alias("w"))
