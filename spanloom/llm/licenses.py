@@ -79,8 +79,8 @@ def pivot_words(shingles: list[list[str]], threshold: float, known: set[str]) ->
     return found
 
 
-def size_classes(shingles: list[list[str]], n: int = SHINGLE, threshold: float = THRESHOLD, certainty: float = CERTAINTY) -> list[SizeClass]:
-    """Classes of doubling size with the bands that guarantee the certainty."""
+def size_classes(shingles: list[list[str]], n: int = SHINGLE, threshold: float = THRESHOLD, certainty: float = CERTAINTY, spans: list[int] | None = None) -> list[SizeClass]:
+    """Classes of doubling size with the bands that guarantee the certainty. ``spans``: places of the shingles, where some are equal."""
     by: dict[int, list[int]] = {}
     for i, own in enumerate(shingles):
         if own:
@@ -88,7 +88,7 @@ def size_classes(shingles: list[list[str]], n: int = SHINGLE, threshold: float =
     classes, known = [], set()
     for _, members in sorted(by.items()):
         sizes = [len(shingles[i]) for i in members]
-        stride = max(sizes) + n - 1
+        stride = max(max(sizes), *((spans[i] for i in members) if spans else (0,))) + n - 1
         least = min(math.ceil(threshold * s - 1e-9) / (2 * stride - n + 1 + s - math.ceil(threshold * s - 1e-9)) for s in sizes)
         pivots = pivot_words([shingles[i] for i in members], threshold, known)
         known |= set(pivots)
@@ -127,10 +127,10 @@ def _places(threshold: float) -> Column:
     """Where the template lies in the window: each start from which as many words as its own (and a few inserted ones) hold enough of it, with the share."""
     n = F.col("n")
     hits = F.filter(F.transform("have", lambda s, i: F.struct((F.col("at") + i).alias("i"), F.array_position("wanted", s).alias("j"))), lambda h: h["j"] > 0)
-    length = n + F.least(F.lit(SLACK), F.floor(n / 4))
+    length = F.col("span") + F.least(F.lit(SLACK), F.floor(F.col("span") / 4))
 
     def place(start: Column, shared: Column) -> Column:
-        return F.struct((shared / n).alias("score"), (F.col("shared") / n).alias("whole"), start.cast("int").alias("start"), n.alias("n"), F.col("template"), F.col("shared"))
+        return F.struct((shared / n).alias("score"), (F.col("shared") / n).alias("whole"), start.cast("int").alias("start"), n.alias("n"), F.col("template"), F.col("shared"), F.col("span"))
 
     def starts(h: Column) -> Column:
         inside = lambda p: F.size(F.array_distinct(F.transform(F.filter(h, lambda x: (x["i"] >= p["i"]) & (x["i"] < p["i"] + length)), lambda x: x["j"])))
@@ -142,12 +142,12 @@ def _places(threshold: float) -> Column:
 
 
 def _standing(places: Column) -> Column:
-    """Of places by falling share those that no better standing one covers by more than half."""
+    """Of places by falling share those of which no better standing one covers more than half."""
 
     def covered(acc: Column, x: Column) -> Column:
         def by(a: Column) -> Column:
-            both = F.least(a["start"] + a["n"], x["start"] + x["n"]) - F.greatest(a["start"], x["start"])
-            return (F.struct(a["score"], a["whole"]) > F.struct(x["score"], x["whole"])) & (2 * both > F.least(a["n"], x["n"]))
+            both = F.least(a["start"] + a["span"], x["start"] + x["span"]) - F.greatest(a["start"], x["start"])
+            return (F.struct(a["score"], a["whole"]) > F.struct(x["score"], x["whole"])) & (2 * both > x["span"])
 
         return F.exists(acc, by)
 
@@ -162,12 +162,14 @@ def license_matches(documents: DataFrame, templates: tuple[tuple[str, str, str],
     """doc_id, license, form, n_shared, n_template and containment of each document and template that some window contains."""
     spark = documents.sparkSession
     shingles = [shingles_of(words_of(t[2])) for t in templates]
-    classes = size_classes(shingles, threshold=threshold)
+    # Places of a template's shingles, of which some may be equal.
+    spans = [max(1, len(words_of(t[2])) - SHINGLE + 1) for t in templates]
+    classes = size_classes(shingles, threshold=threshold, spans=spans)
     # The templates are a fixed list, so their signatures are fit to be sent to all tasks.
-    listed = F.array(*[F.struct(F.lit(k).alias("t_class"), F.lit(i).alias("template"), _literals(shingles[i]).alias("wanted")) for k, c in enumerate(classes) for i in c.members])
+    listed = F.array(*[F.struct(F.lit(k).alias("t_class"), F.lit(i).alias("template"), F.lit(spans[i]).alias("span"), _literals(shingles[i]).alias("wanted")) for k, c in enumerate(classes) for i in c.members])
     by_class = lambda column, make: F.coalesce(*[F.when(column == k, make(c)) for k, c in enumerate(classes)])
     known = spark.range(1).select(F.inline(listed))
-    signed = known.select("t_class", "template", "wanted", F.explode(by_class(F.col("t_class"), lambda c: _signature(F.col("wanted"), c.bands))).alias("t_sign"))
+    signed = known.select("t_class", "template", "span", "wanted", F.explode(by_class(F.col("t_class"), lambda c: _signature(F.col("wanted"), c.bands))).alias("t_sign"))
 
     lower, pivots = F.lower("text"), sorted({p for c in classes for p in c.pivots})
     # Through a lambda, so that each text is lower-cased once for all words.
@@ -178,7 +180,7 @@ def license_matches(documents: DataFrame, templates: tuple[tuple[str, str, str],
     cut = windows.select("doc_id", "row", "class", "at", _shingles(F.col("window")).alias("have"))
     bands = cut.select("doc_id", "row", "class", "at", "have", F.explode(by_class(F.col("class"), lambda c: _signature(F.col("have"), c.bands))).alias("sign"))
     met = bands.join(F.broadcast(signed), (F.col("class") == F.col("t_class")) & (F.col("sign.band") == F.col("t_sign.band")) & (F.col("sign.least") == F.col("t_sign.least")))
-    shared = met.select("doc_id", "row", "template", "at", "have", "wanted", F.size(F.array_intersect("have", "wanted")).alias("shared"), F.size("wanted").alias("n"))
+    shared = met.select("doc_id", "row", "template", "span", "at", "have", "wanted", F.size(F.array_intersect("have", "wanted")).alias("shared"), F.size("wanted").alias("n"))
     kept = shared.where(F.col("shared") >= threshold * F.col("n") - 1e-9)
     # Of the versions of one text the best agreed stand at each place, as a notice of one version holds most of the others' words.
     family = F.element_at(F.array(*map(F.lit, families(shingles))), F.col("template") + 1)

@@ -15,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from spanloom.llm import compression, decontaminate, langid, secrets, simhash
+from spanloom.llm import compression, decontaminate, langid, licenses, secrets, simhash
 from tests.llm.test_operators import _frame, _prose, _words, docs, nothing, rows  # noqa: F401
 
 
@@ -323,3 +323,32 @@ def test_items_of_any_id(spark, kind):
     expected = Counter((str(d), str(i)) for d, t in made for i, u in items if t and len(sets(u) & sets(t)) >= 0.8 * len(sets(u)))
     assert Counter((str(r["doc_id"]), str(r["item_id"])) for r in got.collect()) == expected and sum(expected.values()) > 10
     assert decontaminate.contained_items(docs_.limit(0), benchmark).count() == 0
+
+
+# op9
+
+
+def test_whole_license_texts(spark):
+    """Each whole text, in long documents and with a tenth of its words changed here and there, against exact containment."""
+    rng = random.Random(9)
+    whole = [t for t in licenses.TEMPLATES if t[1] == "text"]
+    assert len(whole) == 7
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    made = [(i, f"{prose(rng.randint(0, 900))} {t[2]} {prose(300)}") for i, t in enumerate(whole)]
+    for i, t in enumerate(whole):
+        words = t[2].split()
+        for at in rng.sample(range(len(words)), len(words) // 60):
+            words[at] = "changed"
+        made.append((100 + i, prose(500) + " " + " ".join(words)))
+    made.append((200, prose(2000)))
+    got = licenses.license_matches(spark.createDataFrame(made, "doc_id int, text string")).where("form = 'text'").collect()
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in got}
+    for i, text in made:
+        have = set(licenses.shingles_of(licenses.words_of(text)))
+        for k, t in enumerate(whole):
+            want = licenses.shingles_of(licenses.words_of(t[2]))
+            share = sum(s in have for s in want) / len(want)
+            if i % 100 == k and i < 200:
+                assert (share >= 0.8) == ((i, t[0]) in found)
+                assert share < 0.8 or found[i, t[0]] == pytest.approx(share)
+    assert not any(i == 200 for i, _ in found) and sum((i, t[0]) in found for i, t in enumerate(whole)) == 7
