@@ -72,10 +72,11 @@ def dominant_key(spark: SparkSession, folder: str) -> DataFrame:
 
 def others_only(spark: SparkSession, folder: str) -> DataFrame:
     """Where only speakers other than the dominant one are active."""
-    united = union_spans(spark, folder)
-    best = dominant_key(spark, folder).select("rec", F.col("speaker").alias("best"))
-    both = united.join(best, "rec")
-    block = I.block_for(segments(spark, folder), ["rec"])
+    s = segments(spark, folder)
+    block = I.block_for(s, ["rec"])
+    united = I.islands(s, ["rec", "speaker"], block=block)
+    totals = united.groupBy("rec", "speaker").agg(F.sum(F.col("b") - F.col("a")).alias("total"))
+    both = united.join(I.dominant(totals, ["rec"], "speaker").select("rec", F.col("speaker").alias("best")), "rec")
     return I.difference(both.where("speaker <> best").select("rec", "a", "b"), both.where("speaker = best").select("rec", "a", "b"), ["rec"], block)
 
 
