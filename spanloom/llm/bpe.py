@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by backtracking over an Aho-Corasick automaton.
 
 The ranks of a vocabulary become an automaton over Latin-1 strings, one character a byte. One pass of the
-automaton over a piece finds the longest token that starts at each byte. Encoding then walks from the left with
-longest matches; a token may follow another only if the merge order would leave a boundary between them, which is
-decided by undoing their merges and is memoised for each pair. Where the pair isn't compatible, the next shorter
-prefix token is tried, and where none is left, the walk steps back. Each byte offset is given up at most once, so
-the work is linear in the piece. The result is that of merging the pairs of lowest rank first.
+automaton over a piece finds its longest matches from left to right, and encoding walks along them; a token may
+follow another only if the merge order would leave a boundary between them, which is decided by undoing their
+merges and is memoised for each pair. Where the pair isn't compatible, the next shorter prefix token is tried, and
+where none is left, the walk steps back. Each byte offset is given up at most once, so the work is linear in the
+piece. The result is that of merging the pairs of lowest rank first.
 
 Inputs: any DataFrame with a text column; null text encodes as the empty text. Empty text gives no ids. Other columns
 pass through unchanged. Nothing is truncated: a text is one row whatever its length.
@@ -16,11 +16,11 @@ from __future__ import annotations
 import base64
 from array import array
 from functools import lru_cache
-from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +31,8 @@ from spanloom.llm.common import in_arrow, slices, table, texts
 
 #: File of ranks that the registered query uses.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a worker keeps encoded, and pairs whose compatibility it keeps; the first drops its older half when full, the second starts anew.
-CACHED_PIECES = 200_000
+#: Pieces that a worker keeps encoded, in each of two generations, and pairs whose compatibility it keeps until they start anew.
+CACHED_PIECES = 120_000
 CACHED_PAIRS = 200_000
 
 
@@ -56,6 +56,7 @@ class BytePairEncoder:
         self._find_parts()
         reachable = [t for t, r in ranks.items() if len(t) == 1 or self.parts[r][0] != r]
         self.shorter = self._prefix_links(reachable)
+        self.widest = max(map(len, reachable))
         self.automaton = ahocorasick.Automaton()
         for token in reachable:
             self.automaton.add_word(token.decode("latin-1"), ranks[token])
@@ -115,27 +116,23 @@ class BytePairEncoder:
         if whole is not None:
             return [whole]
         size, latin = len(piece), piece.decode("latin-1")
-        length, shorter, pairs = self.length, self.shorter, self.pairs
+        length, shorter, pairs, longest = self.length, self.shorter, self.pairs, self.automaton.iter_long
         # The walk's first way takes the longest match at each place, up to the first neighbours that don't fit.
-        first = [rank for _, rank in self.automaton.iter_long(latin)]
-        last, at = first[0], 0
-        for n, token in enumerate(first[1:], 1):
-            fits = pairs.get(last << 32 | token)
-            if fits is None:
-                fits = self.compatible(last, token)
-            if not fits:
-                break
-            at += length[last]
+        ids: list[int] = []
+        at, last = 0, None
+        for _, token in longest(latin):
+            if last is not None:
+                fits = pairs.get(last << 32 | token)
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if not fits:
+                    break
+            ids.append(token)
+            at += length[token]
             last = token
         else:
-            return first
-        ids: list[int] = first[:n]
-        at += length[last]
-        longest = [0] * size
-        for end, rank in self.automaton.iter(latin):
-            start = end - length[rank] + 1
-            if not longest[start] or length[longest[start] - 1] < length[rank]:
-                longest[start] = rank + 1  # zero: none
+            return ids
+        # From there on the automaton is asked place by place; a place is asked once, as it closes when it is given up.
         open_ = bytearray(b"\x01") * (size + 1)
         while at < size:
             while token is not None:
@@ -157,13 +154,27 @@ class BytePairEncoder:
                 ids.append(token)
                 at = end
                 if at < size:
-                    token = longest[at] - 1
+                    token = next(longest(latin[at : at + self.widest]))[1]
         return ids
 
 
 @lru_cache(maxsize=2)
-def decoding_table(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+def decoding_table(path: str) -> pa.BinaryArray:
+    """The bytes of each token, at the place of its rank; null where no token has that rank."""
+    tokens = {rank: token for token, rank in read_ranks(path).items()}
+    return pa.array([tokens.get(rank) for rank in range(max(tokens) + 1)], pa.binary())
+
+
+def decoded_rows(table: pa.BinaryArray, ids: pa.Array, offsets: np.ndarray) -> pa.BinaryArray:
+    """The bytes of the tokens from each offset to the next, one value for each row; a null id stands for no bytes."""
+    if not len(ids):
+        return pa.array([b""] * (len(offsets) - 1), pa.binary())
+    tokens = table.take(ids)
+    if tokens.null_count > ids.null_count:
+        raise ValueError("an id stands for no token")
+    _, places, data = tokens.buffers()
+    ends = np.frombuffer(places, dtype=np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends[offsets].tobytes()), data])
 
 
 @lru_cache(maxsize=2)
@@ -173,32 +184,38 @@ def encoder(path: str) -> BytePairEncoder:
 
 
 class TextEncoder:
-    """Encodes texts split by a pattern, keeping the ids of recent pieces as packed 32-bit numbers."""
+    """Encodes texts split by a pattern, keeping the ids of recent pieces as packed 32-bit numbers.
+
+    Pieces are kept in two generations: the younger one becomes the older when it is full, and a piece that is met
+    again is young again.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.bpe, self.find = encoder(path), regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
         pieces = self.find(text)
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
-        encode = self.bpe.encode_piece
-        out = []
-        for p in pieces:
-            found = cache.get(p)
-            if found is None:
-                found = array("i", encode(p.encode("utf-8", "surrogatepass"))).tobytes()
-                if len(p) <= 64:  # a long piece hardly comes again
-                    if len(cache) >= CACHED_PIECES:
-                        for old in list(islice(cache, CACHED_PIECES // 2)):
-                            del cache[old]
-                    cache[p] = found
-            out.append(found)
-        return b"".join(out)
+        ids = list(map(self.young.get, pieces))
+        if None in ids:
+            for i, known in enumerate(ids):
+                if known is None:
+                    ids[i] = self._piece(pieces[i])
+        return b"".join(ids)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.young.get(piece)
+        if found is not None:
+            return found
+        found = self.old.get(piece)
+        if found is None:
+            found = array("i", self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(piece) <= 64:  # a long piece hardly comes again
+            if len(self.young) >= CACHED_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -221,32 +238,39 @@ def encode_texts(df: DataFrame, path: str, pattern: str = public_tokenizers.PATT
     schema = T.StructType([*(T.StructField(n, f.dataType, True) for f, n in zip(kept, names, strict=True)), *added])
 
     def run(batches):
-        coder, token = text_encoder(path, pattern), decoding_table(path).__getitem__
+        coder, tokens = text_encoder(path, pattern), decoding_table(path)
         for batch in (x for b in batches for x in slices(b, "__text")):
             packed = [coder.packed(x) for x in texts(batch, "__text")]
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
-            columns = [*(batch.column(n) for n in names), ids]
+            ids = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
+            columns = [*(batch.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), ids)]
             if decoded:
-                columns.append(pa.array([b"".join(map(token, np.frombuffer(x, dtype=np.int32).tolist())) for x in packed], pa.binary()))
+                columns.append(decoded_rows(tokens, ids, offsets))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return in_arrow(source, run, schema).toDF(*[f.name for f in kept], into, *([decoded] if decoded else []))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep_ids: bool = False) -> DataFrame:
-    """Adds ``into``, the bytes that ``ids`` stand for (null ids: no bytes); other columns pass through, the ids if kept."""
+    """Adds ``into``, the bytes that ``ids`` stand for; other columns pass through, the ids if kept.
+
+    A null or empty list and a null in a list stand for no bytes; an id that isn't in the vocabulary is an error.
+    """
     kept = [f for f in df.schema.fields if f.name != into and (keep_ids or f.name != ids)]
     source = df.select(F.col(f"`{ids}`").alias("__ids"), *[F.col(f"`{f.name}`").alias(f"__c{i}") for i, f in enumerate(kept)])
     schema = T.StructType([*(T.StructField(f"__c{i}", f.dataType, True) for i, f in enumerate(kept)), T.StructField("__out", T.BinaryType())])
 
     def run(batches):
-        token = decoding_table(path).__getitem__
+        tokens = decoding_table(path)
         for batch in (x for b in batches for x in slices(b, "__ids")):
-            out = [b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in batch.column("__ids")]
+            lists = batch.column("__ids")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = np.zeros(len(lists) + 1, dtype=np.int64)
+            np.cumsum(lengths, out=offsets[1:])
+            out = decoded_rows(tokens, pc.list_flatten(lists), offsets)
             columns = [batch.column(f"__c{i}") for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=[*(f"__c{i}" for i in range(len(kept))), "__out"])
+            yield pa.RecordBatch.from_arrays([*columns, out], names=[*(f"__c{i}" for i in range(len(kept))), "__out"])
 
     return in_arrow(source, run, schema).toDF(*[f.name for f in kept], into)
 

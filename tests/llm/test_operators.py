@@ -291,6 +291,27 @@ def test_bpe_keeps_other_columns(docs, nothing):
     assert bpe.decode_ids(ids, path).count() == docs.count() and bpe.round_trip(nothing, path).count() == 0
 
 
+def test_bpe_decodes_odd_lists(spark):
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    ranks = bpe.read_ranks(path)
+    rows = [(1, None), (2, []), (3, [ranks[b"a"], None, ranks[b"b"]]), (4, [ranks[b"\xc3"]]), (4, [ranks[b"\xc3"]])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    got = [(r["doc_id"], bytes(r["decoded"])) for r in bpe.decode_ids(df, path).collect()]
+    assert sorted(got) == [(1, b""), (2, b""), (3, b"ab"), (4, b"\xc3"), (4, b"\xc3")]
+    with pytest.raises(Exception, match="out of bounds|stands for no token"):
+        bpe.decode_ids(spark.createDataFrame([(1, [len(ranks) + 5])], "doc_id long, ids array<int>"), path).collect()
+
+
+def test_bpe_generations_of_pieces(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    coder = bpe.TextEncoder(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    for _ in range(200):
+        text = " ".join(rng.choices(["alba", "corvo", "dunam", "eriste", "falgo", "\n", "x" * 90], k=rng.randint(0, 12)))
+        assert np.frombuffer(coder.packed(text), np.int32).tolist() == tik.encode_ordinary(text)
+        assert len(coder.young) <= 3 and len(coder.old) <= 3
+
+
 # op4
 
 
