@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from spanloom.llm import bpe, compression, decontaminate, html, langid, licenses, quality, secrets, simhash, substrings
+from spanloom.llm import bpe, compression, decontaminate, divergence, html, langid, licenses, manifest, quality, secrets, simhash, substrings, tokencounts
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_licenses": licenses.op9_licenses,
     "op10_compression": compression.op10_compression,
+    "op11_tokens": tokencounts.op11_tokens,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 #: DuckDB SQL by query, where SQL can state it; the others are tested against brute force.
@@ -20,4 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
     "op6_substrings": substrings.ORACLE,
     "op9_licenses": licenses.oracle(),
+    "op12_manifest": manifest.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
