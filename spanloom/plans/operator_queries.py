@@ -12,9 +12,10 @@ from spanloom.operators import alignment as A
 from spanloom.operators import partitioning as P
 from spanloom.operators import reconcile as R
 from spanloom.operators import review, subtitles
+from spanloom.operators.sequences import newest
 from spanloom.plans.review_queries import CORE, _aligned, _words
 from spanloom.plans.scratch import scratch_dir
-from spanloom.sources.store import Store
+from spanloom.sources.store import Store, decision_problems
 from spanloom.sources.tables import read
 
 WORDS = "array<struct<text:string,start_time:double,end_time:double>>"
@@ -183,29 +184,67 @@ def store_segments(spark: SparkSession, folder: str) -> DataFrame:
 def review_page(spark: SparkSession, folder: str) -> DataFrame:
     """Unresolved segments with their places among those, neighbours in the whole list, and the texts of the materials that overlap them."""
     store, job = _store(spark, folder)
-    rows = review.segment_rows(store, job, unresolved_only=True)
-    texts = store.materials(job).select(F.col("id").alias("material"), F.col("text").alias("note"))
+    at = store.at(job)
+    rows = review.segment_rows(at, unresolved_only=True)
+    texts = at.materials().select(F.col("id").alias("material"), F.col("text").alias("note"))
     named = rows.select("id", F.explode("reference_ids").alias("material")).join(texts, "material").groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("note")), ",").alias("notes"))
     return rows.join(named, "id", "left").select("id", F.col("place").cast("long").alias("place"), "total", F.col("previous.id").alias("previous"), F.col("following.id").alias("following"), "notes")
 
 
-def material_history(spark: SparkSession, folder: str) -> DataFrame:
-    """All versions of the materials that are chosen by their newest text, by revision."""
-    store, job = _store(spark, folder)
-    page = store.materials(job).where("text = 'better'").select("id")
-    return store.material_history(job).join(page, "id", "left_semi").select(F.col("revision").cast("long").alias("revision"), "original_text", "text")
+def _customer_segments(spark: SparkSession, folder: str) -> DataFrame:
+    c = read(spark, folder, "customer")
+    k = F.col("c_custkey")
+    variants = F.create_map(F.lit("A"), F.col("c_mktsegment"), F.lit("B"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment")))
+    return c.select(F.concat(F.lit("S"), F.lpad(k.cast("string"), 9, "0")).alias("id"), F.struct((k * 4.0).alias("start"), (k * 4.0 + 4).alias("end")).alias("window"), variants.alias("variants"), F.lit("{}").alias("data"), "c_acctbal")
+
+
+def _order_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as decisions on their customers' segments, by status."""
+    o = read(spark, folder, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    choice = F.when(status == "F", F.lit("B")).when(status == "O", F.lit("edited")).otherwise(F.lit("uncertain"))
+    return o.select(F.concat(F.lit("S"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("segment_id"), choice.alias("choice"), priority.alias("text"), F.when(F.col("o_orderkey") % 2 == 0, "user").otherwise("agent").alias("origin"), F.lit("ordered").alias("reason"), priority.alias("question"), F.year("o_orderdate").alias("year"), "o_orderkey", "o_totalprice")
 
 
-def _offered(k: int) -> dict:
-    """A decision of which some part is wrong, by a number."""
-    return {"segment_id": f"S{k if k % 10 else 900 + k:06d}", "choice": ("A", "edited", "uncertain", "C")[k % 4], "reason": " " if k % 6 == 5 else "r", "text": "" if k % 8 == 1 else "t", "question": "" if k % 8 == 2 else "q", "origin": "robot" if k % 7 == 3 else "user"}
+def order_log_at(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as a log of decisions, a commit a year, with checkpoints on the way: customers' segments as they were after 1999."""
+    store = Store(spark, f"{scratch_dir(spark)}/spanloom/store-{uuid.uuid4().hex}", compact_after=3)
+    job, _ = store.create({"audio_path": "/customers"})
+    store.initialize(job, _customer_segments(spark, folder).drop("c_acctbal"))
+    decisions = _order_decisions(spark, folder)
+    known = store.at(job).segments().select(F.col("id").alias("segment_id"))
+    for i, year in enumerate(range(1995, 2002)):
+        last = newest(decisions.where(F.col("year") == year), ["segment_id"], ["o_orderkey"]).join(known, "segment_id", "left_semi")
+        store.import_decisions(job, last.select("segment_id", "choice", "text", "origin", "reason", "question"), i)
+    return store.at(job, 5).segments().select("id", "decision.status", "decision.choice", "decision.text", "decision.origin", "decision.question")
+
+
+def material_history(spark: SparkSession, folder: str) -> DataFrame:
+    """All versions, by revision, of the materials that are chosen by their newest text: suppliers, of whom some are changed twice."""
+    store = Store(spark, f"{scratch_dir(spark)}/spanloom/store-{uuid.uuid4().hex}", compact_after=2)
+    job, _ = store.create({"audio_path": "/suppliers"})
+    s = read(spark, folder, "supplier")
+    fixed = [F.lit(x).alias(n) for n, x in (("source", ""), ("usage", "context"), ("origin", "agent"), ("confirmed_by", "none"), ("reason", "given"))]
+    rows = s.select(F.md5(F.col("s_suppkey").cast("string").cast("binary")).alias("id"), F.col("s_name").alias("title"), F.col("s_name").alias("original_text"), F.col("s_name").alias("text"), F.lit(None).cast("struct<start:double,end:double>").alias("window"), *fixed, "s_acctbal", "s_nationkey")
+    store.import_materials(job, rows, 0)
+    store.import_materials(job, rows.where("s_acctbal < 3000").withColumn("text", F.lower("text")), 1)
+    store.import_materials(job, rows.where("s_nationkey % 2 = 0").withColumn("text", F.concat("text", F.lit("!"))), 2)
+    at = store.at(job)
+    chosen = at.materials().where("text LIKE '%!' OR text = lower(text)").select("id")
+    return at.material_history().join(chosen, "id", "left_semi").select("id", F.col("revision").cast("long").alias("revision"), "original_text", "text")
 
 
 def decision_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """What is wrong with a batch of decisions."""
-    store, job = _store(spark, folder)
-    errors = store.decision_errors(job, [_offered(k) for k in range(1, 25)])
-    return spark.createDataFrame([(e,) for e in errors], "error string")
+    """What is wrong with orders as decisions on the segments of customers in credit, several a customer."""
+    cheap, late = F.col("o_totalprice") < 60_000, F.col("year") > 1999
+    given = _order_decisions(spark, folder).withColumns({
+        "text": F.when(cheap, F.lit(" ")).otherwise(F.col("text")),
+        "question": F.when(~cheap, F.col("question")),
+        "reason": F.when(F.col("text") == "5-LOW", F.lit("\u00a0")).otherwise(F.col("reason")),
+        "origin": F.when(F.col("text") == "1-URGENT", F.lit("robot")).otherwise(F.col("origin")),
+        "choice": F.when(late & cheap, F.lit("C")).otherwise(F.col("choice")),
+    })
+    return decision_problems(given, _customer_segments(spark, folder).where("c_acctbal > 0"))
 
 
 def split_after_marker(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         word_rows, seam_merge_jittered, alignment_valid, original_tokens, measured_words, widened_chunks, chunk_lengths, chunk_progress, region_words, compare_channels, region_layout, sliding_layout, halved_chunks,
-        content_identity, export_texts, store_segments, review_page, material_history, decision_errors, split_after_marker, chunk_sets, array_steps, map_steps, number_types, sliding_windows, sentence_runs,
+        content_identity, export_texts, store_segments, review_page, order_log_at, material_history, decision_errors, split_after_marker, chunk_sets, array_steps, map_steps, number_types, sliding_windows, sentence_runs,
     )
 }
 
@@ -289,6 +328,9 @@ SELECT rec AS rec_id, CAST(k AS INTEGER) AS chunk_idx, round(greatest(0, cut - 1
 
 _STORE = """g AS (SELECT n_nationkey AS k, 'S' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS id, n_name AS name FROM nation), f AS (SELECT *, CASE WHEN k = 2 THEN 'edited' WHEN k IN (1, 4) THEN 'B' WHEN k = 5 THEN 'uncertain' WHEN k % 3 = 0 THEN 'agreement' END AS choice FROM g)"""
 
+_CUSTOMERS = "c AS (SELECT 'S' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, c_acctbal AS bal, c_mktsegment AS a, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS b FROM customer)"
+_ORDERS = "o AS (SELECT 'S' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS id, o_orderkey AS k, year(o_orderdate) AS year, o_totalprice AS price, o_orderpriority AS p, CASE o_orderstatus WHEN 'F' THEN 'B' WHEN 'O' THEN 'edited' ELSE 'uncertain' END AS choice, CASE WHEN o_orderkey % 2 = 0 THEN 'user' ELSE 'agent' END AS origin FROM orders)"
+
 ORACLE_SQL = {
     "word_rows": f"""WITH {_W}, {_CUTS}, h AS (SELECT *, row_number() OVER (PARTITION BY rec, k ORDER BY i) - 1 AS pos FROM y JOIN g USING (rec) WHERE s >= a AND e <= b)
 SELECT rec AS rec_id, CAST(k AS INTEGER) AS chunk_idx, pos, round(a + (s - a), 4) AS start, round(a + (e - a), 4) AS "end", word AS text, round(least((a + (s - a) + a + (e - a)) / 2 - a, b - (a + (s - a) + a + (e - a)) / 2), 4) AS margin, ((a + (s - a) + a + (e - a)) / 2 >= cs AND (a + (s - a) + a + (e - a)) / 2 < ce) AS owner FROM h""",
@@ -321,10 +363,16 @@ SELECT u.job, '# Транскрипция лекции' || chr(10) || chr(10) ||
 CASE WHEN k = 2 THEN 'user' WHEN k IN (1, 4, 5) THEN 'agent' ELSE 'asr' END AS origin, CASE WHEN k = 2 THEN 'asked' WHEN k IN (1, 4) THEN 'heard' WHEN k = 5 THEN 'noise' WHEN choice = 'agreement' THEN 'identical transcripts' ELSE '' END AS reason, CASE WHEN k = 5 THEN 'which?' ELSE '' END AS question FROM f""",
     "review_page": f"""WITH {_STORE}, n AS (SELECT *, lag(id) OVER (ORDER BY id) AS previous, lead(id) OVER (ORDER BY id) AS following FROM f)
 SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS total, previous, following, CASE WHEN k BETWEEN 1 AND 3 THEN 'better' WHEN k = 5 THEN 'two' END AS notes FROM n WHERE choice IS NULL OR choice = 'uncertain'""",
-    "material_history": "SELECT * FROM (VALUES (3::BIGINT, 'raw', 'one'), (4::BIGINT, 'raw', 'better')) AS m(revision, original_text, text) UNION ALL SELECT NULL, NULL, NULL FROM nation WHERE n_nationkey < 0",
-    "decision_errors": """WITH k AS (SELECT unnest(range(1, 25)) AS k), c AS (SELECT k, 'S' || lpad(CAST(CASE WHEN k % 10 = 0 THEN 900 + k ELSE k END AS VARCHAR), 6, '0') AS id FROM k), b AS (SELECT k, id, id IN (SELECT 'S' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') FROM nation) AS known FROM c)
-SELECT id || ': unknown segment' AS error FROM b WHERE NOT known UNION ALL SELECT id || ': invalid choice' FROM b WHERE known AND k % 4 = 3 UNION ALL SELECT id || ': a reason is required' FROM b WHERE known AND k % 6 = 5 UNION ALL SELECT id || ': edited text must not be empty' FROM b WHERE known AND k % 4 = 1 AND k % 8 = 1
-UNION ALL SELECT id || ': an uncertain decision needs a question' FROM b WHERE known AND k % 4 = 2 AND k % 8 = 2 UNION ALL SELECT id || ': invalid origin' FROM b WHERE known AND k % 7 = 3""",
+    "order_log_at": f"""WITH {_CUSTOMERS}, {_ORDERS}, y AS (SELECT DISTINCT ON (id) * FROM o WHERE year <= 1999 ORDER BY id, year DESC, k DESC)
+SELECT c.id, CASE WHEN y.id IS NULL THEN CASE WHEN a = b THEN 'resolved' ELSE 'pending' END WHEN y.choice = 'uncertain' THEN 'uncertain' ELSE 'resolved' END AS status,
+CASE WHEN y.id IS NOT NULL THEN y.choice WHEN a = b THEN 'agreement' END AS choice, CASE WHEN y.id IS NULL THEN CASE WHEN a = b THEN a END WHEN y.choice = 'B' THEN b WHEN y.choice = 'edited' THEN y.p END AS text,
+CASE WHEN y.id IS NULL THEN 'asr' ELSE y.origin END AS origin, CASE WHEN y.id IS NULL THEN '' ELSE y.p END AS question FROM c LEFT JOIN y USING (id)""",
+    "material_history": """WITH v AS (SELECT s_suppkey, 1::BIGINT AS revision, s_name, s_name AS text FROM supplier UNION ALL SELECT s_suppkey, 2, s_name, lower(s_name) FROM supplier WHERE s_acctbal < 3000 UNION ALL SELECT s_suppkey, 3, s_name, s_name || '!' FROM supplier WHERE s_nationkey % 2 = 0)
+SELECT md5(CAST(s_suppkey AS VARCHAR)) AS id, revision, s_name AS original_text, text FROM v WHERE s_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0 OR s_acctbal < 3000)""",
+    "decision_errors": f"""WITH {_CUSTOMERS}, {_ORDERS}, g AS (SELECT o.*, price < 60000 AS cheap, CASE WHEN year > 1999 AND price < 60000 THEN 'C' ELSE choice END AS made, c.id IS NOT NULL AS known FROM o LEFT JOIN (SELECT id FROM c WHERE bal > 0) c USING (id))
+SELECT id AS segment_id, 'unknown segment' AS problem FROM g WHERE NOT known UNION ALL SELECT id, 'invalid choice' FROM g WHERE known AND made = 'C' UNION ALL SELECT id, 'a reason is required' FROM g WHERE known AND p = '5-LOW'
+UNION ALL SELECT id, 'edited text must not be empty' FROM g WHERE known AND made = 'edited' AND cheap UNION ALL SELECT id, 'an uncertain decision needs a question' FROM g WHERE known AND made = 'uncertain' AND cheap
+UNION ALL SELECT id, 'invalid origin' FROM g WHERE known AND p = '1-URGENT' UNION ALL SELECT id, 'duplicate segment decisions' FROM g GROUP BY id HAVING count(*) > 1""",
     "split_after_marker": "SELECT p_partkey, string_split(p_name, ' ')[-1] AS last, string_split(p_brand, '#')[-1] AS number FROM part",
     "chunk_sets": """WITH s AS (SELECT l_orderkey, coalesce(list(DISTINCT l_partkey % 10) FILTER (WHERE l_quantity < 30), []) AS a, coalesce(list(DISTINCT l_partkey % 10) FILTER (WHERE l_quantity > 20), []) AS b FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS either, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, list_has_any(a, b) AS meet FROM s""",

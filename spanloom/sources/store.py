@@ -3,7 +3,12 @@
 A commit first writes its rows as a batch in the table's folder, where no reader takes them without a commit that names them, and then
 publishes the commit file of the next revision. A file is whole when its name appears, and the name can be taken once, so of two
 writers with the same expected revision one is refused, and nothing of a refused, broken or half-written batch is ever seen.
-Readers scan a table's folder once and keep the batches that the commits name. State is the newest row of each key; history is all of them.
+State is the newest row of each key; history is all of them.
+
+Readers pin a revision first (``Store.at``): one listing decides which commits count, and everything that is read through the pin
+comes from the batches that those name, so no commit that comes meanwhile is half seen. Every ``compact_after`` commits the writer also
+leaves a checkpoint, one batch with all rows so far, so that a reader opens a bounded number of batches however long the log is.
+Commits stay as they are; earlier revisions can be read as long as they stand.
 """
 
 from __future__ import annotations
@@ -13,18 +18,23 @@ import math
 import re
 import time
 import uuid
+import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions.text import identity
 from spanloom.operators.sequences import newest
+from spanloom.sources.files import put_once
 
 #: Batch and page limits, and the words that decisions and materials may use: fixed values of the interface.
 LARGEST_BATCH = 50
+#: Commits after which a checkpoint is written, unless a store has its own number.
+COMPACT = 32
 ORIGINS = ("agent", "user")
 USAGES = ("context", "ground_truth", "both")
 CONFIRMED = ("none", "agent", "user")
@@ -46,62 +56,147 @@ def is_id(text: object) -> bool:
     return isinstance(text, str) and bool(_ID.fullmatch(text))
 
 
+@dataclass(frozen=True)
+class Pin:
+    """A revision of a scope, and what names the batches that it consists of: a checkpoint, if there is one, and the commits since."""
+
+    scope: str
+    revision: int
+    parts: list[dict]
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One job at one revision. All tables are read from the same commits, whenever they are read."""
+
+    store: Store
+    job: str
+    own: Pin
+    given: Pin
+    about: Pin
+
+    @property
+    def revision(self) -> int:
+        return self.own.revision
+
+    @cached_property
+    def _row(self):
+        return newest(self.store.pinned("jobs", self.about), ["id"], ["revision"]).first()
+
+    @property
+    def request(self) -> dict:
+        return json.loads(self._row["request"])
+
+    @property
+    def state(self) -> dict:
+        return json.loads(self._row["state"])
+
+    def decision_log(self) -> DataFrame:
+        """All versions of all decisions; those that came with the segments are revision 0."""
+        return self.store.pinned("decisions", self.given).withColumn("revision", F.lit(0)).unionByName(self.store.pinned("decisions", self.own))
+
+    def segments(self) -> DataFrame:
+        """Segments with the newest of their decisions."""
+        stored = self.store.pinned("segments", self.given).drop("revision", "committed")
+        current = newest(self.decision_log(), ["segment_id"], ["revision"])
+        return stored.join(current.select(F.col("segment_id").alias("id"), F.struct("status", "choice", "text", "origin", "reason", "question").alias("decision")), "id")
+
+    def material_history(self) -> DataFrame:
+        """All versions of all materials, by the revision that brought them."""
+        return self.store.pinned("materials", self.own).orderBy("revision", "id")
+
+    def materials(self) -> DataFrame:
+        """Newest versions of the materials in the order in which they were first saved."""
+        rows = self.store.pinned("materials", self.own)
+        order = rows.groupBy("id").agg(F.min("revision").alias("first"))
+        return newest(rows, ["id"], ["revision"]).join(order, "id").orderBy("first", "id")
+
+    def history(self) -> list[dict]:
+        """Decision batches that were saved as lists, in order. Commits are read by Spark; a batch is one row."""
+        if not self.revision:
+            return []
+        files = [self.store._file("commits", self.job, n) for n in range(1, self.revision + 1)]
+        texts = self.store.spark.read.text(files, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("int").alias("revision"), "value")
+        found = [(r["revision"], json.loads(r["value"])) for r in texts.orderBy("revision").collect()]
+        return [{"revision": n, "changes": c["changes"], "created": c["created"]} for n, c in found if "changes" in c]
+
+    def reference_history(self, ids: Sequence[str] | None = None) -> list[dict]:
+        """Material batches in order, each with the versions that it brought; of some materials alone, if ids are given."""
+        rows = self.material_history()
+        found: dict[int, list[dict]] = {}
+        for r in (rows if ids is None else rows.where(F.col("id").isin(*ids) if ids else F.lit(False))).collect():
+            found.setdefault(r["revision"], []).append({k: v for k, v in r.asDict(True).items() if k not in ("job", "revision")})
+        return [{"revision": k, "created": v[0]["committed"], "changes": [{n: x for n, x in m.items() if n != "committed"} for m in v]} for k, v in sorted(found.items())]
+
+
+def decision_problems(changes: DataFrame, segments: DataFrame) -> DataFrame:
+    """segment_id and problem of all that is wrong with decisions, by a join with the segments (id, variants): the rules of ``save_decisions``.
+
+    A segment that is decided twice has one such row; a row for an unknown segment has no other problem.
+    """
+    blank = lambda c: ~F.rlike(F.coalesce(F.col(c), F.lit("")), F.lit(r"(?U)\S"))
+    known = segments.select(F.col("id").alias("segment_id"), "variants")
+    met = changes.join(known, "segment_id", "left")
+    choice = F.col("choice")
+    fits = F.coalesce(F.array_contains(F.concat(F.map_keys("variants"), F.array(F.lit("edited"), F.lit("uncertain"))), choice), F.lit(False))
+    wrong = F.array_compact(
+        F.array(
+            F.when(~fits, "invalid choice"),
+            F.when(blank("reason"), "a reason is required"),
+            F.when((choice == "edited") & blank("text"), "edited text must not be empty"),
+            F.when((choice == "uncertain") & blank("question"), "an uncertain decision needs a question"),
+            F.when(~F.coalesce(F.col("origin").isin(*ORIGINS), F.col("origin").isNull()), "invalid origin"),
+        )
+    )
+    each = F.explode(F.when(F.col("variants").isNull(), F.array(F.lit("unknown segment"))).otherwise(wrong)).alias("problem")
+    twice = changes.groupBy("segment_id").agg(F.count("*").alias("n")).where("n > 1").select("segment_id", F.lit("duplicate segment decisions").alias("problem"))
+    return met.select("segment_id", each).unionByName(twice)
+
+
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, folder: str, compact_after: int = COMPACT):
+        self.spark, self.folder, self.compact_after = spark, folder.rstrip("/"), compact_after
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         self._fs.mkdirs(self._path(f"{self.folder}/commits"))
 
-    def _read(self, status) -> tuple[int, dict]:
-        path = status.getPath()
-        stream = self._fs.open(path)
+    def _json(self, path: str) -> dict:
+        stream = self._fs.open(self._path(path))
         try:
-            text = bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return int(path.getName().rsplit("-", 1)[1].split(".")[0]), json.loads(text)
-
-    def _commits(self, scope: str) -> list[tuple[int, dict]]:
-        """(revision, what it names) of a job's or the store's own commits, in order."""
-        found = self._fs.globStatus(self._path(f"{self.folder}/commits/{scope}-*.json")) or ()
-        return sorted(map(self._read, found), key=lambda x: x[0])
 
-    def revision(self, job: str) -> int:
-        """The job's last revision; 0 before the first."""
-        names = [s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.folder}/commits/{job}-*.json")) or ()]
-        return max((int(n.rsplit("-", 1)[1].split(".")[0]) for n in names), default=0)
+    def _numbers(self, folder: str, scope: str) -> list[int]:
+        """Revisions that have a file in a scope's folder, ascending."""
+        found = self._fs.globStatus(self._path(f"{self.folder}/{folder}/{scope}/*.json")) or ()
+        return sorted(int(s.getPath().getName().split(".")[0]) for s in found)
+
+    def _file(self, folder: str, scope: str, revision: int) -> str:
+        return f"{self.folder}/{folder}/{scope}/{revision:09d}.json"
+
+    def revision(self, scope: str) -> int:
+        """The last revision of a job, or of another scope; 0 before the first."""
+        return max(self._numbers("commits", scope), default=0)
+
+    def pin(self, scope: str, revision: int | None = None) -> Pin:
+        """What a reader of this revision (the last, if none is given) sees of a scope."""
+        numbers = self._numbers("commits", scope)
+        # A listing isn't one moment: of commits that come meanwhile it may show a later one alone. Those up to the first gap count.
+        last = next((i for i, n in enumerate(numbers) if n != i + 1), len(numbers))
+        if revision is not None and not 0 <= revision <= last:
+            raise ValueError("unknown revision")
+        upto = last if revision is None else revision
+        base = max((n for n in self._numbers("checkpoints", scope) if n <= upto), default=0)
+        parts = [self._json(self._file("checkpoints", scope, base))] if base else []
+        return Pin(scope, upto, parts + [self._json(self._file("commits", scope, n)) for n in range(base + 1, upto + 1)])
 
     def _put(self, text: str, target: str) -> None:
-        """Makes a whole file appear under a name that nothing has; Conflict if something has it.
-
-        The text is written under a name of its own first, so a reader never meets a part of it, and a writer that dies leaves only a
-        file that nobody reads. The name is then taken by a hard link on a local disk, elsewhere by a rename that refuses an existing
-        target: HDFS and stores with atomic renames decide between two writers; on an object store without them one writer a job is assumed.
-        """
-        jvm, part = self.spark._jvm, self._path(f"{self.folder}/parts/{uuid.uuid4().hex}")
-        stream = self._fs.create(part, False)
+        """Makes a whole file appear under a name that nothing has; Conflict if something has it."""
         try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        taken = ("java.nio.file.FileAlreadyExistsException", "org.apache.hadoop.fs.FileAlreadyExistsException")
-        try:
-            if self._fs.getUri().getScheme() == "file":
-                local = [jvm.java.nio.file.Paths.get(p.toUri()) for p in (self._fs.makeQualified(self._path(target)), self._fs.makeQualified(part))]
-                jvm.java.nio.file.Files.createLink(*local)
-            else:
-                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-                options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-                conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(part, self._path(target), options)
-        except Py4JJavaError as e:
-            if e.java_exception.getClass().getName() in taken:
-                raise Conflict("revision changed; read again before saving") from e
-            raise
-        finally:
-            self._fs.delete(part, False)
+            put_once(self.spark, target, text)
+        except FileExistsError as e:
+            raise Conflict("revision changed; read again before saving") from e
 
     def _publish(self, scope: str, revision: int, tables: dict[str, DataFrame], note: dict | None = None) -> None:
         """Writes the rows as a batch, then the commit that names it: until then, and if another commit is first, no reader sees them."""
@@ -110,22 +205,67 @@ class Store:
             own = rows.withColumns({"revision": F.lit(revision), "committed": F.lit(created)})
             own.write.parquet(f"{self.folder}/data/{name}/scope={scope}/batch={batch}")
         text = json.dumps({"batch": batch, "tables": list(tables), "created": created, **(note or {})}, ensure_ascii=False)
-        self._put(text, f"{self.folder}/commits/{scope}-{revision:09d}.json")
+        self._put(text, self._file("commits", scope, revision))
+        if revision % self.compact_after == 0:
+            try:
+                self.compact(scope, revision)
+            except Exception as e:  # the commit stands; readers go on with the checkpoint before
+                warnings.warn(f"no checkpoint of {scope} at {revision}: {e}", stacklevel=2)
+
+    def compact(self, scope: str, revision: int | None = None) -> int:
+        """Writes a checkpoint: one batch for each table with all its rows up to the revision (the last, if none is given), which it returns.
+
+        A checkpoint is published as a commit is, whole and once; a second writer's is left unread.
+        """
+        pin = self.pin(scope, revision)
+        names = sorted({t for c in pin.parts for t in c["tables"]})
+        if not pin.revision or not names:
+            return pin.revision
+        batch = uuid.uuid4().hex
+        for name in names:
+            self.pinned(name, pin).write.parquet(f"{self.folder}/data/{name}/scope={scope}/batch={batch}")
+        try:
+            self._put(json.dumps({"batch": batch, "tables": names, "created": time.time()}), self._file("checkpoints", scope, pin.revision))
+        except Conflict:
+            pass  # another writer has made the same
+        return pin.revision
+
+    @staticmethod
+    def _schema(name: str) -> T.StructType:
+        return T.StructType([*SCHEMAS[name].fields, T.StructField("revision", T.IntegerType()), T.StructField("committed", T.DoubleType())])
+
+    def pinned(self, name: str, pin: Pin) -> DataFrame:
+        """All rows of a table that the pin sees, with the revision that brought them: one scan of the batches it names."""
+        schema = self._schema(name)
+        paths = [f"{self.folder}/data/{name}/scope={pin.scope}/batch={c['batch']}" for c in pin.parts if name in c["tables"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _rows(self, name: str, scope: str | None, prefix: str = "") -> DataFrame:
         """All published rows of a table with the revision that brought them: of one scope, or of all that begin with a prefix.
 
-        One scan of the table, of which Spark reads the folders of the scope, joined with the batches that the commits name.
+        Of all, it is one scan of the table, joined with the batches that the commits name.
         """
-        schema = T.StructType([*SCHEMAS[name].fields, T.StructField("revision", T.IntegerType()), T.StructField("committed", T.DoubleType())])
-        folder = f"{self.folder}/data/{name}" + (f"/scope={scope}" if scope else "")
-        commits = f"{self.folder}/commits/{scope or prefix + '*'}-*.json"
+        if scope:
+            return self.pinned(name, self.pin(scope))
+        schema = self._schema(name)
+        folder, commits = f"{self.folder}/data/{name}", f"{self.folder}/commits/{prefix}*/*.json"
         if not self._fs.exists(self._path(folder)) or not self._fs.globStatus(self._path(commits)):
             return self.spark.createDataFrame([], schema)
         kept = self.spark.read.schema("batch string, tables array<string>").json(commits).where(F.array_contains("tables", name)).select("batch")
         keyed = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
         return self.spark.read.schema(keyed).option("basePath", folder).parquet(folder).join(kept, "batch", "left_semi").select(*schema.names)
 
+    def at(self, job: str, revision: int | None = None) -> Snapshot:
+        """The job as it is now, or as its decisions and materials were at an earlier revision; later commits don't show in it."""
+        if not is_id(job):
+            raise ValueError("invalid job id")
+        own = self.pin(job, revision)
+        # Decisions come after the segments that they name, so what is listed last holds all that the first listing refers to.
+        snapshot = Snapshot(self, job, own, self.pin(f"seg-{job}"), self.pin(f"job-{job}"))
+        if not snapshot.about.revision:
+            raise ValueError("unknown job")
+        return snapshot
+
     # Jobs
 
     def create(self, request: dict) -> tuple[str, bool]:
@@ -151,10 +291,10 @@ class Store:
     def get(self, job: str):
         if not is_id(job):
             raise ValueError("invalid job id")
-        row = newest(self._rows("jobs", f"job-{job}"), ["id"], ["revision"]).first()
-        if row is None:
+        pin = self.pin(f"job-{job}")
+        if not pin.revision:
             raise ValueError("unknown job")
-        return row
+        return newest(self.pinned("jobs", pin), ["id"], ["revision"]).first()
 
     def state(self, job: str) -> dict:
         return json.loads(self.get(job)["state"])
@@ -191,10 +331,7 @@ class Store:
 
     def segments(self, job: str) -> DataFrame:
         """Segments with their current decisions."""
-        stored = self._rows("segments", f"seg-{job}").drop("revision", "committed")
-        first = self._rows("decisions", f"seg-{job}").withColumn("revision", F.lit(0))
-        current = newest(first.unionByName(self._rows("decisions", job)), ["segment_id"], ["revision"])
-        return stored.join(current.select(F.col("segment_id").alias("id"), F.struct("status", "choice", "text", "origin", "reason", "question").alias("decision")), "id")
+        return self.at(job).segments()
 
     def decision_errors(self, job: str, changes: Sequence[dict]) -> list[str]:
         """What is wrong with a batch of decisions; empty if it may be committed."""
@@ -236,20 +373,40 @@ class Store:
         self._publish(job, expected + 1, {"decisions": self.spark.createDataFrame(rows, DECISIONS)}, {"changes": list(changes)})
         return expected + 1
 
+    def import_decisions(self, job: str, changes: DataFrame, expected: int) -> int:
+        """The new revision: a batch of any size as a table (segment_id, choice, text, origin, reason, question), checked by joins; all or none."""
+        if self.revision(job) != expected:
+            raise Conflict("revision changed; read the segments again before saving")
+        segments = self.pinned("segments", self.pin(f"seg-{job}")).select("id", "variants")
+        wrong = decision_problems(changes, segments).limit(LARGEST_BATCH).collect()
+        if wrong:
+            raise ValueError("; ".join(f"{r['segment_id']}: {r['problem']}" for r in wrong))
+        own = changes.join(segments, changes["segment_id"] == segments["id"])
+        open_ = F.col("choice") == "uncertain"
+        text = F.when(open_, F.lit(None).cast("string")).when(F.col("choice") == "edited", F.col("text")).otherwise(F.element_at("variants", F.col("choice")))
+        rows = own.select(F.lit(job).alias("job"), "segment_id", F.when(open_, "uncertain").otherwise("resolved").alias("status"), "choice", text.alias("text"), F.coalesce("origin", F.lit("agent")).alias("origin"), "reason", F.coalesce("question", F.lit("")).alias("question"))
+        self._publish(job, expected + 1, {"decisions": rows})
+        return expected + 1
+
     def history(self, job: str) -> list[dict]:
         """Decision batches in order."""
-        return [{"revision": r, "changes": c["changes"], "created": c["created"]} for r, c in self._commits(job) if "changes" in c]
+        return self.at(job).history()
 
     # Materials
 
     def materials(self, job: str) -> DataFrame:
         """Current materials in the order in which they were first saved."""
-        rows = self._rows("materials", job)
-        order = rows.groupBy("id").agg(F.min("revision").alias("first"))
-        return newest(rows, ["id"], ["revision"]).join(order, "id").orderBy("first", "id")
+        return self.at(job).materials()
 
     def material_history(self, job: str) -> DataFrame:
-        return self._rows("materials", job).orderBy("revision", "id")
+        return self.at(job).material_history()
+
+    def import_materials(self, job: str, rows: DataFrame, expected: int) -> int:
+        """The new revision: materials as a table of ``MATERIALS`` without job, whose ids and texts come from elsewhere."""
+        if self.revision(job) != expected:
+            raise Conflict("revision changed; read again before saving")
+        self._publish(job, expected + 1, {"materials": rows.select(F.lit(job).alias("job"), *MATERIALS.names[1:])})
+        return expected + 1
 
     def material_errors(self, given: dict, old: dict | None, duration: float | None) -> list[str]:
         original = given.get("original_text")
