@@ -101,6 +101,22 @@ def wrapped(text: str, width: int = 42) -> list[str]:
     return [" ".join(words[:best]), " ".join(words[best:])]
 
 
+def wrapped_lines(text: Column | str, width: int = 42) -> Column:
+    """``wrapped`` as an expression, over the text's white-space words: an array of at most two lines, none for a blank text."""
+    words = split_words(text)
+    joined = lambda parts: F.array_join(parts, " ")
+
+    def longer(lines: Column, word: Column) -> Column:
+        last = F.element_at(lines, -1)
+        fits = F.length(last) + 1 + F.length(word) <= width
+        return F.when(fits, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat(last, F.lit(" "), word)))).otherwise(F.concat(lines, F.array(word)))
+
+    greedy = F.aggregate(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 1, 1), longer)
+    uneven = lambda i: F.abs(F.length(joined(F.slice(words, F.lit(1), i))) - F.length(joined(F.slice(words, i + 1, F.size(words)))))
+    best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(uneven(i).alias("uneven"), i.alias("i"))))["i"]
+    return F.when(F.size(greedy) <= 2, greedy).otherwise(F.array(joined(F.slice(words, F.lit(1), best)), joined(F.slice(words, best + 1, F.size(words)))))
+
+
 def token_places(text: str) -> list[tuple[str, int, int]]:
     """(folded token, start, end) in the text."""
     return [(m[0].casefold().replace("ё", "е"), m.start(), m.end()) for m in re.finditer(r"\w+", text)]

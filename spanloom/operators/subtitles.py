@@ -5,16 +5,19 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import differences, token_diff, wrapped
-from spanloom.operators.intervals import locate
+from spanloom.functions import text as texts
+from spanloom.functions.text import differences, token_diff, wrapped, wrapped_lines
+from spanloom.operators.intervals import Running, locate, running
 from spanloom.operators.reconcile import Word
+from spanloom.plans.scratch import materialise, release
 
 #: A cue's greatest pause inside, seconds and characters: fixed values of the format.
 PAUSE, LONGEST, CHARACTERS = 0.8, 7.0, 84
+#: Characters in a block of an ordered pass by characters, where passes go by blocks.
+TEXT_BLOCK = 1_000_000
 _ENDS = tuple(".!?…")
 _CLOSERS = ('"', "»", ")")
 
@@ -43,20 +46,90 @@ def in_regions(words: Sequence[Word | dict], regions: Sequence[tuple[float, floa
     return found
 
 
-def region_words(words: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
+def region_words(words: DataFrame, regions: DataFrame, keys: Sequence[str], block: float | None = None) -> DataFrame:
     """``in_regions`` for many recordings: the words, clipped, with ``region``, the start of the region that their middle lies in.
 
-    Words: keys, start, end and any others. Regions: keys, a, b; those of a key don't overlap. One ordered pass over the union of both
-    brings each word the last region that has begun, so no pairs are made.
+    Words: keys, start, end and any others. Regions: keys, a, b; those of a key don't overlap. One ordered pass over the union of both,
+    by blocks of so many seconds if given, brings each word the last region that has begun, so no pairs are made.
     """
     names = [c for c in words.columns if c not in keys]
     points = words.select(*keys, ((F.col("start") + F.col("end")) / 2).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<a:double,b:double>").alias("_r"), F.struct(*names).alias("_w"))
     begun = regions.select(*keys, F.col("a").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).alias("_r"), F.lit(None).cast(points.schema["_w"].dataType).alias("_w"))
-    before = Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = points.unionByName(begun).withColumn("_r", F.last("_r", ignorenulls=True).over(before)).where("_kind = 1 AND _t < _r.b")
-    start, end = F.greatest("_w.start", "_r.a"), F.least("_w.end", "_r.b")
+    held = running(points.unionByName(begun), keys, ["_t", "_kind"], block, _in=Running("_r", "last")).where("_kind = 1 AND _t < _in.b")
+    start, end = F.greatest("_w.start", "_in.a"), F.least("_w.end", "_in.b")
     kept = held.where(F.rint(end * 1000) > F.rint(start * 1000))
-    return kept.select(*keys, F.col("_r.a").alias("region"), *[(start if n == "start" else end if n == "end" else F.col(f"_w.{n}")).alias(n) for n in names])
+    return kept.select(*keys, F.col("_in.a").alias("region"), *[(start if n == "start" else end if n == "end" else F.col(f"_w.{n}")).alias(n) for n in names])
+
+
+def _first_beyond(points: DataFrame, keys: Sequence[str], value: str, query: Column, name: str, block: int | None) -> DataFrame:
+    """``points`` with the least ``i`` among those whose ``value``, which never falls with i, is greater than ``query``: one ordered pass."""
+    own = [c for c in points.columns if c not in keys]
+    at = points.select(*keys, F.col(value).alias("_v"), F.lit(0).alias("_kind"), F.col("i").alias("_i"), F.col("i").alias("_at"), F.lit(None).cast(points.select(F.struct(*own)).schema[0].dataType).alias("_row")).where("_v IS NOT NULL")
+    asked = points.select(*keys, query.alias("_v"), F.lit(1).alias("_kind"), F.col("i").alias("_i"), F.lit(None).cast("long").alias("_at"), F.struct(*own).alias("_row"))
+    found = running(at.unionByName(asked), keys, ["_v", "_kind", "_i"], block, **{name: Running("_at", "last", back=True, own=False)})
+    return found.where("_kind = 1").select(*keys, "_row.*", name)
+
+
+def _micros(c: Column) -> Column:
+    return F.rint(c * 1_000_000).cast("long")
+
+
+def _jumps(words: DataFrame, keys: Sequence[str], block: float | None) -> DataFrame:
+    """Words by place ``i`` with ``opens``, whether a cue begins there whatever came before, and ``next``, where the next cue begins if one begins here.
+
+    A word opens a cue after a sentence's end, after a pause, in another region, and if it takes longer than a cue may. Where a cue that
+    begins at a word ends is otherwise a matter of its length alone, so it can be told for every word by itself: by the characters up to
+    each word, which rise, and by the latest end of any word so far, which never falls.
+    """
+    micro = None if block is None else round(block * 1_000_000)
+    longest = round(LONGEST * 1_000_000)
+    size = F.length("text") + 1
+    own = words.select("*", _micros(F.col("start")).alias("a"), _micros(F.col("end")).alias("b"), size.alias("_size"), F.lit(1).cast("long").alias("_one"))
+    own = own.withColumn("_short", F.when(F.col("b") - F.col("a") <= longest, F.col("b"))).withColumn("_last", F.struct("b", "region", texts.ends_sentence("text").alias("closes")))
+    order = ["a", "b", *(["pos"] if "pos" in words.columns else [])]
+    placed = running(own, keys, order, micro, i=Running("_one", "sum"), _chars=Running("_size", "sum"), _reach=Running("_short", "max"), _prev=Running("_last", "last", own=False))
+    prev = lambda n: F.col(f"_prev.{n}")
+    pause = F.col("a") - prev("b") > round(PAUSE * 1_000_000)
+    opens = F.col("_prev").isNull() | prev("closes") | (prev("region") != F.col("region")) | pause | (F.col("b") - F.col("a") > longest)
+    marked = placed.select(*keys, "i", "a", "b", "region", "text", "_chars", "_size", "_reach", opens.alias("opens"))
+    full = _first_beyond(marked, keys, "_chars", F.col("_chars") - F.col("_size") + CHARACTERS + 1, "_full", None if block is None else TEXT_BLOCK)
+    late = _first_beyond(full, keys, "_reach", F.col("a") + longest, "_late", micro)
+    after = running(late.withColumn("_open_at", F.when(F.col("opens"), F.col("i"))), keys, ["a", "b", "i"], micro, _open=Running("_open_at", "last", back=True, own=False))
+    # A word of more characters than fit is a cue by itself.
+    following = F.least(F.when(F.col("_full").isNotNull(), F.greatest("_full", F.col("i") + 1)), F.col("_late"))
+    jump = F.when(F.col("_open").isNull() | (following < F.col("_open")), following)
+    return after.select(*keys, "i", "a", "b", "region", "text", "opens", jump.alias("next"))
+
+
+def cue_rows(words: DataFrame, regions: DataFrame, keys: Sequence[str], block: float | None = None) -> DataFrame:
+    """keys, n (from 1), start, end and text of the cues of many recordings: ``cues`` as joins and ordered passes.
+
+    Words: keys, start, end, text, and pos where equal times need it. Times count in microseconds. Where cues begin follows from where
+    the ones before begin; such chains run from each opening word, and are followed by doubling: in each round every word's jump becomes
+    two of its jumps, and the words that a known beginning jumps to are beginnings too, so that a chain of n cues takes log n joins.
+    A recording of any length is as many tasks as it has blocks (of so many seconds, if given). Raises an error where times run backwards.
+    """
+    given = [c for c in ("start", "end", "text", "pos") if c in words.columns]
+    own = materialise(_jumps(region_words(words.select(*keys, *given), regions, keys, block), keys, block), "jumps")
+    jumps, starts = own.where("next IS NOT NULL").select(*keys, "i", "next"), own.where("opens").select(*keys, "i")
+    scratch = []
+    while not jumps.isEmpty():
+        reached = starts.join(jumps, [*keys, "i"]).select(*keys, F.col("next").alias("i"))
+        starts = materialise(starts.unionByName(reached).distinct(), "starts")
+        again = jumps.select(*keys, F.col("i").alias("next"), F.col("next").alias("_to"))
+        jumps = materialise(jumps.join(again, [*keys, "next"]).select(*keys, "i", F.col("_to").alias("next")), "jumps")
+        release(*scratch)
+        scratch = [starts, jumps]
+    micro = None if block is None else round(block * 1_000_000)
+    begun = own.join(starts.withColumn("_begins", F.lit(1).cast("long")), [*keys, "i"], "left")
+    numbered = running(begun, keys, ["a", "b", "i"], micro, n=Running("_begins", "sum"))
+    word = F.struct("i", "text")
+    grouped = numbered.groupBy(*keys, "n").agg(F.min_by("a", "i").alias("a"), F.max_by("b", "i").alias("b"), F.array_join(F.transform(F.sort_array(F.collect_list(word)), lambda w: w["text"]), " ").alias("text"))
+    seen = running(grouped, keys, ["a", "n"], micro, _after=Running("a", "last", back=True, own=False))
+    end = F.least("b", F.col("a") + round(LONGEST * 1_000_000), "_after")
+    rises = F.rint(end / 1000) > F.rint(F.col("a") / 1000)
+    checked = F.when(rises, end).otherwise(F.raise_error(F.lit("subtitle times must rise")).cast("long"))
+    return seen.select(*keys, F.col("n").cast("int").alias("n"), (F.col("a") / 1_000_000).alias("start"), (checked / 1_000_000).alias("end"), "text")
 
 
 def cues(words: Sequence[Word | dict], regions: Sequence[tuple[float, float]]) -> list[tuple[float, float, str]]:
@@ -73,7 +146,7 @@ def cues(words: Sequence[Word | dict], regions: Sequence[tuple[float, float]]) -
         groups[-1].append(w)
         closed = ends_sentence(w[3])
     found = []
-    for own, after in zip(groups, [*groups[1:], None], strict=True):
+    for own, after in zip(groups, [*groups[1:], None], strict=False):
         start = own[0][1]
         end = min(own[-1][2], start + LONGEST, *([after[0][1]] if after else []))
         if round(end * 1000) <= round(start * 1000):
@@ -87,17 +160,13 @@ def srt(given: Sequence[tuple[float, float, str]]) -> str:
     return "\n\n".join(blocks) + ("\n" if blocks else "")
 
 
-def render(words: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and ``srt`` of each recording that has words in its regions."""
-    def f(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[*keys, "srt"])
-        spans = list(b.sort_values("a")[["a", "b"]].itertuples(index=False, name=None))
-        text = srt(cues(a.sort_values(["start", "end"])[["start", "end", "text"]].to_dict("records"), spans))
-        return pd.DataFrame([[*(a[k].iloc[0] for k in keys), text]] if text else [], columns=[*keys, "srt"])
-
-    schema = ", ".join(f"{k} {words.schema[k].dataType.simpleString()}" for k in keys) + ", srt string"
-    return words.groupBy(*keys).cogroup(regions.groupBy(*keys)).applyInPandas(f, schema)
+def render(words: DataFrame, regions: DataFrame, keys: Sequence[str], block: float | None = None) -> DataFrame:
+    """keys and ``srt`` of each recording that has words in its regions: the text of its file."""
+    given = cue_rows(words, regions, keys, block)
+    times = F.concat(texts.stamp("start"), F.lit(" --> "), texts.stamp("end"))
+    one = F.concat(F.col("n").cast("string"), F.lit("\n"), times, F.lit("\n"), F.array_join(wrapped_lines("text"), "\n"))
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct("n", one.alias("block")))), lambda s: s["block"])
+    return given.groupBy(*keys).agg(F.concat(F.array_join(blocks, "\n\n"), F.lit("\n")).alias("srt"))
 
 
 def compare(chunks: Sequence[dict], channels: dict[str, dict]) -> list[dict]:
@@ -132,9 +201,7 @@ def compare_rows(words: DataFrame, chunks: DataFrame, transcripts: DataFrame) ->
     Words: rec_id, channel, pos, start, end, text. Chunks: rec_id, chunk_idx, core_start, core_end. Transcripts: rec_id, channel,
     chunk_idx, text; they say which channels there are. Times count in microseconds.
     """
-    def micros(c: Column) -> Column:
-        return F.rint(c * 1_000_000).cast("long")
-
+    micros = _micros
     spans = chunks.select("rec_id", F.col("chunk_idx").cast("long").alias("i"), micros(F.col("core_start")).alias("a"), micros(F.col("core_end")).alias("b"))
     points = words.select("rec_id", F.struct("channel", "pos", "text").alias("w"), micros((F.col("start") + F.col("end")) / 2).alias("t"))
     placed = locate(points, spans, ["rec_id"], "t", "w", "i")

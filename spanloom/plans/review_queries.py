@@ -59,8 +59,12 @@ def seam_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def srt_render(spark: SparkSession, folder: str) -> DataFrame:
-    words = _words(spark, folder).select("rec", "start", "end", F.col("word").alias("text"))
-    regions = words.groupBy("rec").agg(F.lit(0.0).alias("a"), (F.max("end") + 1).alias("b"))
+    """Subtitles of turns that pause after every 23rd word and every seventh long word, in two regions with a break between them."""
+    w = _words(spark, folder).withColumn("off", 0.9 * F.floor(F.col("i") / 23))
+    stretched = F.when((F.length("word") > 8) & (F.col("i") % 7 == 0) & ~F.col("i").between(50, 80), 8.0).otherwise(0.0)
+    words = w.select("rec", F.col("i").alias("pos"), (F.col("start") + F.col("off")).alias("start"), (F.col("end") + F.col("off") + stretched).alias("end"), F.col("word").alias("text"))
+    spans = F.array(F.struct(F.lit(0.0).alias("a"), F.lit(31.3).alias("b")), F.struct(F.lit(33.0).alias("a"), F.lit(10_000.0).alias("b")))
+    regions = words.select("rec").distinct().select("rec", F.explode(spans).alias("s")).select("rec", "s.a", "s.b")
     return T.render(words, regions, ["rec"])
 
 
@@ -93,10 +97,26 @@ def invalid_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (chunk_layout_fixed, speech_chunks, seam_merge, srt_render, subtitle_words, history_of_page, invalid_decisions)}
 
+_STAMP = "printf('%02d:%02d:%02d,%03d', ({0}) // 3600000, ({0}) // 60000 % 60, ({0}) // 1000 % 60, ({0}) % 1000)"
 _D = "d AS (SELECT user_id, max(value) AS seconds FROM events GROUP BY user_id HAVING max(value) > 0), c AS (SELECT user_id, seconds, CAST(unnest(range(0, greatest(1, CAST(ceil(seconds / 18) AS BIGINT)))) AS INTEGER) AS chunk_idx FROM d)"
 _W = r"t AS (SELECT conv_id * 1000 + turn AS rec, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant')"
 
+#: Cues word by word: the state of a recording is the present cue's number, beginning and characters, and the word before.
+_SRT = f"""WITH RECURSIVE {_W}, x AS (SELECT rec, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM t),
+y AS (SELECT rec, i, word, (i * 500000 + i // 23 * 900000)::BIGINT AS s, (i * 500000 + 400000 + i // 23 * 900000 + CASE WHEN length(word) > 8 AND i % 7 = 0 AND i NOT BETWEEN 50 AND 80 THEN 8000000 ELSE 0 END)::BIGINT AS e FROM x),
+r AS (SELECT *, CASE WHEN s + e < 62600000 THEN 0 WHEN s + e >= 66000000 THEN 1 END AS region FROM y),
+k AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY s, e, i) AS j, word, greatest(s, region * 33000000) AS s, CASE WHEN region = 0 THEN least(e, 31300000) ELSE e END AS e, region FROM r WHERE region IS NOT NULL AND CASE WHEN region = 0 THEN least(e, 31300000) ELSE e END > greatest(s, region * 33000000)),
+g(rec, j, n, s0, chars, e, region, closed) AS (SELECT rec, j, 1, s, length(word), e, region, regexp_matches(word, '[.!?…]["»)]?$') FROM k WHERE j = 1
+UNION ALL SELECT rec, j, CASE WHEN new THEN n + 1 ELSE n END, CASE WHEN new THEN s ELSE s0 END, CASE WHEN new THEN length(word) ELSE chars + 1 + length(word) END, e, region, closed
+FROM (SELECT k.rec, k.j, g.n, g.s0, g.chars, k.s, k.e, k.region, k.word, regexp_matches(k.word, '[.!?…]["»)]?$') AS closed, g.closed OR k.region <> g.region OR k.s - g.e > 800000 OR k.e - g.s0 > 7000000 OR g.chars + 1 + length(k.word) > 84 AS new FROM g JOIN k ON k.rec = g.rec AND k.j = g.j + 1)),
+c AS (SELECT rec, n, min(k.s) AS s, arg_max(k.e, j) AS e, list(word ORDER BY j) AS w FROM g JOIN k USING (rec, j) GROUP BY rec, n),
+d AS (SELECT *, least(e, s + 7000000, coalesce(lead(s) OVER (PARTITION BY rec ORDER BY n), e)) AS f, list_reduce(w, lambda a, b: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(b) <= 42 THEN a || ' ' || b ELSE a || chr(10) || b END) AS lines FROM c),
+m AS (SELECT *, CAST(round_even(s / 1000.0, 0) AS BIGINT) AS ms, CAST(round_even(f / 1000.0, 0) AS BIGINT) AS mf,
+list_min(list_transform(range(1, len(w)), lambda q: {{'u': abs(length(array_to_string(w[1:q], ' ')) - length(array_to_string(w[q + 1:], ' '))), 'q': q}})).q AS cut FROM d)
+SELECT rec, string_agg(n || chr(10) || {_STAMP.format('ms')} || ' --> ' || {_STAMP.format('mf')} || chr(10) || CASE WHEN len(string_split(lines, chr(10))) <= 2 THEN lines ELSE array_to_string(w[1:cut], ' ') || chr(10) || array_to_string(w[cut + 1:], ' ') END, chr(10) || chr(10) ORDER BY n) || chr(10) AS srt FROM m GROUP BY rec"""
+
 ORACLE_SQL = {
+    "srt_render": _SRT,
     "chunk_layout_fixed": f"WITH {_D} SELECT user_id, chunk_idx, round(greatest(0.0::DOUBLE, chunk_idx * 18.0::DOUBLE - 1), 6) AS start, round(least(seconds, least(seconds, (chunk_idx + 1) * 18.0::DOUBLE) + 1), 6) AS \"end\", round(chunk_idx * 18.0::DOUBLE, 6) AS core_start, round(least(seconds, (chunk_idx + 1) * 18.0::DOUBLE), 6) AS core_end FROM c",
     "speech_chunks": f"WITH {_D} SELECT user_id, chunk_idx FROM c WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.user_id AND event_type = 'purchase' AND e.value < least(seconds, (chunk_idx + 1) * 18.0::DOUBLE) AND e.value + 1 > chunk_idx * 18.0::DOUBLE)",
     "seam_merge": f"WITH {_W} SELECT rec AS rec_id, CAST(len(w) AS BIGINT) AS n, array_to_string(w, ' ') AS text FROM t WHERE len(w) > 0",
