@@ -12,7 +12,8 @@ from spanloom.functions import text as texts
 from spanloom.functions.text import differences, token_diff, wrapped, wrapped_lines
 from spanloom.operators.intervals import Running, locate, running
 from spanloom.operators.reconcile import Word
-from spanloom.plans.scratch import materialise, release
+from spanloom.plans.chains import reached
+from spanloom.plans.scratch import materialise
 
 #: A cue's greatest pause inside, seconds and characters: fixed values of the format.
 PAUSE, LONGEST, CHARACTERS = 0.8, 7.0, 84
@@ -112,14 +113,7 @@ def cue_rows(words: DataFrame, regions: DataFrame, keys: Sequence[str], block: f
     given = [c for c in ("start", "end", "text", "pos") if c in words.columns]
     own = materialise(_jumps(region_words(words.select(*keys, *given), regions, keys, block), keys, block), "jumps")
     jumps, starts = own.where("next IS NOT NULL").select(*keys, "i", "next"), own.where("opens").select(*keys, "i")
-    scratch = []
-    while not jumps.isEmpty():
-        reached = starts.join(jumps, [*keys, "i"]).select(*keys, F.col("next").alias("i"))
-        starts = materialise(starts.unionByName(reached).distinct(), "starts")
-        again = jumps.select(*keys, F.col("i").alias("next"), F.col("next").alias("_to"))
-        jumps = materialise(jumps.join(again, [*keys, "next"]).select(*keys, "i", F.col("_to").alias("next")), "jumps")
-        release(*scratch)
-        scratch = [starts, jumps]
+    starts = reached(starts, jumps, keys, "i", "next")
     micro = None if block is None else round(block * 1_000_000)
     begun = own.join(starts.withColumn("_begins", F.lit(1).cast("long")), [*keys, "i"], "left")
     numbered = running(begun, keys, ["a", "b", "i"], micro, n=Running("_begins", "sum"))

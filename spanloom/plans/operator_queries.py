@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import ends_sentence, identities
 from spanloom.operators import alignment as A
+from spanloom.operators import layouts
 from spanloom.operators import partitioning as P
 from spanloom.operators import reconcile as R
 from spanloom.operators import review, subtitles
@@ -19,8 +20,6 @@ from spanloom.sources.store import Store, decision_problems
 from spanloom.sources.tables import read
 
 WORDS = "array<struct<text:string,start_time:double,end_time:double>>"
-#: Seconds of a whole silence, by turns with two of noise, in the signals of the layout queries.
-TURN = 3
 
 
 def word_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,32 +107,57 @@ def compare_channels(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("rec_id", "id", F.col("chunk_idx").cast("int").alias("chunk_idx"), variant("A"), variant("B"), (F.size("conflicts") > 0).alias("differ"))
 
 
-def _signals(spark: SparkSession, folder: str) -> DataFrame:
-    """A signal a nation, of 40 to 100 seconds: one second in three is silent, by turns that depend on the nation."""
-    n = read(spark, folder, "nation").select(F.col("n_nationkey").cast("int").alias("rec_id"), (40 + F.col("n_nationkey") * 17 % 61).cast("int").alias("seconds"))
-    loud = lambda i: F.when(F.floor(i / P.RATE) % TURN == F.col("rec_id") % TURN, 0.0).otherwise(1.0).cast("float")
-    span = F.array(F.struct(F.lit(0.0).alias("a"), F.col("seconds").cast("double").alias("b")))
-    return n.select("rec_id", F.transform(F.sequence(F.lit(0), F.col("seconds") * P.RATE - 1), loud).alias("samples"), span.alias("spans"))
+def _frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as frames of five recordings, whose energies are their prices."""
+    o = read(spark, folder, "orders")
+    return o.select((F.col("o_orderkey") % 5).alias("rec"), F.expr("o_orderkey div 5").alias("frame"), F.col("o_totalprice").alias("energy"))
+
+
+def _timelines(frames: DataFrame) -> DataFrame:
+    return frames.groupBy("rec").agg((F.max("frame") + 1).alias("n"))
+
+
+def _speech(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of speech: ten frames from every third urgent order on."""
+    o = read(spark, folder, "orders").where("o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0")
+    return o.select((F.col("o_orderkey") % 5).alias("rec"), F.expr("o_orderkey div 5").alias("a"), F.expr("o_orderkey div 5 + 10").alias("b"))
 
 
 def region_layout(spark: SparkSession, folder: str) -> DataFrame:
-    found = P.layouts(_signals(spark, folder), lambda signal, spans: P.region_layout(signal, spans))
-    return found.select("rec_id", "chunk_idx", *[F.round(c, 4).alias(c) for c in ("start", "end", "core_start", "core_end")])
+    """Two regions of each recording, in cores of 1.6 seconds at most."""
+    frames = _frames(spark, folder)
+    n = F.col("n")
+    spans = F.array(F.struct(F.lit(10).cast("long").alias("a"), F.expr("n * 2 div 3").alias("b")), F.struct(F.expr("n * 2 div 3 + 3").alias("a"), n.alias("b")))
+    regions = _timelines(frames).select("rec", F.explode(spans).alias("s")).select("rec", "s.a", "s.b")
+    return layouts.region_chunks(frames, regions, ["rec"], 1.6).select("rec", "region", "chunk_idx", *[F.round(c, 4).alias(c) for c in ("start", "end", "core_start", "core_end")])
 
 
 def sliding_layout(spark: SparkSession, folder: str) -> DataFrame:
-    found = P.layouts(_signals(spark, folder), lambda signal, spans: P.sliding_layout(signal, signal.seconds, spans))
-    return found.select("rec_id", "chunk_idx", *[F.round(c, 4).alias(c) for c in ("start", "end", "core_start", "core_end")])
+    """Whole recordings in cores of 1.8 seconds at most, where there is speech."""
+    frames = _frames(spark, folder)
+    found = layouts.sliding_chunks(frames, _timelines(frames), _speech(spark, folder), ["rec"], 1.8, 0.4)
+    return found.select("rec", "chunk_idx", *[F.round(c, 4).alias(c) for c in ("start", "end", "core_start", "core_end")])
+
+
+def packed_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """Padded recordings in as few cores of 0.6 to 1.18 seconds as hold them, where there is speech."""
+    frames = _frames(spark, folder)
+    found = layouts.packed_chunks(frames, _timelines(frames), _speech(spark, folder), ["rec"], 0.6, 1.18, 0.5)
+    return found.select("rec", "chunk_idx", *[F.round(c, 4).alias(c) for c in ("start", "end", "core_start", "core_end")])
 
 
 def halved_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Each whole signal cut in two near its middle."""
+    """Chunks of three seconds, each cut in two near its middle."""
+    frames = _frames(spark, folder)
+    chunks = P.fixed_layout(_timelines(frames).withColumn("seconds", F.col("n") / 100), "seconds", 3.0).where("core_end - core_start > 2")
+    found = layouts.split_chunks(frames, chunks.select("rec", "chunk_idx", "start", "end", "core_start", "core_end"), ["rec"])
+    return found.select("rec", "chunk_idx", "part", *[F.round(c, 4).alias(c) for c in ("start", "end", "core_start", "core_end")])
 
-    def halves(signal: P.Signal, spans: list) -> list[P.Chunk]:
-        return list(P.halved(signal, P.Chunk(*spans[0], *spans[0])))
 
-    found = P.layouts(_signals(spark, folder), halves)
-    return found.select("rec_id", "chunk_idx", *[F.round(c, 4).alias(c) for c in ("start", "end", "core_start", "core_end")])
+def silenced_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames with the speech taken out."""
+    found = layouts.silenced(_frames(spark, folder), _speech(spark, folder), ["rec"], 500)
+    return found.select("rec", "frame", F.round("energy", 2).alias("energy"))
 
 
 def content_identity(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,7 +326,7 @@ def sentence_runs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        word_rows, seam_merge_jittered, alignment_valid, original_tokens, measured_words, widened_chunks, chunk_lengths, chunk_progress, region_words, compare_channels, region_layout, sliding_layout, halved_chunks,
+        word_rows, seam_merge_jittered, alignment_valid, original_tokens, measured_words, widened_chunks, chunk_lengths, chunk_progress, region_words, compare_channels, region_layout, sliding_layout, packed_layout, halved_chunks, silenced_frames,
         content_identity, export_texts, store_segments, review_page, order_log_at, material_history, decision_errors, split_after_marker, chunk_sets, array_steps, map_steps, number_types, sliding_windows, sentence_runs,
     )
 }
@@ -316,14 +340,20 @@ q AS (SELECT *, CASE WHEN open THEN '[требует уточнения]' WHEN k
 u AS (SELECT job, count(*) FILTER (WHERE open) AS unresolved FROM o GROUP BY job)"""
 
 
-def _layout(reach: int, least: str) -> str:
-    """Cuts by samples: the first whole tenth of silence from the least place on that the search reaches, by hundredths."""
-    return f"""WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS INTEGER) AS rec, 40 + n_nationkey * 17 % 61 AS seconds FROM nation),
-r(rec, seconds, k, cut) AS (SELECT rec, seconds, 0, 0::BIGINT FROM n UNION ALL
-SELECT rec, seconds, k + 1, (CASE WHEN first // 16000 % {TURN} = rec % {TURN} AND first % 16000 <= 14400 THEN first ELSE first + 160 * CAST(ceil((quiet * 16000 - first) / 160.0) AS BIGINT) END) + 800
-FROM (SELECT *, list_min(list_filter(range(first // 16000, first // 16000 + {TURN + 2}), lambda z: z % {TURN} = rec % {TURN} AND z * 16000 >= first)) AS quiet FROM (SELECT *, {least} AS first FROM r WHERE seconds * 16000 - cut > {reach} * 16000))),
-e AS (SELECT *, coalesce(lead(cut) OVER (PARTITION BY rec ORDER BY k), seconds * 16000) AS next FROM r)
-SELECT rec AS rec_id, CAST(k AS INTEGER) AS chunk_idx, round(greatest(0, cut - 16000) / 16000.0::DOUBLE, 4) AS start, round(least(seconds * 16000, next + 16000) / 16000.0::DOUBLE, 4) AS "end", round(cut / 16000.0::DOUBLE, 4) AS core_start, round(next / 16000.0::DOUBLE, 4) AS core_end FROM e"""
+_FRAMES = """f AS (SELECT o_orderkey % 5 AS rec, o_orderkey // 5 AS f, CAST(round(o_totalprice, 9) AS DECIMAL(28, 9)) AS e FROM orders), n AS (SELECT rec, max(f) + 1 AS n FROM f GROUP BY rec),
+p AS (SELECT o_orderkey % 5 AS rec, o_orderkey // 5 AS a, o_orderkey // 5 + 10 AS b FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0)"""
+_WINDOWS = "w AS (SELECT rec, f, sum(e) OVER v AS e FROM f WINDOW v AS (PARTITION BY rec ORDER BY f ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) QUALIFY count(*) OVER v = 10)"
+
+
+def _cut_regions(low: int, high: int) -> str:
+    """Cut after cut: the least window of those that begin ``low`` to ``high`` - 10 frames on, while more than ``high`` are left."""
+    return f"""r(rec, a, b, pos) AS (SELECT rec, a, b, a FROM g WHERE b > a UNION ALL
+SELECT r.rec, r.a, r.b, min({{'e': w.e, 'f': w.f}}).f + 5 FROM r JOIN w ON w.rec = r.rec AND w.f BETWEEN r.pos + {low} AND r.pos + {high - 10} WHERE r.b - r.pos > {high} GROUP BY r.rec, r.a, r.b, r.pos),
+c AS (SELECT rec, a, b, pos, coalesce(lead(pos) OVER (PARTITION BY rec, a ORDER BY pos), b) AS next, CAST(row_number() OVER (PARTITION BY rec, a ORDER BY pos) - 1 AS INTEGER) AS i FROM r)"""
+
+
+def _bounds(low: str, high: str) -> str:
+    return f"""round(greatest(({low}) / 100.0::DOUBLE, pos / 100.0::DOUBLE - 1), 4) AS start, round(least(({high}) / 100.0::DOUBLE, next / 100.0::DOUBLE + 1), 4) AS "end", round(pos / 100.0::DOUBLE, 4) AS core_start, round(next / 100.0::DOUBLE, 4) AS core_end"""
 
 
 _STORE = """g AS (SELECT n_nationkey AS k, 'S' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS id, n_name AS name FROM nation), f AS (SELECT *, CASE WHEN k = 2 THEN 'edited' WHEN k IN (1, 4) THEN 'B' WHEN k = 5 THEN 'uncertain' WHEN k % 3 = 0 THEN 'agreement' END AS choice FROM g)"""
@@ -349,12 +379,24 @@ SELECT user_id, chunk_idx, low < a OR high > b AS wider, round(low, 4) AS start,
 SELECT rec, CAST(i AS INTEGER) AS i, word, round(region, 3) AS region, round(greatest(s, region), 4) AS start, round(least(e, region + 7.3::DOUBLE), 4) AS "end" FROM z WHERE round_even(least(e, region + 7.3::DOUBLE) * 1000, 0) > round_even(greatest(s, region) * 1000, 0)""",
     "compare_channels": f"""WITH {_W}, {_CUTS}, h AS (SELECT rec, least(CAST(floor((s + e) / 2 / 20) AS BIGINT), (SELECT max(k) FROM c WHERE c.rec = y.rec)) AS k, i, word, CASE WHEN i % 5 = 2 THEN 'other' ELSE word END AS changed FROM y), j AS (SELECT rec, k, string_agg(word, ' ' ORDER BY i) AS a, string_agg(changed, ' ' ORDER BY i) AS b FROM h GROUP BY ALL)
 SELECT rec AS rec_id, 'S' || lpad(CAST(k + 1 AS VARCHAR), 6, '0') AS id, CAST(k AS INTEGER) AS chunk_idx, coalesce(j.a, '') AS a, coalesce(j.b, '') AS b, coalesce(j.a, '') <> coalesce(j.b, '') AS differ FROM c LEFT JOIN j USING (rec, k)""",
-    "region_layout": _layout(28, "cut + 20 * 16000"),
-    "sliding_layout": _layout(18, "cut + 14 * 16000"),
-    "halved_chunks": f"""WITH n AS (SELECT CAST(n_nationkey AS INTEGER) AS rec, 40 + n_nationkey * 17 % 61 AS seconds FROM nation), f AS (SELECT *, seconds * 8000 - 8000 AS first FROM n), w AS (SELECT rec, seconds, unnest(range(first, first + 16000 - 1600 + 1, 160)) AS p FROM f),
-l AS (SELECT rec, seconds, p, (CASE WHEN p // 16000 % {TURN} = rec % {TURN} THEN 0 ELSE least(1600, 16000 - p % 16000) END) + (CASE WHEN (p // 16000 + 1) % {TURN} = rec % {TURN} THEN 0 ELSE greatest(0, 1600 - (16000 - p % 16000)) END) AS energy FROM w),
-m AS (SELECT rec, seconds, (arg_min(p, energy * 100000000 + p) + 800) / 16000.0::DOUBLE AS cut FROM l GROUP BY ALL)
-SELECT rec AS rec_id, 0::INTEGER AS chunk_idx, 0.0::DOUBLE AS start, round(least(seconds, cut + 1), 4) AS "end", 0.0::DOUBLE AS core_start, round(cut, 4) AS core_end FROM m UNION ALL SELECT rec, 1::INTEGER, round(greatest(0, cut - 1), 4), seconds::DOUBLE, round(cut, 4), seconds::DOUBLE FROM m""",
+    "region_layout": f"""WITH RECURSIVE {_FRAMES}, {_WINDOWS}, g AS (SELECT rec, 10::BIGINT AS a, n * 2 // 3 AS b FROM n UNION ALL SELECT rec, n * 2 // 3 + 3, n FROM n), {_cut_regions(80, 160)}
+SELECT rec, a AS region, i AS chunk_idx, {_bounds("a", "b")} FROM c WHERE next > pos""",
+    "sliding_layout": f"""WITH RECURSIVE {_FRAMES}, {_WINDOWS}, g AS (SELECT rec, 0::BIGINT AS a, n AS b FROM n), {_cut_regions(140, 180)}
+SELECT rec, i AS chunk_idx, {_bounds("a", "b")} FROM c WHERE EXISTS (SELECT 1 FROM p WHERE p.rec = c.rec AND p.a < c.next AND p.b > c.pos)""",
+    "packed_layout": f"""WITH RECURSIVE {_FRAMES}, s AS (SELECT rec, n, greatest(1, CAST(ceil(n / 118.0) AS BIGINT)) AS cores, greatest(n, greatest(1, CAST(ceil(n / 118.0) AS BIGINT)) * 60) AS size FROM n),
+u AS (SELECT rec, f, e FROM f UNION ALL SELECT rec, unnest(range(n, size)), 0 FROM s), w AS (SELECT rec, f, sum(e) OVER v AS e FROM u WINDOW v AS (PARTITION BY rec ORDER BY f ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) QUALIFY count(*) OVER v = 10),
+r(rec, cores, size, k, pos) AS (SELECT rec, cores, size, 0::BIGINT, 0::BIGINT FROM s UNION ALL
+SELECT q.rec, q.cores, q.size, q.k + 1, CASE WHEN high - low > 1600 THEN min({{'e': w.e, 'f': w.f}}).f * 160 + 800 ELSE CAST(round_even((low + high) / 2.0, 0) AS BIGINT) END
+FROM (SELECT *, greatest(pos + 9600, (size - (cores - k - 1) * 118) * 160, high - 8000) AS low FROM (SELECT *, least(pos + 18880, (size - (cores - k - 1) * 60) * 160) AS high FROM r WHERE k + 1 < cores)) q
+LEFT JOIN w ON w.rec = q.rec AND high - low > 1600 AND w.f BETWEEN low // 160 AND high // 160 - 10 GROUP BY q.rec, q.cores, q.size, q.k, q.pos, low, high),
+c AS (SELECT rec, size, k, pos / 160.0::DOUBLE AS pos, coalesce(lead(pos) OVER (PARTITION BY rec ORDER BY k) / 160.0::DOUBLE, size) AS next FROM r)
+SELECT rec, CAST(k AS INTEGER) AS chunk_idx, {_bounds("0", "size")} FROM c WHERE EXISTS (SELECT 1 FROM p WHERE p.rec = c.rec AND p.a < c.next AND p.b > c.pos)""",
+    "halved_chunks": f"""WITH {_FRAMES}, {_WINDOWS}, k AS (SELECT rec, n, CAST(unnest(range(0, CAST(ceil(n / 300.0) AS BIGINT))) AS INTEGER) AS i FROM n), c AS (SELECT rec, n, i, i * 300 AS pos, least(n, i * 300 + 300) AS next FROM k WHERE least(n, i * 300 + 300) - i * 300 > 200),
+m AS (SELECT c.rec, c.n, c.i, c.pos, c.next, min({{'e': w.e, 'f': w.f}}).f + 5 AS cut FROM c JOIN w ON w.rec = c.rec AND w.f BETWEEN CAST(round_even((c.pos + c.next) / 2.0 - least(50, (c.next - c.pos) / 2.0 - 100), 0) AS BIGINT) AND CAST(round_even((c.pos + c.next) / 2.0 + least(50, (c.next - c.pos) / 2.0 - 100), 0) AS BIGINT) - 10 GROUP BY ALL
+UNION ALL SELECT rec, n, i, pos, next, (CAST(round_even((pos + next) / 2.0 - reach, 0) AS BIGINT) + CAST(round_even((pos + next) / 2.0 + reach, 0) AS BIGINT)) / 2.0 FROM (SELECT *, least(50, (next - pos) / 2.0 - 100) AS reach FROM c) WHERE CAST(round_even((pos + next) / 2.0 + reach, 0) AS BIGINT) - CAST(round_even((pos + next) / 2.0 - reach, 0) AS BIGINT) <= 10)
+SELECT rec, i AS chunk_idx, 0::INTEGER AS part, round(greatest(0, pos - 100) / 100.0::DOUBLE, 4) AS start, round(least(least(n, next + 100), cut + 100) / 100.0::DOUBLE, 4) AS "end", round(pos / 100.0::DOUBLE, 4) AS core_start, round(cut / 100.0::DOUBLE, 4) AS core_end FROM m
+UNION ALL SELECT rec, i, 1::INTEGER, round(greatest(greatest(0, pos - 100), cut - 100) / 100.0::DOUBLE, 4), round(least(n, next + 100) / 100.0::DOUBLE, 4), round(cut / 100.0::DOUBLE, 4), round(next / 100.0::DOUBLE, 4) FROM m""",
+    "silenced_frames": f"WITH {_FRAMES} SELECT rec, f AS frame, round(CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.rec = f.rec AND p.a <= f.f AND f.f < p.b) THEN 0 ELSE CAST(e AS DOUBLE) END, 2) AS energy FROM f",
     "content_identity": """SELECT o_orderkey, left(sha256('{"key": ' || o_orderkey || ', "né": ' || (CASE WHEN o_orderkey % 2 = 0 THEN '"a\\"b"' ELSE 'null' END) || ', "priority": "' || o_orderpriority || '", "status": "' || o_orderstatus || '"}'), 32) AS id FROM orders""",
     "export_texts": f"""WITH {_O}, v AS (SELECT job, string_agg('## ' || low || ' - ' || high || chr(10) || chr(10) || text || chr(10) || CASE WHEN open THEN chr(10) || 'Вариант A: ' || p || chr(10) || 'Вариант B: ' || lower(p) || chr(10) || 'Вопрос: ' || CASE WHEN k % 2 = 0 THEN 'which?' ELSE 'Какой вариант соответствует записи?' END || chr(10) ELSE '' END, chr(10) ORDER BY i) AS body,
 string_agg(text, chr(10) || chr(10) ORDER BY i) || chr(10) AS plain, string_agg(i || chr(10) || low || ' --> ' || high || chr(10) || text || chr(10), chr(10) ORDER BY i) AS srt FROM s GROUP BY job)
