@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import ends_sentence, identities
@@ -39,6 +39,38 @@ def seam_merge_jittered(spark: SparkSession, folder: str) -> DataFrame:
     return merged.groupBy("rec_id").agg(F.count("*").alias("n"), F.array_join(parts, " ").alias("text"))
 
 
+def seam_repairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Three words of a turn at a seam, in six ways, by turns, that each call for another repair: what is read, and its audit."""
+    t = read(spark, folder, "conversations").where("role = 'assistant'").withColumn("w", F.expr("regexp_extract_all(lower(text), '([a-z]+)', 1)"))
+    three = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("rec"), "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w").cast("int"), F.lit(3)) - 3, F.lit(3))).alias("k"))
+    three = three.select((F.col("rec") * 10_000 + F.col("k")).alias("rec_id"), *[F.get("w", F.col("k") + i).alias(n) for i, n in enumerate("abc")])
+    three = three.where("length(a) >= 3 AND length(b) >= 5 AND length(c) >= 4 AND a <> b AND b <> c AND a <> c AND right(a, 1) <> left(b, 1)")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+
+    def word(text: Column, start: float, end: float, chunk: float = 0.0) -> Column:
+        return F.struct(text.alias("text"), F.lit(start - chunk).alias("start_time"), F.lit(end - chunk).alias("end_time"))
+
+    def side(chunk: float, *words: tuple) -> Column:
+        return F.array(*[word(t, low, high, chunk) for t, low, high in words])
+
+    stem = F.left(c, F.lit(3))
+    cases = (
+        (side(0, (a, 9.2, 9.5), (b, 9.5, 9.9)), side(9, (a, 9.2, 9.5), (b, 9.5, 9.9))),
+        (side(0, (a, 9.2, 9.5), (b, 9.5, 9.9)), side(9, (a, 11.2, 11.5), (b, 11.5, 11.9))),
+        (side(0, (a, 9.4, 9.8), (b, 10.05, 10.35), (c, 10.4, 10.6)), side(9, (F.concat(F.lit("x"), b), 9.2, 10.4), (c, 10.4, 10.62))),
+        (side(0, (a, 9.6, 9.95), (b, 10.05, 10.4), (stem, 10.45, 10.6)), side(9, (F.concat(F.lit("e"), b), 9.3, 10.5), (c, 10.45, 10.9))),
+        (side(0, (a, 9.0, 9.4), (stem, 10.85, 10.98)), side(9, (F.concat(F.right(a, F.lit(2)), b), 9.1, 10.7), (c, 10.85, 11.3))),
+        (side(0, (a, 9.0, 9.4), (F.concat_ws(" ", c, b, c), 10.05, 10.6)), side(9, (c, 10.3, 10.55), (a, 10.75, 10.95))),
+    )
+    kind = F.expr("rec_id div 3 % 6")
+    both = F.array(*[F.array(*x) for x in cases])
+    bounds = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("start", "end", "core_start", "core_end"), x, strict=True)]) for x in ((0.0, 11.0, 0.0, 10.0), (9.0, 20.0, 10.0, 20.0))])
+    chunks = three.select("rec_id", F.posexplode(F.get(both, kind)).alias("chunk_idx", "words")).select("rec_id", "chunk_idx", F.get(bounds, "chunk_idx").alias("chunk"), F.col("words").cast(WORDS).alias("words"))
+    words, audit = R.reconciled(chunks)
+    read_out = words.groupBy("rec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return read_out.join(audit, "rec_id", "left").select("rec_id", "text", "reason", "phrase", "kept_chunk", F.size("removed").alias("removed"), F.array_join(F.array_sort(F.map_values("evidence")), ",").alias("evidence"))
+
+
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     """Assistant turns as aligned words: every third has no length, and the audio of some ends early."""
     w = _words(spark, folder)
@@ -326,7 +358,7 @@ def sentence_runs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        word_rows, seam_merge_jittered, alignment_valid, original_tokens, measured_words, widened_chunks, chunk_lengths, chunk_progress, region_words, compare_channels, region_layout, sliding_layout, packed_layout, halved_chunks, silenced_frames,
+        word_rows, seam_merge_jittered, seam_repairs, alignment_valid, original_tokens, measured_words, widened_chunks, chunk_lengths, chunk_progress, region_words, compare_channels, region_layout, sliding_layout, packed_layout, halved_chunks, silenced_frames,
         content_identity, export_texts, store_segments, review_page, order_log_at, material_history, decision_errors, split_after_marker, chunk_sets, array_steps, map_steps, number_types, sliding_windows, sentence_runs,
     )
 }
@@ -365,6 +397,13 @@ ORACLE_SQL = {
     "word_rows": f"""WITH {_W}, {_CUTS}, h AS (SELECT *, row_number() OVER (PARTITION BY rec, k ORDER BY i) - 1 AS pos FROM y JOIN g USING (rec) WHERE s >= a AND e <= b)
 SELECT rec AS rec_id, CAST(k AS INTEGER) AS chunk_idx, pos, round(a + (s - a), 4) AS start, round(a + (e - a), 4) AS "end", word AS text, round(least((a + (s - a) + a + (e - a)) / 2 - a, b - (a + (s - a) + a + (e - a)) / 2), 4) AS margin, ((a + (s - a) + a + (e - a)) / 2 >= cs AND (a + (s - a) + a + (e - a)) / 2 < ce) AS owner FROM h""",
     "seam_merge_jittered": f"WITH {_W} SELECT rec AS rec_id, CAST(len(w) AS BIGINT) AS n, array_to_string(w, ' ') AS text FROM t WHERE len(w) > 0",
+    "seam_repairs": r"""WITH t AS (SELECT conv_id * 1000 + turn AS rec, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations WHERE role = 'assistant'), x AS (SELECT rec, w, unnest(range(0, greatest(len(w), 3) - 2, 3)) AS k FROM t),
+y AS (SELECT rec * 10000 + k AS rec_id, w[k + 1] AS a, w[k + 2] AS b, w[k + 3] AS c FROM x), z AS (SELECT *, rec_id // 3 % 6 AS kind, right(a, 2) || b AS glued FROM y WHERE length(a) >= 3 AND length(b) >= 5 AND length(c) >= 4 AND a <> b AND b <> c AND a <> c AND right(a, 1) <> left(b, 1)),
+v AS (SELECT *, CASE WHEN length(glued) >= 8 AND right(a, 3) = left(glued, 3) THEN 3 ELSE 2 END AS cut FROM z)
+SELECT rec_id, CASE WHEN kind < 2 THEN a || ' ' || b WHEN kind < 4 THEN a || ' ' || b || ' ' || c WHEN kind = 4 THEN a || ' ' || substr(glued, cut + 1) || ' ' || c ELSE a || ' ' || c || ' ' || b || ' ' || c || ' ' || a END AS text,
+['coincident_phrase', 'shifted_phrase', 'recovered_unowned_word', 'recovered_prefixed_copy', 'recovered_clipped_prefix', 'recovered_compound_prefix'][kind + 1] AS reason,
+CASE WHEN kind < 2 THEN a || ' ' || b WHEN kind < 4 THEN b WHEN kind = 4 THEN substr(glued, cut + 1) ELSE c || ' ' || b || ' ' || c END AS phrase, CASE WHEN kind = 4 THEN 1 ELSE 0 END::INTEGER AS kept_chunk, [2, 2, 0, 0, 0, 1][kind + 1]::INTEGER AS removed,
+array_to_string(list_sort(CASE kind WHEN 2 THEN ['x' || b, c] WHEN 3 THEN ['e' || b, a, c] WHEN 4 THEN [glued, a, c, left(glued, cut)] WHEN 5 THEN [c || ' ' || b || ' ' || c, c] ELSE [] END), ',') AS evidence FROM v""",
     "alignment_valid": f"""WITH {_W}, z AS (SELECT rec, s, CASE WHEN i % 3 = 1 THEN s ELSE e END AS e, n * 0.5::DOUBLE - rec % 3 AS l FROM y)
 SELECT rec, bool_and(s >= -0.1 AND s <= e AND e <= l + 0.2::DOUBLE AND s < l AND e >= 0) AND bool_or(least(l, e) > greatest(0, s)) AS valid, round(sum(least(l, e)), 4) AS ends FROM z GROUP BY rec""",
     "original_tokens": f"WITH {_W} SELECT rec, CASE WHEN rec % 2 = 1 THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(w, lambda x: x || '~'), ' ') END AS text FROM t WHERE len(w) > 0",
