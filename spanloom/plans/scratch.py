@@ -48,20 +48,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet under the shared folder and returns the table read back.
 
     A lost executor then costs the tasks it ran, not the stages before; shuffle files of the
-    write are dropped, so what stays on disk is the compact table.
+    write are dropped, so what stays on disk is the compact table; that goes when the driver ends, or before, by ``release``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
     with dropping_shuffles(spark):
         df.write.parquet(path)
+    target, fs = _at(spark, path)
+    fs.deleteOnExit(target)  # at the latest; ``release`` does so where nothing reads the table again
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of ``materialise`` that later tables have been written from, so that disk follows the live ones."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, fs = _at(table.sparkSession, table.scratch_path)
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
