@@ -9,7 +9,8 @@ before it, so every byte of a long text is judged.
 
 The bands are fitted on good documents: of the rows with label 1 (without the held-out fold) one in ``OUTSIDE`` lies below a
 class's band and one above, and ``MARGIN`` is added on both sides. The counts are summed over all such rows by class and
-ratio. A class with fewer than ``LEAST_ROWS`` of them, and every class without labels, has the wide band of ``WIDE``.
+ratio. A class with fewer than ``LEAST_ROWS`` of them takes in the classes next to it, one on either side at a time, until there are as
+many or no more; so every class is fitted, the same way at every size. Without any such row all have the wide bands of ``WIDE``.
 
 Defined results: null text counts as empty; a text without words fails the base rules and so isn't kept; texts of fewer
 than ``LEAST_BYTES`` bytes are judged by the base rules alone; repeated rows are judged alike, each on its own, and count
@@ -35,7 +36,7 @@ CHUNK = 4096
 CHUNK_SHARE = 0.5
 #: Bytes from which ratios are judged, and length classes to a doubling of the bytes.
 LEAST_BYTES, CLASSES = 200, 2
-#: The fit: one in so many good rows lies beyond either limit, what is added to both, rows that a class needs, bins of a ratio of one.
+#: The fit: one in so many good rows lies beyond either limit, what is added to both, rows that a class or its neighbourhood needs, bins of a ratio of one.
 OUTSIDE, MARGIN, LEAST_ROWS, BINS = 1000, 0.01, 100, 400
 FOLDS, HELD_OUT = 5, 0
 #: Where nothing is learned: bytes from which a band holds, least ratio, greatest ratio.
@@ -128,13 +129,26 @@ def fit_bands(measures: DataFrame, labels: DataFrame, label: str = "quality") ->
     for r in rows.groupBy("class", "bin").agg(F.count("*").alias("n")).collect():  # as many rows as classes and bins
         counts.setdefault(r["class"], {})[r["bin"]] = r["n"]
     bands = wide_bands()
-    for k, own in counts.items():
-        n = sum(own.values())
-        if n >= LEAST_ROWS:
+    if counts:
+        for k in bands:
+            own, n = _pooled(counts, k)
             bands[k] = _edge(sorted(own.items()), n) / BINS - MARGIN, (_edge(sorted(own.items(), reverse=True), n) + 1) / BINS + MARGIN
     return bands
 
 
+def _pooled(counts: dict[int, dict[int, int]], k: int) -> tuple[dict[int, int], int]:
+    """Rows by bin, and their number, of the fewest classes around ``k`` that have LEAST_ROWS, or of all."""
+    farthest = max(abs(j - k) for j in counts)
+    own: dict[int, int] = {}
+    for reach in range(farthest + 1):
+        for j in {k - reach, k + reach}:
+            for b, n in counts.get(j, {}).items():
+                own[b] = own.get(b, 0) + n
+        if sum(own.values()) >= LEAST_ROWS:
+            break
+    return own, sum(own.values())
+
+
 def _edge(bins: list[tuple[int, int]], n: int) -> int:
     """The first bin before which at most one in OUTSIDE of the rows lies."""
     before = 0
