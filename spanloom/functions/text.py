@@ -6,8 +6,9 @@ import hashlib
 import json
 import re
 import textwrap
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,11 +73,53 @@ def identities(values: dict[str, Column]) -> Column:
     return F.substring(F.sha2(canonical_json(values), 256), 1, 32)
 
 
+def _shared_runs(a: list[str], b: list[str]) -> np.ndarray:
+    """Maximal stretches of equal words as rows (start in a, start in b, words), each once: pairs of equal words, by diagonals."""
+    number: dict[str, int] = {}
+    x = np.array([number.setdefault(w, len(number)) for w in a], dtype=np.int64)
+    y = np.array([number.setdefault(w, len(number)) for w in b], dtype=np.int64)
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x), np.searchsorted(y[order], x, side="right")
+    i = np.repeat(np.arange(len(x)), high - low)
+    j = order[np.repeat(low, high - low) + np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+    along = np.lexsort((i, j - i))
+    i, j = i[along], j[along]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) != 1)])) if len(i) else np.empty(0, dtype=np.int64)
+    return np.column_stack([i[first], j[first], np.diff(np.append(first, len(i)))]) if len(i) else np.empty((0, 3), dtype=np.int64)
+
+
+def common_blocks(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, words) of the blocks that two word lists share: the longest one, and so on before and after it.
+
+    Of equally long blocks the first in a counts, then the first in b. The stretches are found once; a rectangle of the two lists cuts
+    them to what lies in it, and its longest piece divides it in two.
+    """
+    runs, found, open_ = _shared_runs(a, b), [], [(0, len(a), 0, len(b))]
+    while open_:
+        low, high, left, right = open_.pop()
+        skip = np.maximum(np.maximum(low - runs[:, 0], left - runs[:, 1]), 0)
+        size = np.minimum(np.minimum(high - runs[:, 0], right - runs[:, 1]), runs[:, 2]) - skip
+        if not len(size) or size.max() <= 0:
+            continue
+        best = np.flatnonzero(size == size.max())
+        i, j = min(zip((runs[best, 0] + skip[best]).tolist(), (runs[best, 1] + skip[best]).tolist(), strict=True))
+        n = int(size.max())
+        found.append((i, j, n))
+        open_ += [(low, i, left, j), (i + n, high, j + n, right)]
+    return sorted(found)
+
+
 def differences(a: str, b: str) -> list[dict[str, str]]:
-    """What turns the words of a into those of b: replaced, deleted and inserted runs."""
-    left, right = (a or "").split(), (b or "").split()
-    steps = SequenceMatcher(None, left, right, autojunk=False).get_opcodes()
-    return [{"a": " ".join(left[i:j]), "b": " ".join(right[m:n]), "operation": kind} for kind, i, j, m, n in steps if kind != "equal"]
+    """What turns the words of a into those of b: replaced, deleted and inserted runs between the blocks that both share."""
+    mine, other = (a or "").split(), (b or "").split()
+    at, found = (0, 0), []
+    for i, j, n in [*common_blocks(mine, other), (len(mine), len(other), 0)]:
+        gone, come = mine[at[0] : i], other[at[1] : j]
+        if gone or come:
+            kind = "replace" if gone and come else "delete" if gone else "insert"
+            found.append({"a": " ".join(gone), "b": " ".join(come), "operation": kind})
+        at = i + n, j + n
+    return found
 
 
 @F.pandas_udf(CONFLICT)
@@ -129,3 +172,11 @@ TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.Str
 def tokens_with_places(text: pd.Series) -> pd.Series:
     """Fully case-folded tokens with their places; null gives none."""
     return text.map(lambda x: [{"token": t, "start": a, "end": b} for t, a, b in token_places(x or "")])
+
+
+@F.udtf(returnType="token string, start int, end int", useArrow=True)
+class TokenPlaces:
+    """A row for each fully case-folded token of a text, with its place: a table function for lateral joins. Null gives none."""
+
+    def eval(self, text: str) -> Iterator[tuple[str, int, int]]:
+        yield from token_places(text or "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import sketches
 from spanloom.sources.tables import read
 
 
@@ -82,9 +83,27 @@ def quantifiers(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.bool_or(F.col("l_quantity") >= 50).alias("any_full"), F.bool_and(F.col("l_discount") <= 0.1).alias("all_low"), F.count_if(F.col("l_tax") > 0.04).alias("n_taxed"))
 
 
-QUERIES = {f.__name__: f for f in (star_join_topk, pricing_summary, cube_rollup, rollup_levels, grouping_sets, set_ops, bag_union, window_rank, semi_anti, packing_size, distinct_values, agreement, quantifiers)}
+def distinct_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct orders of each return flag, exactly, and whether the united sketches of its shipping years are as near as they say."""
+    rows = read(spark, folder, "lineitem").withColumn("year", F.year("l_shipdate"))
+    found = sketches.distinct_counts(sketches.distinct_sketches(rows, ["l_returnflag", "year"], "l_orderkey"), ["l_returnflag"])
+    exact = rows.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("n"))
+    return exact.join(found, "l_returnflag", "left").select("l_returnflag", "n", (F.abs(F.col("estimate") - F.col("n")) <= sketches.DISTINCT_ERROR * F.col("n")).alias("within"))
+
+
+def quantiles_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of prices by priority from the united sketches of order years: how many orders there are, and whether as many lie below as should."""
+    rows = read(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    found = sketches.quantiles(sketches.quantile_sketches(rows, ["o_orderpriority", "year"], "o_totalprice"), ["o_orderpriority"], (0.1, 0.5, 0.9))
+    below = rows.select("o_orderpriority", "o_totalprice").join(found, "o_orderpriority").groupBy("o_orderpriority", "rank", "n").agg((F.count_if(F.col("o_totalprice") <= F.col("value")) / F.count("*")).alias("share"))
+    return below.select("o_orderpriority", "rank", "n", (F.abs(F.col("share") - F.col("rank")) <= sketches.RANK_ERROR).alias("within"))
+
+
+QUERIES = {f.__name__: f for f in (star_join_topk, pricing_summary, cube_rollup, rollup_levels, grouping_sets, set_ops, bag_union, window_rank, semi_anti, packing_size, distinct_values, agreement, quantifiers, distinct_within, quantiles_within)}
 
 ORACLE_SQL = {
+    "distinct_within": "SELECT l_returnflag, count(DISTINCT l_orderkey) AS n, true AS within FROM lineitem GROUP BY l_returnflag",
+    "quantiles_within": "SELECT o_orderpriority, r AS rank, count(*) AS n, true AS within FROM orders, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) AS q(r) GROUP BY o_orderpriority, r",
     "star_join_topk": """SELECT n_name, c_mktsegment, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28,4))) AS DOUBLE) AS revenue, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment ORDER BY revenue DESC, n_name, c_mktsegment LIMIT 20""",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus",

@@ -94,13 +94,30 @@ def token_diff(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("a.conv_id", "a.turn", F.explode(X.token_diff("a.text", "b.text")).alias("d")).select("conv_id", "turn", "d.a", "d.b", "d.operation")
 
 
-QUERIES = {f.__name__: f for f in (tokens_count, norm_hash, content_id, exact_dedup_norm, phrase_count, bigram_phrase_count, ordered_concat, stamp_format, sentence_ends, split_words, affix_tests, id_formats, hex_id_guard, json_predicate, nonempty_text, token_diff)}
+def token_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Every token of every document with its place: the library's table function in a lateral join."""
+    return read(spark, folder, "documents").select("doc_id", "text").lateralJoin(X.TokenPlaces(F.col("text").outer())).select("doc_id", "token", "start", F.col("end").alias("stop"))
+
+
+QUERIES = {f.__name__: f for f in (tokens_count, norm_hash, content_id, exact_dedup_norm, phrase_count, bigram_phrase_count, ordered_concat, stamp_format, sentence_ends, split_words, affix_tests, id_formats, hex_id_guard, json_predicate, nonempty_text, token_diff, token_places)}
 
 _TOKENS = r"regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ё', 'е'), '[\p{L}\p{N}_]+')"
 _NORM = r"regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]', '', 'g')"
 _STAMP = "lpad(CAST({ms} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({ms} // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(({ms} % 3600000) // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({ms} % 60000) // 1000 AS VARCHAR), 2, '0') || ',' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
 
 ORACLE_SQL = {
+    "token_places": r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t, regexp_split_to_array(text, '[\p{L}\p{N}_]+') AS s FROM documents), x AS (SELECT doc_id, unnest(t) AS token, unnest(s[1:len(t)]) AS gap, unnest(range(len(t))) AS k FROM d),
+y AS (SELECT *, sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM x)
+SELECT doc_id, replace(replace(lower(token), 'ß', 'ss'), 'ё', 'е') AS token, CAST(stop - length(token) AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM y""",
+    "token_diff": r"""WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations), p AS (SELECT row_number() OVER () AS r, a.conv_id, a.turn, a.w AS a, b.w AS b FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+x AS (SELECT r, unnest(a) AS t, unnest(range(len(a))) AS i FROM p), y AS (SELECT r, unnest(b) AS t, unnest(range(len(b))) AS j FROM p), m AS (SELECT r, i, j, i - row_number() OVER (PARTITION BY r, j - i ORDER BY i) AS g FROM x JOIN y USING (r, t)),
+s AS (SELECT r, min(i) AS i, min(j) AS j, count(*) AS n FROM m GROUP BY r, j - i, g),
+q(r, al, ah, bl, bh, hit) AS (SELECT p.r, 0::BIGINT, any_value(len(a))::BIGINT, 0::BIGINT, any_value(len(b))::BIGINT, min({'n': -n, 'i': i, 'j': j}) FROM p JOIN s USING (r) GROUP BY p.r
+UNION ALL SELECT c.r, c.al, c.ah, c.bl, c.bh, min({'n': -(least(s.n, c.ah - s.i, c.bh - s.j) - greatest(c.al - s.i, c.bl - s.j, 0)), 'i': s.i + greatest(c.al - s.i, c.bl - s.j, 0), 'j': s.j + greatest(c.al - s.i, c.bl - s.j, 0)})
+FROM (SELECT r, u.al, u.ah, u.bl, u.bh FROM (SELECT r, unnest([{'al': al, 'ah': hit.i, 'bl': bl, 'bh': hit.j}, {'al': hit.i - hit.n, 'ah': ah, 'bl': hit.j - hit.n, 'bh': bh}]) AS u FROM q)) c
+JOIN s ON s.r = c.r AND least(s.n, c.ah - s.i, c.bh - s.j) > greatest(c.al - s.i, c.bl - s.j, 0) GROUP BY c.r, c.al, c.ah, c.bl, c.bh),
+k AS (SELECT r, hit.i AS i, hit.j AS j, -hit.n AS n FROM q UNION ALL SELECT r, len(a), len(b), 0 FROM p), o AS (SELECT r, i, j, coalesce(lag(i + n) OVER v, 0) AS i0, coalesce(lag(j + n) OVER v, 0) AS j0 FROM k WINDOW v AS (PARTITION BY r ORDER BY i, j, n DESC))
+SELECT conv_id, turn, array_to_string(p.a[i0 + 1:i], ' ') AS a, array_to_string(p.b[j0 + 1:j], ' ') AS b, CASE WHEN i > i0 AND j > j0 THEN 'replace' WHEN i > i0 THEN 'delete' ELSE 'insert' END AS operation FROM o JOIN p USING (r) WHERE i > i0 OR j > j0""",
     "tokens_count": f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n, CAST(len(list_distinct({_TOKENS})) AS BIGINT) AS n_distinct FROM documents",
     "norm_hash": f"SELECT doc_id, sha256({_NORM}) AS norm_sha256 FROM documents",
     "content_id": "SELECT doc_id, left(sha256(text), 32) AS id FROM documents",
