@@ -10,8 +10,8 @@ of its own, in which a document's shingles are looked up; a hit's containment is
 The index is the benchmark's, not the corpus's, and is sent to the workers in blocks of bounded size, each of which
 meets all documents; so documents are never shuffled, however many items there are.
 
-Defined results: words are runs of letters, digits and underscores in lower case; an item or document of fewer words
-than a shingle has its whole sequence as its one shingle, so a few common words make no document contaminated; null or
+Defined results: words are runs of letters, digits and underscores in lower case; an item of fewer words than a shingle has
+its whole sequence as its one shingle, and is in every document that holds those words in a row, however long; null or
 wordless texts have none and match nothing. Repeated rows of either table are each reported. Ids may be of any type, and null.
 Columns beside the ids and texts are ignored; empty tables match nothing.
 """
@@ -105,11 +105,17 @@ class ContainmentIndex:
     def __init__(self, items: list[tuple[object, str | None]], shingle: int = SHINGLE, threshold: float = THRESHOLD):
         self.shingle, self.threshold, self.items = shingle, threshold, []
         classes: dict[int, SizeClass] = {}
+        #: Items of fewer words than a shingle, by their number of words and the hash of all of them.
+        self.short: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
             words = normalised_words(text or "")
             hashes = np.unique(shingle_hashes(words, shingle))
             if not len(hashes):
                 continue
+            if len(words) < shingle:
+                self.short.setdefault(len(words), {}).setdefault(int(hashes[0]), []).append(len(self.items))
+                self.items.append((item_id, words))
+                continue
             exponent = (len(hashes) - 1).bit_length()
             if exponent not in classes:
                 classes[exponent] = SizeClass(exponent, threshold)
@@ -127,17 +133,18 @@ class ContainmentIndex:
 
     def search(self, text: str) -> list[tuple[object, int, int]]:
         """(item id, shingles shared, shingles of the item) of every item that the whole text contains."""
-        if not self.classes or not text:
+        if not self.items or not text:
             return []
         words = normalised_words(text)
-        hashes = shingle_hashes(words, self.shingle)
+        found = self._short_items(words)
+        hashes = shingle_hashes(words, self.shingle) if len(words) >= self.shingle and self.classes else np.empty(0, dtype=np.uint64)
         hashes = hashes[self.seen[(hashes & self.mask).astype(np.int64)]]
         if not len(hashes):
-            return []
+            return found
         candidates = set().union(*(c.candidates(hashes) for c in self.classes))
         if not candidates:
-            return []
-        have, found = shingle_set(words, self.shingle), []
+            return found
+        have = shingle_set(words, self.shingle)
         for o in sorted(candidates):
             item_id, item_words = self.items[o]
             want = shingle_set(item_words, self.shingle)
@@ -146,6 +153,19 @@ class ContainmentIndex:
                 found.append((item_id, shared, len(want)))
         return found
 
+    def _short_items(self, words: list[str]) -> list[tuple[object, int, int]]:
+        """Items of fewer words than a shingle that stand in the text as they are."""
+        found = []
+        for n, own in self.short.items():
+            if len(words) < n:
+                continue
+            hashes = shingle_hashes(words, n)
+            near = hashes[np.isin(hashes, np.array(list(own), dtype=np.uint64))]
+            if len(near):
+                have = shingle_set(words, n)
+                found += [(self.items[o][0], 1, 1) for h in np.unique(near).tolist() for o in own[h] if tuple(self.items[o][1]) in have]
+        return found
+
 
 def _indexes(benchmark: DataFrame, shingle: int, threshold: float, block_chars: int):
     """A broadcast index for each block of the items; the number of blocks follows the size of the table."""
@@ -207,10 +227,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: DuckDB SQL for the registered query: all shingles of both tables, joined.
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-ds AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) > 0),
 b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
-bs AS (SELECT DISTINCT q, item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0),
-n AS (SELECT q, count(*) AS n_item FROM bs GROUP BY q),
-m AS (SELECT r, doc_id, q, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+bs AS (SELECT DISTINCT q, item_id, least(5, len(w)) AS k, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0),
+n AS (SELECT q, count(*) AS n_item FROM bs GROUP BY q), k AS (SELECT DISTINCT k FROM bs),
+ds AS (SELECT DISTINCT r, doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d JOIN k ON len(w) >= k),
+m AS (SELECT r, doc_id, q, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containment FROM m JOIN n USING (q) WHERE n_shared >= 0.8 * n_item - 1e-9
 """

@@ -387,20 +387,19 @@ def test_decontamination(spark, docs, rows):
     texts = {i: t for i, t, *_ in rows if i is not None}
     source = [t for t in texts.values() if t and len(t.split()) > 70]
     items = [(n, " ".join(t.split()[10 : 10 + 12 + n])) for n, t in enumerate(source[:12])]
-    items += [(50, items[3][1].upper().replace(" ", ",  ")), (51, "words nowhere to be found in any of these texts at all"), (52, None), (53, ""), (54, "ka lo"), (55, None)]
+    items += [(50, items[3][1].upper().replace(" ", ",  ")), (51, "words nowhere to be found in any of these texts at all"), (52, None), (53, ""), (54, "ka lo"), (55, None), (56, " ".join(source[7].split()[30:34])), (57, source[2].split()[9]), (58, "never said")]
     long = source[5].split()[5:45]
     long[20] = "other"
     items.append((60, " ".join(long)))
     benchmark = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, doc_id string")
-    shingles = lambda t: decontaminate.shingle_set(decontaminate.normalised_words(t or ""))
+    words = lambda t: decontaminate.normalised_words(t or "")
     expected = Counter()
     for i, t, *_ in rows:
-        have = shingles(t)
         for j, u in items:
-            want = shingles(u)
+            want, have = decontaminate.shingle_set(words(u)), decontaminate.shingle_set(words(t), min(5, len(words(u))))
             if want and len(want & have) >= 0.8 * len(want) - 1e-9:
                 expected[i, j, len(want & have), len(want)] += 1
-    assert sum(expected.values()) > 20
+    assert sum(expected.values()) > 20 and {54, 56, 57} <= {j for _, j, *_ in expected} and sum(j == 54 for _, j, *_ in expected) > 10
     for block in (decontaminate.BLOCK_CHARS, 300):
         assert _bag(decontaminate.contained_items(docs, benchmark, block_chars=block), "doc_id", "item_id", "n_shared", "n_item") == expected
         kept = decontaminate.drop_contaminated(docs, benchmark, block_chars=block)
