@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import sketches
+from spanloom.plans.report import RunReport
 from spanloom.sources.tables import read
 
 
@@ -99,9 +100,20 @@ def quantiles_within(spark: SparkSession, folder: str) -> DataFrame:
     return below.select("o_orderpriority", "rank", "n", (F.abs(F.col("share") - F.col("rank")) <= sketches.RANK_ERROR).alias("within"))
 
 
-QUERIES = {f.__name__: f for f in (star_join_topk, pricing_summary, cube_rollup, rollup_levels, grouping_sets, set_ops, bag_union, window_rank, semi_anti, packing_size, distinct_values, agreement, quantifiers, distinct_within, quantiles_within)}
+def run_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A run of two stages over line items, by its report: rows and quantity that passed each."""
+    report = RunReport(spark)
+    with report.stage("returned") as stage:
+        kept = stage.kept(read(spark, folder, "lineitem").where("l_returnflag = 'R'"), quantity=F.sum("l_quantity"))
+    with report.stage("by_order") as stage:
+        stage.kept(kept.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q")), quantity=F.sum("q"))
+    return report.table().where("seconds > 0 AND bytes > 0 AND error IS NULL").select("position", "stage", "rows", F.col("measures")["quantity"].alias("quantity"))
+
+
+QUERIES = {f.__name__: f for f in (star_join_topk, pricing_summary, cube_rollup, rollup_levels, grouping_sets, set_ops, bag_union, window_rank, semi_anti, packing_size, distinct_values, agreement, quantifiers, distinct_within, quantiles_within, run_report)}
 
 ORACLE_SQL = {
+    "run_report": "SELECT 0::INTEGER AS position, 'returned' AS stage, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 1, 'by_order', count(DISTINCT l_orderkey), sum(l_quantity) FROM lineitem WHERE l_returnflag = 'R'",
     "distinct_within": "SELECT l_returnflag, count(DISTINCT l_orderkey) AS n, true AS within FROM lineitem GROUP BY l_returnflag",
     "quantiles_within": "SELECT o_orderpriority, r AS rank, count(*) AS n, true AS within FROM orders, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) AS q(r) GROUP BY o_orderpriority, r",
     "star_join_topk": """SELECT n_name, c_mktsegment, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28,4))) AS DOUBLE) AS revenue, count(*) AS n

@@ -71,6 +71,24 @@ def put_once(spark: SparkSession, path: str, text: str) -> None:
         fs.delete(part, False)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files in a folder."""
+    target, fs = _at(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
+def write_beside(spark: SparkSession, path: str, text: str, source: str) -> None:
+    """``write_text``, but never over the file that the text was made from, however either path is written. ValueError then."""
+    (target, fs), (origin, other) = _at(spark, path), _at(spark, source)
+    if fs.makeQualified(target).equals(other.makeQualified(origin)):
+        raise ValueError("the output is the source")
+    if fs.getUri().getScheme() == "file" and fs.exists(target) and other.exists(origin):
+        paths = spark._jvm.java.nio.file.Paths
+        if spark._jvm.java.nio.file.Files.isSameFile(paths.get(fs.makeQualified(target).toUri()), paths.get(other.makeQualified(origin).toUri())):
+            raise ValueError("the output is the source")
+    write_text(spark, path, text)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     target, fs = _at(spark, path)
     stream = fs.open(target)
