@@ -8,10 +8,10 @@ the number of its pieces. Three steps, none of which ever holds the ids of a tex
    one row for each distinct pre-token, with the documents that hold it and how often, and one row without a pre-token that
    names its documents. The table is written, so texts are read once.
 2. ``pieces``: the distinct pre-tokens of all slices, each counted once by the library's model.
-3. ``counted``: the two are joined and summed by document. The most common pre-tokens are broadcast: those held by at least
-   one in ``HEAD`` of all (document, pre-token) pairs, of which there can't be more than ``HEAD``, and of at most ``HEAD_BYTES``
-   bytes each. The rest meet in a plain join by pre-token, of whose keys none can be hot but very long ones; adaptive
-   execution splits those.
+3. ``counted``: the two are joined and summed by document. The most common pre-tokens are broadcast: by doublings of the number
+   of documents that hold them, from the top, as many doublings as have no more than ``HEAD`` pre-tokens together, of at most
+   ``HEAD_BYTES`` bytes each. The rest meet in a plain join by pre-token, of whose keys none can be hot but very long ones;
+   adaptive execution splits those.
 
 Strings of special tokens in a text are one token each, as the library's default has it. Begin, end and added special tokens,
 truncation and padding are left out.
@@ -200,13 +200,16 @@ def pieces(words: DataFrame, path: str) -> DataFrame:
 
 def counted(found: DataFrame, known: DataFrame, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes and n_tokens of all documents of ``postings``, by the pieces of ``known``; both are written tables."""
-    pairs = known.agg(F.sum("pairs")).first()[0] or 0
-    least = -(-pairs // head)  # no more than ``head`` words can have so many pairs
-    common = known.where((F.col("pairs") >= least) & (F.octet_length("word") <= HEAD_BYTES)).select("word", "pieces")
+    doubling, short = F.floor(F.log2("pairs")).cast("int"), F.octet_length("word") <= HEAD_BYTES
+    sizes = dict(known.where(short).groupBy(doubling).count().collect())  # as many rows as doublings
+    least, room = max(sizes, default=0) + 1, head
+    while sizes and least > min(sizes) and room >= sizes.get(least - 1, 0):
+        least -= 1
+        room -= sizes.get(least, 0)
+    common = short & (doubling >= least)
     rows = found.where("word IS NOT NULL").select("slice", "word", "docs", "times")
-    met = rows.join(F.broadcast(common), "word", "left")
-    rest = known.where((F.col("pairs") < least) | (F.octet_length("word") > HEAD_BYTES)).select("word", "pieces")
-    other = met.where("pieces IS NULL").drop("pieces").join(rest, "word").select("slice", "docs", "times", "pieces")
+    met = rows.join(F.broadcast(known.where(common).select("word", "pieces")), "word", "left")
+    other = met.where("pieces IS NULL").drop("pieces").join(known.where(~common).select("word", "pieces"), "word").select("slice", "docs", "times", "pieces")
     both = met.where("pieces IS NOT NULL").select("slice", "docs", "times", "pieces").union(other)
     each = both.select("slice", "pieces", F.explode(F.arrays_zip("docs", "times")).alias("of")).select("slice", F.col("of.docs").alias("doc"), (F.col("of.times") * F.col("pieces")).alias("n"))
     sums = each.groupBy("slice", "doc").agg(F.sum("n").alias("n"))
