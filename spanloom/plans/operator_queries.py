@@ -328,18 +328,21 @@ def array_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """Lookups in an event's properties: a value, a default, the keys, whether a key is there, and an override."""
-    m = F.from_json("props", "map<string,int>")
-    over = F.map_zip_with(m, F.create_map(F.lit("k"), F.lit(7)), lambda k, x, y: F.coalesce(y, x))
-    return read(spark, folder, "events").select("event_id", m["k"].alias("k"), F.coalesce(m["none"], F.lit(-1)).alias("other"), F.array_join(F.map_keys(m), ",").alias("keys"), F.map_contains_key(m, "none").alias("held"), over["k"].alias("k_over"))
+    """Lookups in an event's properties by a key that its user says: a value, a default, the keys, whether the key is there, and what a purchase overrides."""
+    e = read(spark, folder, "events").withColumn("m", F.from_json("props", "map<string,int>"))
+    key = F.when(F.col("user_id") % 2 == 0, F.lit("k")).otherwise(F.col("event_type"))
+    change = F.when(F.col("event_type") == "purchase", F.create_map(F.lit("k"), F.rint("value").cast("int"), F.lit("n"), F.col("user_id").cast("int"))).otherwise(F.create_map().cast("map<string,int>"))
+    over = F.map_zip_with("m", change, lambda k, x, y: F.coalesce(y, x))
+    return e.select("event_id", F.col("m")["k"].alias("k"), F.coalesce(F.col("m")[key], F.lit(-1)).alias("other"), F.array_join(F.array_sort(F.map_keys(over)), ",").alias("keys"), F.map_contains_key("m", key).alias("held"), over["k"].alias("k_over"))
 
 
 def number_types(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether JSON values are whole numbers: a truth value isn't one."""
+    """Whether JSON values are whole numbers: ids are, amounts aren't, nor are truth values or objects."""
     e = read(spark, folder, "events")
-    text = F.when(F.col("event_id") % 4 == 0, F.lit("true")).when(F.col("event_id") % 4 == 1, F.col("event_id").cast("string")).when(F.col("event_id") % 4 == 2, F.lit("1.5")).otherwise(F.lit('"7"'))
-    kind = F.schema_of_variant(F.parse_json(text))
-    return e.select("event_id", (kind == "BIGINT").alias("whole"), (kind == "BOOLEAN").alias("truth"))
+    kind, value = F.col("event_type"), F.col("value")
+    text = F.when(kind == "click", F.col("event_id").cast("string")).when(kind == "purchase", value.cast("string")).when(kind == "view", (value > 100).cast("string")).otherwise(F.col("props"))
+    made = F.schema_of_variant(F.parse_json(text))
+    return e.select("event_id", (made == "BIGINT").alias("whole"), (made == "BOOLEAN").alias("truth"))
 
 
 def sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -459,8 +462,10 @@ UNION ALL SELECT id, 'invalid origin' FROM g WHERE known AND p = '1-URGENT' UNIO
 SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS either, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, list_has_any(a, b) AS meet FROM s""",
     "array_steps": """WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(round_even(CAST(x * 10::FLOAT AS DOUBLE), 0) AS BIGINT)) AS v FROM embeddings)
 SELECT vec_id, array_to_string(list_transform(range(2, 9), lambda i: v[i] - v[i - 1]), ',') AS steps, array_to_string(list_transform(range(1, 9), lambda i: CAST(list_sum(v[1:i]) AS BIGINT)), ',') AS sums, array_to_string(list_filter(range(0, 8), lambda i: v[i + 1] > 0), ',') AS places, array_to_string(list_concat(v[3:4], [0::BIGINT, 0::BIGINT]), ',') AS padded FROM e""",
-    "map_steps": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, -1::INTEGER AS other, array_to_string(json_keys(props), ',') AS keys, false AS held, 7::INTEGER AS k_over FROM events",
-    "number_types": "SELECT event_id, event_id % 4 = 1 AS whole, event_id % 4 = 0 AS truth FROM events",
+    "map_steps": """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CASE WHEN user_id % 2 = 0 THEN 'k' ELSE event_type END AS key FROM events)
+SELECT event_id, k, CASE WHEN key = 'k' THEN coalesce(k, -1) ELSE -1 END AS other, CASE WHEN event_type = 'purchase' THEN 'k,n' ELSE array_to_string(json_keys(props), ',') END AS keys, list_contains(json_keys(props), key) AS held, CASE WHEN event_type = 'purchase' THEN CAST(round_even(value, 0) AS INTEGER) ELSE k END AS k_over FROM e""",
+    "number_types": """WITH t AS (SELECT event_id, json_type(CASE event_type WHEN 'click' THEN CAST(event_id AS VARCHAR) WHEN 'purchase' THEN CAST(value AS VARCHAR) WHEN 'view' THEN CASE WHEN value > 100 THEN 'true' ELSE 'false' END ELSE props END) AS kind FROM events)
+SELECT event_id, kind IN ('UBIGINT', 'BIGINT') AS whole, kind = 'BOOLEAN' AS truth FROM t""",
     "sliding_windows": "WITH e AS (SELECT epoch_us(ts) // 1000000 // 1800 * 1800 AS t FROM events), w AS (SELECT t AS start FROM e UNION ALL SELECT t - 1800 FROM e) SELECT start, count(*) AS n FROM w GROUP BY start",
     "sentence_runs": rf"""WITH {_W}, z AS (SELECT rec, i, CAST(regexp_matches(word, '[.!?…]["»)]?$') AS BIGINT) AS stop FROM y), v AS (SELECT rec, i, coalesce(sum(stop) OVER (PARTITION BY rec ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM z)
 SELECT rec, CAST(run AS BIGINT) AS run, count(*) AS n FROM v GROUP BY ALL""",
