@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import duckdb
 import pyarrow as pa
@@ -45,7 +46,7 @@ GROUP = "lang string, source string"
 
 
 def terms(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_BYTES).split(b" ")
+    return text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,12 +56,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), texts(part), strict=True):
-                own = Counter(terms(text))
-                own.pop(b"", None)
+                own = terms(text)
                 n, docs = held[lang, source]
                 size -= len(docs)
                 n.update(own)
-                docs.update(own.keys())
+                docs.update(set(own))
                 size += len(docs)
                 if size > HELD:
                     yield from _rows(held)
@@ -84,15 +84,22 @@ def counts(documents: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+@lru_cache(maxsize=1)
+def _connection() -> duckdb.DuckDBPyConnection:
+    """One connection for all shards of a worker, with one thread and bounded memory."""
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+
+
 def _ask(tables: dict[str, pa.Table], query: str) -> pa.Table:
-    """The result of a query over Arrow tables, in one thread, within the memory that the tables need."""
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+    """The result of a query over Arrow tables."""
+    con = _connection()
+    for name, own in tables.items():
+        con.register(name, own)
     try:
-        for name, own in tables.items():
-            con.register(name, own)
         return con.sql(query).to_arrow_table()
     finally:
-        con.close()
+        for name in tables:
+            con.unregister(name)
 
 
 KEPT = f"""
