@@ -54,11 +54,12 @@ def seam_repairs(spark: SparkSession, folder: str) -> DataFrame:
         return F.array(*[word(t, low, high, chunk) for t, low, high in words])
 
     stem = F.left(c, F.lit(3))
+    # Where a copy has a letter in front, the word before lasts over half as long: else, if it ends as the copy begins, it is the first that a repair fits.
     cases = (
         (side(0, (a, 9.2, 9.5), (b, 9.5, 9.9)), side(9, (a, 9.2, 9.5), (b, 9.5, 9.9))),
         (side(0, (a, 9.2, 9.5), (b, 9.5, 9.9)), side(9, (a, 11.2, 11.5), (b, 11.5, 11.9))),
-        (side(0, (a, 9.4, 9.8), (b, 10.05, 10.35), (c, 10.4, 10.6)), side(9, (F.concat(F.lit("x"), b), 9.2, 10.4), (c, 10.4, 10.62))),
-        (side(0, (a, 9.6, 9.95), (b, 10.05, 10.4), (stem, 10.45, 10.6)), side(9, (F.concat(F.lit("e"), b), 9.3, 10.5), (c, 10.45, 10.9))),
+        (side(0, (a, 9.1, 9.8), (b, 10.05, 10.35), (c, 10.4, 10.6)), side(9, (F.concat(F.lit("x"), b), 9.2, 10.4), (c, 10.4, 10.62))),
+        (side(0, (a, 9.3, 9.95), (b, 10.05, 10.4), (stem, 10.45, 10.6)), side(9, (F.concat(F.lit("e"), b), 9.3, 10.5), (c, 10.45, 10.9))),
         (side(0, (a, 9.0, 9.4), (stem, 10.85, 10.98)), side(9, (F.concat(F.right(a, F.lit(2)), b), 9.1, 10.7), (c, 10.85, 11.3))),
         (side(0, (a, 9.0, 9.4), (F.concat_ws(" ", c, b, c), 10.05, 10.6)), side(9, (c, 10.3, 10.55), (a, 10.75, 10.95))),
     )
