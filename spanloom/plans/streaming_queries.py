@@ -30,7 +30,7 @@ def carried_windows(spark: SparkSession, folder: str) -> DataFrame:
     table = read(spark, folder, "events")
     lengths = table.groupBy((F.col("event_id") % 8).alias("rec")).agg((F.max(F.expr("event_id div 8")) + 1).alias("n"))
     stream = spark.readStream.schema(table.schema).parquet(f"{folder}/events.parque[t]")  # a pattern, as a stream takes a plain path for a folder
-    rows = stream.select((F.col("event_id") % 8).alias("rec"), F.expr("event_id div 8").alias("pos"), F.rint(F.col("value") * 100).cast("long").alias("value"), F.col("ts").cast("timestamp").alias("ts")).join(lengths, "rec")
+    rows = stream.select((F.col("event_id") % 8).alias("rec"), F.expr("event_id div 8").alias("pos"), F.rint(F.col("value") * 100).cast("long").alias("value"), F.col("ts").cast("timestamp").alias("ts")).join(F.broadcast(lengths), "rec")  # eight rows
     before = spark.conf.get(W.PROVIDER[0], None)
     try:
         spark.conf.set(*W.PROVIDER)
